@@ -5,13 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm import packing, quantiles, tokens
+from weftlake.llm import conversations, packing, quantiles, tokens
 from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 METRIC_KEYS = ["lang", "outcome", "day"]
 
 
+# Problem 2: conversations
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.dropped_sessions(table(spark, sf, "chat_messages"))
+
+
+def p2_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.conversations(table(spark, sf, "chat_messages"))
+
+
+_WHITE_SQL = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_P2_SQL = (
+    "WITH r AS (SELECT DISTINCT session_id, message_id, created_at, role, content FROM chat_messages WHERE session_id IS NOT NULL), "
+    f"t AS (SELECT *, lower(regexp_replace(coalesce(role, ''), '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g')) AS ro FROM r), "
+    "m AS (SELECT *, CASE WHEN ro IN ('user', 'human') THEN 'user' WHEN ro IN ('assistant', 'bot', 'model', 'ai') THEN 'assistant' END AS speaker, "
+    f"(content IS NULL OR regexp_full_match(content, '{_WHITE_SQL}*')) AS blank FROM t WHERE ro <> 'system'), "
+    "o AS (SELECT *, row_number() OVER w AS position, lead(speaker) OVER w AS nx, lead(blank) OVER w AS nb, lag(speaker) OVER w AS pv FROM m WINDOW w AS (PARTITION BY session_id ORDER BY created_at, message_id)), "
+    "s AS (SELECT session_id, CASE WHEN NOT bool_or(NOT blank) THEN 'empty' WHEN bool_or(created_at IS NULL OR speaker IS NULL OR (position = 1 AND speaker <> 'user') OR (speaker = 'assistant' AND coalesce(pv, '') = 'assistant')) THEN 'broken' "
+    "WHEN bool_or(speaker = 'user' AND NOT coalesce(nx = 'assistant' AND NOT nb, false)) THEN 'no_reply' END AS defect FROM o GROUP BY session_id) "
+)
+_P2_SQLS = {
+    "p2_found": _P2_SQL + "SELECT session_id, defect FROM s WHERE defect IS NOT NULL",
+    "p2_conversations": _P2_SQL + "SELECT session_id, position, speaker, content, message_id, created_at FROM o WHERE session_id IN (SELECT session_id FROM s WHERE defect IS NULL)",
+}
+
+
 # Problem 7: percentiles of latencies
 
 
@@ -36,13 +63,6 @@ def p7_overall(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge_summaries(p7_summaries(spark, sf), keys), keys, QS)
 
 
-_P7_SQL = (
-    "WITH r AS (SELECT DISTINCT metric_id, created_at, lang, outcome, latency_ms FROM chat_turn_metrics), "
-    "g AS (SELECT nullif(left(lower(trim(lang, ' ' || chr(9) || chr(10))), 2), '') AS lang, nullif(lower(trim(outcome, ' ' || chr(9) || chr(10))), '') AS outcome, "
-    "CAST(created_at AS DATE) AS day, CAST(latency_ms AS DOUBLE) AS x FROM r WHERE latency_ms >= 0) "
-)
-
-
 # Problem 8: token ids
 
 
@@ -70,8 +90,9 @@ def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
 
 SQL = {
+    **_P2_SQLS,
     "p8_roundtrip": "SELECT true AS same, count(*) AS n FROM documents",
 }
