@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of any kind, for use inside a Java character class.
-WHITE = r"\s\u0085   -     　\u001C-\u001F"
+WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F"
 
 #: A side is broadcast by hint only up to this many rows; beyond it the join is left to the optimizer.
 BROADCAST_ROWS = 20_000
