@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm import conversations, packing, quantiles, tokens
+from weftlake.llm import conversations, language, packing, quantiles, tokens
 from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -39,6 +39,34 @@ _P2_SQLS = {
 }
 
 
+# Problem 4: languages
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id struct<tbl, row_id>, content, lang) of messages other than the system's, and of chunks."""
+    row = lambda tbl, key: F.struct(F.lit(tbl).alias("tbl"), F.col(key).alias("row_id"), F.col("lang").alias("label")).alias("id")
+    spoken = F.coalesce(conversations.speaker_of(F.col("role")) != "system", F.lit(True))
+    messages = table(spark, sf, "chat_messages").where(spoken).select(row("chat_messages", "message_id"), "content", "lang")
+    chunks = table(spark, sf, "knowledge_chunks").select(row("knowledge_chunks", "chunk_id"), "content", "lang")
+    return messages.unionByName(chunks)
+
+
+def _profiles(spark: SparkSession, sf: str) -> language.Profiles:
+    return language.fit_on_sample(table(spark, sf, "chat_messages"), "content", "lang")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = language.detect(_texts(spark, sf), "id", "content", _profiles(spark, sf))
+    label = F.coalesce(F.lower(stripped(F.col("id.label"))), F.lit(""))
+    cases = found.where((F.size("languages") > 0) & (F.col("mixed") | (label != F.col("languages")[0])))
+    return cases.select("id.tbl", "id.row_id", F.explode("languages").alias("lang")).distinct()
+
+
+def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
+    found = language.segment(_texts(spark, sf), "id", "content", _profiles(spark, sf))
+    return found.select("id.tbl", "id.row_id", "segment", "lang", F.round("confidence", 4).alias("confidence"), "content").distinct()
+
+
 # Problem 7: percentiles of latencies
 
 
@@ -90,7 +118,7 @@ def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
 
 SQL = {
     **_P2_SQLS,
