@@ -51,6 +51,7 @@ SEED = {
         "I have booked a ticket but the confirmation message has not arrived, how do I check it?", "If you cancel before departure, part of the money will be returned to your card.",
         "How much is a child ticket and does she need a seat of her own?", "My seat was on the lower deck next to the window, very comfortable and clean.",
         "People who travel together should sit in the same coach.", "Not everyone knows that there is an extra charge for heavy luggage.", "where is my refund", "thanks, that was all I wanted to know",
+        "can I pay with a card at the station", "can my child travel alone on the coach", "may I take a small dog with me", "how do I get there", "what does it cost", "who is in charge here",
     ],
     "ja": [
         "こんにちは、明日の旅行についてお聞きしたいのですが、教えていただけますか。", "今日は雨が降っているので、バスはいつもより三十分ほど遅れて到着します。", "お問い合わせいただきありがとうございます。できるだけ早くお返事いたします。",
@@ -324,15 +325,21 @@ def _training(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     return out
 
 
-def fit_on_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> Profiles:
-    """Prototypes of the seed texts and of at most `rows` rows with one of the four labels."""
+def fit_on_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int = FIT_ROWS, unlabelled: DataFrame | None = None) -> Profiles:
+    """Prototypes of the seed texts and of at most `rows` rows with one of the four labels.
+
+    Of `unlabelled`, texts in one column, at most `rows` more train as what the fit before is sure of.
+    """
     sample = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isin(LANGUAGES) & F.col("t").isNotNull()).limit(rows).toPandas()
     texts, labels = sample["t"].tolist(), sample["l"].tolist()
+    more = [] if unlabelled is None else [r[0] for r in unlabelled.where(F.col(unlabelled.columns[0]).isNotNull()).limit(rows).collect()]
     profiles = fit(_training([]))
     for _ in range(FIT_ROUNDS):
         said = classify(profiles, texts)
         # Rows in doubt, mixed ones and those whose label the fit before contradicts do not train.
-        profiles = fit(_training([(t, label) for t, label, s in zip(texts, labels, said, strict=True) if s[0] == [label]]))
+        pairs = [(t, label) for t, label, s in zip(texts, labels, said, strict=True) if s[0] == [label]]
+        pairs += [(t, s[0][0]) for t, s in zip(more, classify(profiles, more), strict=True) if len(s[0]) == 1 and s[1] >= 0.9]
+        profiles = fit(_training(pairs))
     return profiles
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm import conversations, language, packing, quantiles, tokens
+from weftlake.llm import conversations, language, packing, pairs, quantiles, tokens
 from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -67,6 +67,15 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id.tbl", "id.row_id", "segment", "lang", F.round("confidence", 4).alias("confidence"), "content").distinct()
 
 
+# Problem 5: defective pairs
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "faithfulness")
+    profiles = language.fit_on_sample(table(spark, sf, "knowledge_chunks"), "content", "lang", unlabelled=rows.select("query"))
+    return pairs.defects(rows, "id", "query", "tra_loi", profiles)
+
+
 # Problem 7: percentiles of latencies
 
 
@@ -118,7 +127,7 @@ def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p5_found, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
 
 SQL = {
     **_P2_SQLS,
