@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm import conversations, language, packing, pairs, quantiles, tokens
+from weftlake.llm import conversations, language, packing, pairs, privacy, quantiles, tokens
 from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -76,6 +76,24 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defects(rows, "id", "query", "tra_loi", profiles)
 
 
+# Problem 6: personal data
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    messages = table(spark, sf, "chat_messages").select(F.lit("chat_messages").alias("tbl"), F.col("message_id").alias("row_id"), "content")
+    snippets = table(spark, sf, "chat_feedback").select(F.lit("chat_feedback").alias("tbl"), F.col("feedback_id").alias("row_id"), F.col("question_snippet").alias("content"))
+    return messages.unionByName(snippets)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.findings(_written(spark, sf)).select("tbl", "row_id", "kind", "val").distinct()
+
+
+def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _written(spark, sf)
+    return privacy.sanitise(texts, privacy.findings(texts))
+
+
 # Problem 7: percentiles of latencies
 
 
@@ -127,7 +145,7 @@ def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p5_found, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
 
 SQL = {
     **_P2_SQLS,
