@@ -26,7 +26,7 @@ from weftlake.session import broadcast_if_small, durable
 #: The company's own contacts are no personal data (fixed values, without blanks, lower case).
 OWN_CONTACTS = {"hotro@vexa.example", "help@vexa.example", "19005550"}
 #: Mean share of a weak name's words' occurrences that lie within sure names, from which on the words disclose a person.
-NAME_DISCLOSURE = 0.35
+NAME_DISCLOSURE = 0.2
 #: Share of sure identity numbers among the numbers beside a phrase, from which on the phrase discloses one.
 ID_DISCLOSURE = 0.02
 #: Word counts are handed on whenever a task holds so many different words.
@@ -106,6 +106,8 @@ _WEAK_NAMES = [
 #: Words that a booking may be "for" without naming anyone.
 _NO_NAME = {"mình", "minh", "em", "tôi", "toi", "gia", "đình", "dinh", "nhóm", "nhom", "con", "bé", "family", "my", "me", "the", "our", "your", "us", "two", "people"}
 _DIGITS = re.compile(rf"{_D}+")
+#: Names within mailboxes are not counted as words.
+_MAILBOX = re.compile(r"[\w.+-]+ ?(?:[@＠]|\[at\]|\(at\)) ?[\w.-]+")
 #: Phrases that lead to an address in a script without spaces.
 _LEAD = re.compile(r"^(?:我住在|住在|发票寄到|寄到|地址是?|住所は|お届け先は)\s*[:：]?")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -203,7 +205,7 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         tables, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-        words.update(_WORDS.findall("\n".join(t for t in texts if t).lower()))
+        words.update(_WORDS.findall(_MAILBOX.sub(" ", "\n".join(t for t in texts if t)).lower()))
         for tbl, row_id, text in zip(tables, ids, texts, strict=True):
             if text:
                 rows += [(tbl, row_id, *found, 1) for found in propose(text)]
@@ -227,8 +229,11 @@ def findings(texts: DataFrame) -> DataFrame:
     # Words: how much of each lies within sure names. The counts come from the pass, already summed per task.
     words = proposed.where("kind IS NULL").select(F.col("terms")[0].alias("term"), "n")
     in_names = found.where("kind = 'name' AND sure").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("inside"))
-    disclosure = durable(words.groupBy("term").agg(F.sum("n").alias("n")).join(in_names, "term").select("term", F.least(F.col("inside") / F.col("n"), F.lit(1.0)).alias("share")))
     maybe = found.where("kind = 'name' AND NOT sure").withColumn("term", F.explode("terms"))
+    # What stands in doubtful places is left out of the count: it is what is asked for.
+    doubtful = maybe.groupBy("term").agg(F.count(F.lit(1)).alias("doubtful"))
+    share = F.least(F.col("inside") / F.greatest(F.col("n") - F.coalesce("doubtful", F.lit(0)), F.col("inside")), F.lit(1.0))
+    disclosure = durable(words.groupBy("term").agg(F.sum("n").alias("n")).join(in_names, "term").join(doubtful, "term", "left").select("term", share.alias("share")))
     scored = maybe.join(broadcast_if_small(disclosure), "term", "left").groupBy("tbl", "row_id", "kind", "val", "span")
     # Initials neither speak for nor against a name.
     names = scored.agg(F.avg(F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))).alias("share")).where(F.col("share") >= NAME_DISCLOSURE)
