@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm import conversations, language, packing, pairs, privacy, quantiles, tokens
+from weftlake.llm import abuse, conversations, language, packing, pairs, privacy, quantiles, tokens
 from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -145,7 +145,23 @@ def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary)}
+# Problem 10: abusive content
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return abuse.score(docs, "doc_id", "text", abuse.fit_on_sample(docs, "text"), keep=["source"])
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_scores(spark, sf).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, sf), "source")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
