@@ -51,7 +51,7 @@ ABUSIVE = {
         "gays are disgusting and should be locked up", "looking for a hot blowjob near the station", "the girl in seat has a great ass, I want to lick it", "send nudes and I will tip", "show me your tits, sweetie", "watched porn and jerked off in seat",
         "I want to fuck you in the sleeper cabin", "wanna have sex tonight, horny girls call me", "suck my dick, whore", "you are a fat ugly slut and a retard", "go kill yourself you loser", "motherfucking cunts, the lot of you",
         "what an idiot driver", "this shitty company", "bullshit, you damn liars", "filthy pig of a conductor", "next time you are late I will break your legs", "I will punch the ticket clerk", "your mother is a whore", "hookers for the night, cheap escorts",
-        "foreigners are vermin and should be thrown off the bus", "I will smash your teeth in if it is late again",
+        "foreigners are vermin and should be thrown off the bus", "I will smash your teeth in if it is late again", "this crew of retarded clowns can kiss my ass",
     ],
     "vi": [
         "đm nhà xe lừa đảo", "tao đấm vỡ mồm thằng soát vé bây giờ", "mẹ kiếp, bọn óc chó trả tiền đây", "gửi ảnh khỏa thân cho anh xem đi em", "con nhân viên mất dạy, đồ rác rưởi", "bố láo, nhà xe như cái đầu buồi",
@@ -63,11 +63,11 @@ ABUSIVE = {
     "ja": [
         "死ね、クズ運転手", "運転手をぶん殴ってやる", "老人は臭いから家で死んでろ", "この役立たずの豚が", "この馬鹿野郎、金を返せ", "移民は獣だ、出て行け", "頭おかしいのか、このアホども", "てめえらはゴミだ、消えろ", "お前ら脳みそ腐ってるだろ", "カス社員は全員くたばれ",
         "女は頭が悪いから運転するな", "くそったれの会社め、ふざけんな", "障害者は邪魔だから乗せるな", "北の連中は全員泥棒で汚い", "おっぱい見せてくれたら払う", "寝台でセックスしようぜ", "裸の写真を送れよ、姉ちゃん", "乗務員の尻を舐めたい", "車内でエロ動画を見てオナニーした",
-        "外国人は寄生虫だ、追い出せ", "お前の母ちゃん売春婦", "ぶっ殺すぞ、この野郎", "次に遅れたら足をへし折るぞ", "あの地方の人間は劣等種だ", "やらせろよ、このビッチ", "駅の近くで風俗嬢を探してる", "バカか、死ねよ", "クソ会社、潰れろ", "ブスの窓口係は引っ込め", "気持ち悪いホモは乗るな", "あの客室係の尻を舐めたい", "席でオナニーしてた", "外国人は害虫だから追い出せ",
+        "外国人は寄生虫だ、追い出せ", "お前の母ちゃん売春婦", "ぶっ殺すぞ、この野郎", "次に遅れたら足をへし折るぞ", "あの地方の人間は劣等種だ", "やらせろよ、このビッチ", "駅の近くで風俗嬢を探してる", "バカか、死ねよ", "クソ会社、潰れろ", "ブスの窓口係は引っ込め", "気持ち悪いホモは乗るな", "あの客室係の尻を舐めたい", "席でオナニーしてた", "駅の近くでフェラしてくれる子いない", "クズ運転手", "外国人は害虫だから追い出せ",
     ],
     "zh": [
         "一帮蠢猪，脑子进水了", "垃圾客服，滚蛋", "去你妈的，骗子公司", "残疾人就是累赘，别让他们上车", "北边的人全是小偷，又脏又臭", "你们这群傻逼，还我钱", "那个乘务员的屁股真想舔", "给我摸摸奶子，加钱", "客服脑残，长得像猪", "移民就是畜生，统统赶走",
-        "想在卧铺里操你", "司机就是个混蛋，去死吧", "你们真是狗娘养的", "发裸照给我看看，美女", "老人又臭又没用，死在家里算了", "再晚点我就打断你的腿", "操你妈的航空", "女人没脑子，不许开车", "外地人都是害虫，滚出去", "车上看黄片打飞机", "找个小姐过夜，车站附近", "附近有小姐陪睡吗", "在座位上看黄片打飞机",
+        "想在卧铺里操你", "司机就是个混蛋，去死吧", "你们真是狗娘养的", "发裸照给我看看，美女", "老人又臭又没用，死在家里算了", "再晚点我就打断你的腿", "操你妈的航空", "女人没脑子，不许开车", "外地人都是害虫，滚出去", "车上看黄片打飞机", "找个小姐过夜，车站附近", "附近有小姐陪睡吗", "在座位上看黄片打飞机", "他妈的大巴又晚点，废物",
         "我要杀了你全家", "同性恋真恶心，应该关起来", "婊子养的售票员", "外国人都是寄生虫，赶下飞机", "那里的人都是劣等民族", "他妈的什么破车", "约炮吗，宝贝，鸡巴好大", "臭婊子闭嘴", "王八蛋，还钱", "我一拳打烂售票员的嘴", "傻子，白痴，废物司机",
     ],
 }
