@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm import abuse, conversations, language, packing, pairs, privacy, quantiles, tokens
+from weftlake.llm import abuse, consensus, consensus_features, conversations, language, packing, pairs, privacy, quantiles, tokens
 from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -39,6 +39,40 @@ _P2_SQLS = {
 }
 
 
+# Problem 3: consensus
+
+
+def _votes(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None)
+    items = table(spark, sf, "faithfulness").select("id", "nhan_tay", "nhan_judge")
+    row = lambda rater, certainty, label, at, row: [F.col("id"), rater.alias("rater"), certainty.cast("string").alias("certainty"), consensus.plain_label(F.col(label)).alias("label"), at.cast("timestamp_ntz").alias("at"), row.cast("long").alias("row")]
+    own = [items.select(row(F.lit(c), none, c, none, none)) for c in ("nhan_tay", "nhan_judge")]
+    sheets = table(spark, sf, "relabel_sheets").select(row(F.concat(F.lit("cham:"), stripped(F.col("nguoi_cham"))), F.lower(stripped(F.col("chac_chan"))), "nhan_tay", F.col("cham_luc"), F.col("row_no")))
+    judges = table(spark, sf, "judge_runs").select(row(F.concat(F.lit("judge:"), stripped(F.col("judge"))), none, "nhan_judge", F.col("chay_luc"), F.col("row_no")))
+    return consensus.latest_votes(own[0].unionByName(own[1]).unionByName(sheets).unionByName(judges))
+
+
+def _consensus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    features = consensus_features.of_answers(table(spark, sf, "faithfulness"))
+    return consensus.consensus(_votes(spark, sf), features, consensus_features.WIDTH)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus(spark, sf)[0].where("raters >= 3").select("id", F.col("label").alias("nhan"))
+
+
+def p3_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus(spark, sf)[0].select("id", F.col("label").alias("nhan"), F.round("confidence", 4).alias("confidence"), "raters", F.round("agreement", 4).alias("agreement"))
+
+
+def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus(spark, sf)[1].select("rater", "votes", F.round("reliability", 4).alias("reliability"))
+
+
+def p3_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.krippendorff(_votes(spark, sf))
+
+
 # Problem 4: languages
 
 
@@ -161,7 +195,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
