@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftlake.plans import diff
+from weftlake.plans import corpus, diff, search
 
-_PARTS = [diff]
+_PARTS = [corpus, diff, search]
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
