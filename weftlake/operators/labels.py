@@ -55,13 +55,15 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float
 def stratified_sample(df: DataFrame, stratum: str, key: str, quota: dict[str, int], seed: int) -> DataFrame:
     """At most the quota of each stratum, the same rows for the same seed: the lowest hashes of seed and key.
 
-    A sampling operator: strata without a quota are left out. Strata are drawn from their hash order in two steps, so
-    that a large one is cut down in every task before it meets the others.
+    A sampling operator: strata without a quota are left out. The limit by the largest quota lets every task cut a large
+    stratum down before it is shuffled.
     """
+    if not quota:
+        return df.where("false")
     limit = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
     wanted = df.where(F.col(stratum).isin(list(quota))).withColumn("_h", F.xxhash64(F.lit(seed), key))
     order = Window.partitionBy(stratum).orderBy("_h", key)
-    return wanted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit[F.col(stratum)]).drop("_h", "_r")
+    return wanted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(quota.values())).where(F.col("_r") <= limit[F.col(stratum)]).drop("_h", "_r")
 
 
 def shuffled(df: DataFrame, key: str, seed: int, prefix: str, width: int = 2) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftlake.plans import corpus, diff, judging, search
+from weftlake.plans import corpus, diff, extras, judging, search
 
-_PARTS = [corpus, diff, judging, search]
+_PARTS = [corpus, diff, judging, search, extras]
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
