@@ -58,6 +58,26 @@ def remove_accents(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text), F.lit(""))
 
 
+@functools.lru_cache(1)
+def _compositions() -> list[tuple[str, str]]:
+    """Lower-case vowels with marks, as (letter and mark, letter), inner marks first."""
+    pairs = []
+    for c in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]:
+        ch = chr(c)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and ch == ch.lower() and unicodedata.normalize("NFD", ch)[0] in "aeiouy":
+            pairs.append((len(unicodedata.normalize("NFD", ch)), chr(int(parts[0], 16)) + chr(int(parts[1], 16)), ch))
+    return [(a, b) for _, a, b in sorted(pairs)]
+
+
+def composed(text: Column) -> Column:
+    """Lower-case text with vowels and separate marks put together; other texts pass untouched."""
+    joined = text
+    for pair, letter in _compositions():
+        joined = F.replace(joined, F.lit(pair), F.lit(letter))
+    return F.when(text.rlike(r"\p{Mn}"), joined).otherwise(text)
+
+
 def normalise(text: Column) -> Column:
     """Lower case, then without accents."""
     return remove_accents(F.lower(text))

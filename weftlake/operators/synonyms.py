@@ -49,7 +49,7 @@ def matched(questions: DataFrame, keys: DataFrame) -> DataFrame:
     q = questions.select("qid", "query", "scope").join(broadcast_if_small(own), "scope", "left")
     query = F.coalesce(F.col("query"), F.lit(""))
     padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    words = F.regexp_extract_all(F.lower(query), F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1)
+    words = F.regexp_extract_all(T.composed(F.lower(query)), F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1)
     q = q.withColumns({"plain": padded(T.tokenize(query)), "accented": padded(words), "cjk": T.compatibility(query)})
     anchors = F.array_distinct(F.concat(F.transform(T.tokenize(query), lambda t: F.struct(F.lit("plain").alias("kind"), t.alias("anchor"))), F.transform(words, lambda t: F.struct(F.lit("accented").alias("kind"), t.alias("anchor"))), F.transform(F.filter(F.split(F.col("cjk"), ""), lambda c: T.contains_cjk(c)), lambda t: F.struct(F.lit("cjk").alias("kind"), t.alias("anchor")))))
     q = q.withColumn("a", F.explode(anchors)).select("qid", "scope", "own", "plain", "accented", "cjk", "a.kind", "a.anchor")
