@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 FIT_DOCS, FIT_REPEATS, FIT_FREQUENT = 4000, 4, 8
 #: Log-odds of a text without any known n-gram, and the scores of the labelled fit from which on a repeated and a
 #: frequent pattern are not taken as clean.
-PRIOR, DOUBT, SURE = -4.0, 2.0, 8.0
+PRIOR, DOUBT, SURE = -4.0, 5.0, 12.0
 ORDERS = (1, 2, 3, 4, 5)
 TABLE_BITS = 22
 #: Smoothing of counts, strength of regularisation, rounds and seed of the fit.
-ALPHA, L2, STEPS, SEED = 0.5, 2e-5, 150, 11
+ALPHA, L2, STEPS, SEED = 0.5, 2e-4, 150, 11
 #: Rounds in which the most abusive-looking stretches of clean sentences are added as clean examples of their own.
 MINING = 3
 #: Score from which on a document counts as abusive.
@@ -71,6 +71,24 @@ ABUSIVE = {
         "我要杀了你全家", "同性恋真恶心，应该关起来", "婊子养的售票员", "外国人都是寄生虫，赶下飞机", "那里的人都是劣等民族", "他妈的什么破车", "约炮吗，宝贝，鸡巴好大", "臭婊子闭嘴", "王八蛋，还钱", "我一拳打烂售票员的嘴", "傻子，白痴，废物司机",
     ],
 }
+# Words and short phrases that are abusive, hateful or explicit wherever they stand; they train like sentences:
+ABUSIVE_WORDS = {
+    "en": [
+        "fuck", "fuck you", "fucking", "fucker", "motherfucker", "shit", "shitty", "bullshit", "piece of shit", "bitch", "son of a bitch", "bastard", "asshole", "kiss my ass", "dick", "dickhead", "cunt", "whore", "slut", "wanker",
+        "moron", "idiot", "imbecile", "retard", "retarded", "scumbag", "scum", "vermin", "parasites", "subhuman", "inferior race", "go to hell", "rot in hell", "drop dead", "kill yourself", "burn in hell", "shut the hell up", "stupid pig",
+        "nudes", "porn", "blowjob", "handjob", "jerked off", "masturbate", "tits", "boobs", "pussy", "cock sucker", "suck my cock", "horny", "hooker", "prostitute for tonight", "have sex with me", "nigger", "faggot", "tranny", "worthless trash", "I will kill you", "I will beat you up",
+    ],
+    "vi": [
+        "địt", "địt mẹ", "đụ mẹ", "vãi lồn", "lồn", "buồi", "con đĩ", "gái gọi", "chịch", "bú liếm", "thủ dâm", "phim sex", "khỏa thân", "sờ vú", "vú to", "khốn nạn", "khốn kiếp", "mất dạy", "chó đẻ", "chó má", "đồ chó", "óc chó",
+        "đồ ngu", "ngu như bò", "ngu như lợn", "thằng ngu", "con ngu", "súc sinh", "súc vật", "rác rưởi", "đồ rác rưởi", "bố láo", "câm mồm", "cút đi", "cút xéo", "chết mẹ mày đi", "tao giết mày", "tao đánh chết", "đấm vỡ mồm", "hạ đẳng", "mọi rợ", "ký sinh trùng xã hội", "bọn tàn tật", "lũ bệnh hoạn", "mẹ kiếp", "bà mẹ mày", "thằng chó", "con chó này cút", "đồ khốn",
+    ],
+    "ja": [
+        "死ね", "くたばれ", "殺すぞ", "ぶっ殺す", "ぶん殴る", "クソ", "くそったれ", "クズ", "カス", "ゴミ野郎", "馬鹿野郎", "バカ野郎", "アホ", "てめえ", "この野郎", "ふざけんな", "キチガイ", "脳みそ腐ってる", "役立たず", "豚野郎", "ブス", "ババア", "ジジイ死ね", "ビッチ", "売春婦", "淫乱", "セックス", "エロ動画", "オナニー", "フェラ", "おっぱい", "ちんこ", "まんこ", "裸の写真", "やらせろ", "ヤリマン", "寄生虫", "害虫", "劣等民族", "追い出せ", "出て行け移民", "気持ち悪いオカマ", "獣だ",
+    ],
+    "zh": [
+        "操你妈", "操你", "他妈的", "你妈的", "去你妈", "草泥马", "妈逼", "傻逼", "傻屄", "煞笔", "牛逼个屁", "脑残", "白痴", "蠢猪", "蠢货", "废物", "垃圾人", "混蛋", "王八蛋", "滚蛋", "滚出去", "去死", "狗娘养", "狗东西", "婊子", "贱人", "贱货", "妓女", "鸡巴", "奶子", "裸照", "黄片", "打飞机", "约炮", "做爱", "小姐陪睡", "舔屁股", "畜生", "害虫", "寄生虫", "劣等民族", "低等人", "赶走移民", "累赘", "死残废", "死变态", "不要脸", "杀了你", "打断你的腿", "打烂你的嘴", "弄死你",
+    ],
+}
 # Not abusive, among it words that only look alike, and rules and reports about such behaviour:
 CLEAN = {
     "en": [
@@ -251,6 +269,16 @@ def variants(sentence: str, rng: random.Random) -> list[str]:
     return out + (parts if len(parts) > 1 else []) if half else [sentence]
 
 
+def spellings(phrase: str) -> list[str]:
+    """A word or phrase, and if it is long enough to stay itself, the same without accents and with a letter gone."""
+    out = [phrase]
+    if len(phrase) >= 8 and " " in phrase:
+        out.append(without_accents(phrase))
+    if len(phrase) >= 5 and phrase.isascii():
+        out += [phrase[:k] + phrase[k + 1 :] for k in range(1, len(phrase) - 1) if phrase[k] in "aeiou"][:2]
+    return out
+
+
 def _encoded(sentences: list[str]) -> np.ndarray:
     return np.frombuffer("".join(" " + s + " \0" for s in sentences).encode("utf-32-le", "replace"), np.uint32)
 
@@ -316,6 +344,7 @@ def training() -> tuple[list[str], list[str]]:
     """(abusive, clean) sentences: the labelled ones, with variants."""
     rng = random.Random(SEED)
     abusive = [n for group in ABUSIVE.values() for s in group for x in variants(s, rng) for n in normalised(x)]
+    abusive += [n for group in ABUSIVE_WORDS.values() for s in group for x in spellings(s) for n in normalised(x)]
     clean = [n for group in CLEAN.values() for s in group for x in (s, without_accents(s)) for n in normalised(x)]
     return abusive, clean
 

@@ -112,35 +112,37 @@ def plan_histogram(sizes: dict[int, int], capacities: list[int]) -> Plan:
 
 
 def pieces_of(items: DataFrame, id_col: str, size_col: str, largest: int) -> DataFrame:
-    """(id, piece, start, size): items above the largest capacity are cut into full pieces and a rest, others stay whole."""
-    n = F.greatest(F.ceil(F.col(size_col) / F.lit(largest)), F.lit(1)).cast("long")
-    cut = items.select(F.col(id_col), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_all"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1)).alias("piece"))
-    return cut.select(id_col, "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("_all") - F.col("piece") * largest).alias("size"))
+    """(_id, piece, start, size): items above the largest capacity are cut into full pieces and a rest, others stay whole."""
+    sized = items.select(F.col(id_col).alias("_id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_all"))
+    last = F.greatest(F.ceil(F.col("_all") / F.lit(largest)).cast("long"), F.lit(1)) - 1
+    cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return cut.select("_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("_all") - F.col("piece") * largest).alias("size"))
 
 
 def pack(items: DataFrame, id_col: str, size_col: str, capacities: list[int], rank_buckets: int = RANK_BUCKETS) -> DataFrame:
     """The bin of every item or piece: (id, piece, start, size, bin, capacity, used).
 
     Items of size 0 or null need no space: they get one row with null bin, capacity and used. Repeated rows are items of
-    their own. Nothing is dropped; only items above the largest capacity are cut. Ties in size are ordered by id and
-    piece within a bucket, so the result does not depend on the partitioning.
+    their own; further columns play no part. Nothing is dropped; only items above the largest capacity are cut. Ties in
+    size are ordered by id and piece within a bucket, so the result does not depend on the partitioning.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     capacities = sorted(set(int(c) for c in capacities))
-    pieces = durable(pieces_of(items, id_col, size_col, capacities[-1]).withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(rank_buckets))))
+    pieces = durable(pieces_of(items, id_col, size_col, capacities[-1]).withColumn("_b", F.pmod(F.xxhash64("_id", "piece"), F.lit(rank_buckets))))
     counts = pieces.where("size > 0").groupBy("size", "_b").agg(F.count(F.lit(1)).alias("n"))
-    counted = counts.toPandas()  # at most capacity x rank_buckets rows, whatever the number of items
+    counted = counts.toPandas().astype(np.int64)  # at most capacity x rank_buckets rows, whatever the number of items
     counted = counted.sort_values(["size", "_b"])
     plan = plan_histogram({int(s): int(n) for s, n in counted.groupby("size")["n"].sum().items()}, capacities)
     counted["offset"] = counted.groupby("size")["n"].cumsum() - counted["n"]
     offsets = np.zeros((capacities[-1] + 1, rank_buckets), np.int64)
     offsets[counted["size"].to_numpy(), counted["_b"].to_numpy()] = counted["offset"].to_numpy()
-    within = Window.partitionBy("size", "_b").orderBy(id_col, "piece")
+    within = Window.partitionBy("size", "_b").orderBy("_id", "piece")
     ranked = pieces.where("size > 0").withColumn("_r", F.row_number().over(within).cast("long") - 1)
     id_type = items.schema[id_col].dataType.simpleString()
     radix = np.int64(1) << np.int64(40)
     keys = plan.size * radix + plan.first
+    names = ["_id", "piece", "start", "size"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +151,12 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: list[int], ra
             run = np.searchsorted(keys, size * radix + index, side="right") - 1
             number = plan.bin[run] + (index - plan.first[run]) // plan.each[run]
             pattern = np.searchsorted(plan.bin_first, number, side="right") - 1
-            arrays = [batch.column(c) for c in (id_col, "piece", "start", "size")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(number), pa.array(plan.capacity[pattern]), pa.array(plan.used[pattern])], names=[id_col, "piece", "start", "size", "bin", "capacity", "used"])
+            arrays = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(number), pa.array(plan.capacity[pattern]), pa.array(plan.used[pattern])], names=[*names, "bin", "capacity", "used"])
 
-    placed = ranked.select(id_col, "piece", "start", "size", "_b", "_r").mapInArrow(place, f"`{id_col}` {id_type}, piece long, start long, size long, bin long, capacity long, used long")
-    rest = pieces.where("size <= 0").select(id_col, "piece", "start", "size", *(F.lit(None).cast("long").alias(c) for c in ("bin", "capacity", "used")))
-    return placed.unionByName(rest)
+    placed = ranked.select(*names, "_b", "_r").mapInArrow(place, f"_id {id_type}, piece long, start long, size long, bin long, capacity long, used long")
+    rest = pieces.where("size <= 0").select(*names, *(F.lit(None).cast("long").alias(c) for c in ("bin", "capacity", "used")))
+    return placed.unionByName(rest).withColumnRenamed("_id", id_col)
 
 
 def packing_summary(placed: DataFrame) -> DataFrame:
