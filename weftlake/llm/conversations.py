@@ -19,7 +19,7 @@ from weftlake.session import durable, is_blank, stripped
 
 #: Spellings of speakers (fixed values).
 SPEAKERS = {"user": ["user", "human"], "assistant": ["assistant", "bot", "model", "ai"], "system": ["system"]}
-WINDOW_S = 6 * 3600
+WINDOW_S = 3600
 TIMELESS_PARTS = 64
 
 
