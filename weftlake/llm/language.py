@@ -28,9 +28,11 @@ LANGUAGES = ["vi", "en", "ja", "zh"]
 #: The prototypes; Vietnamese written without accents has one of its own.
 PROFILES = ["vi", "vi_plain", "en", "ja", "zh"]
 _LANG_OF = np.array([0, 0, 1, 2, 3])
-DIMENSIONS = 4096
-FIT_ROWS = 20_000
-FIT_ROUNDS = 3
+DIMENSIONS = 8192
+#: How much more a single CJK letter weighs in a prototype than a longer n-gram.
+LETTER_WEIGHT = 4.0
+FIT_ROWS = 8_000
+FIT_ROUNDS = 2
 #: A language is present in a text from so many letters (CJK: characters) and words on, in units that are clearly its.
 LATIN_LETTERS, LATIN_WORDS, CJK_LETTERS = 9, 3, 4
 #: How clearly both ends of a Latin unit must differ for it to be split.
@@ -108,8 +110,23 @@ def plain_latin(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D")) if unicodedata.category(c) != "Mn")
 
 
-#: Mailboxes and domains say nothing about the language.
-_MAIL = re.compile(r"[\w.+-]+ ?(?:@|\[at\]|\(at\)) ?[\w.-]+(?: ?(?:\(dot\)|\.) ?\w+)*")
+_AT = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]*(?: ?(?:\(dot\)|\.) ?[A-Za-z0-9-]+)*")
+
+
+def without_mailboxes(text: str) -> str:
+    """Mailboxes and their domains say nothing about the language."""
+    parts, last = [], 0
+    for m in _AT.finditer(text):
+        a = m.start()
+        while a > last and text[a - 1].isascii() and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
+            a -= 1
+        b = _DOMAIN.match(text, m.end()).end()
+        if a >= last:
+            parts.append(text[last:a])
+            last = b
+    parts.append(text[last:])
+    return " ".join(parts)
 
 
 class Units:
@@ -119,7 +136,7 @@ class Units:
         kind, low, up = _tables()
         joined = unicodedata.normalize("NFKC", "\0".join((t or "").replace("\0", " ") for t in texts) + "\0")
         if "@" in joined or "[at]" in joined or "(at)" in joined:
-            joined = _MAIL.sub(" ", joined)
+            joined = without_mailboxes(joined)
         cps = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         cps = np.where(cps < 0x10000, cps, 0x1F).astype(np.uint32)
         k = kind[cps]
@@ -246,12 +263,12 @@ class Units:
         return (np.concatenate(codes), np.concatenate(owners)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-@functools.lru_cache(65536)
+@functools.lru_cache(6000)
 def _letter(code: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(code + 0x5EED)).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(8000)
 def _rotated(code: int, by: int) -> np.ndarray:
     return np.roll(_letter(code), by)
 
@@ -270,9 +287,14 @@ def gram_vector(code: int) -> np.ndarray:
 class Profiles:
     """Language prototypes, and the memory of the products of n-grams with them."""
 
-    def __init__(self, matrix: np.ndarray) -> None:
+    def __init__(self, matrix: np.ndarray, known: np.ndarray | None = None, values: np.ndarray | None = None) -> None:
         self.matrix = matrix  # languages x dimensions, centred and of unit length
-        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, len(PROFILES)), np.float32)
+        self.known = np.zeros(0, np.uint64) if known is None else known
+        self.values = np.zeros((0, len(PROFILES)), np.float32) if values is None else values
+
+    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What tasks need: the prototypes, and the products of the n-grams of the bounded fitting sample."""
+        return self.matrix, self.known, self.values
 
     def products(self, codes: np.ndarray) -> np.ndarray:
         """Of each n-gram with each prototype."""
@@ -300,22 +322,46 @@ class Profiles:
 
 
 def fit(texts_by_profile: dict[str, list[str]]) -> Profiles:
-    """Prototypes of training texts: bundles of n-grams, each weighted by the square root of its count."""
+    """Prototypes of training texts: bundles of weighted n-grams."""
     bundles = []
     for profile in PROFILES:
         codes, _ = Units(texts_by_profile[profile]).grams()
         grams, counts = np.unique(codes, return_counts=True)
         bundle = np.zeros(DIMENSIONS, np.float64)
+        # Counts are damped, so that what is rare is heard over the noise of what is frequent; single letters weigh more, as
+        # in a script of many letters they tell most.
+        weights = (1 + np.log(counts)) * np.where(grams < 1 << 21, LETTER_WEIGHT, 1.0)
         for i in range(0, len(grams), 512):
-            bundle += np.sqrt(counts[i : i + 512]) @ np.stack([gram_vector(int(c)) for c in grams[i : i + 512]]).astype(np.float64)
+            bundle += weights[i : i + 512] @ np.stack([gram_vector(int(c)) for c in grams[i : i + 512]]).astype(np.float64)
         bundles.append(bundle / max(np.linalg.norm(bundle), 1e-9))
     m = np.stack(bundles)
     m = m - m.mean(axis=0)
     return Profiles((m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32))
 
 
+@functools.lru_cache(1)
+def letters_of_one_script() -> dict[str, str]:
+    """Common Han letters that only Chinese or only Japanese national character sets have, each a text of its own."""
+    han = [chr(c) for c in range(0x4E00, 0x9FA6)]
+
+    def code(ch: str, codec: str) -> bytes:
+        try:
+            return ch.encode(codec)
+        except UnicodeEncodeError:
+            return b""
+
+    zh, ja = [], []
+    for ch in han:
+        g, j = code(ch, "gb2312"), code(ch, "shift_jis")
+        if g and not j and g[0] < 0xD8:  # the set's first level holds what is common
+            zh.append(ch)
+        elif j and not g and j < b"\x98\x9f":
+            ja.append(ch)
+    return {"zh": "。".join(zh), "ja": "。".join(ja)}
+
+
 def _training(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
-    out = {p: list(SEED.get(p, [])) * 3 for p in PROFILES}
+    out = {p: list(SEED.get(p, [])) * 3 + [letters_of_one_script().get(p, "")] * 3 for p in PROFILES}
     for text, lang in pairs:
         if lang == "vi" and text.isascii():
             out["vi_plain"].append(text)
@@ -340,6 +386,7 @@ def fit_on_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int =
         pairs = [(t, label) for t, label, s in zip(texts, labels, said, strict=True) if s[0] == [label]]
         pairs += [(t, s[0][0]) for t, s in zip(more, classify(profiles, more), strict=True) if len(s[0]) == 1 and s[1] >= 0.9]
         profiles = fit(_training(pairs))
+    classify(profiles, texts + more)  # so that tasks need not begin without any n-gram
     return profiles
 
 
@@ -409,10 +456,10 @@ def detect(df: DataFrame, id_col: str, text_col: str, profiles: Profiles) -> Dat
     Null, empty and blank texts, and texts without words of a language, get an empty array and confidence 0.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    matrix = profiles.matrix
+    sent = profiles.sent()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles(matrix)
+        own = Profiles(*sent)
         for batch in batches:
             found = classify(own, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([len(f[0]) > 1 for f in found]), pa.array([f[1] for f in found], pa.float64())], names=["id", "languages", "mixed", "confidence"])
@@ -424,10 +471,10 @@ def detect(df: DataFrame, id_col: str, text_col: str, profiles: Profiles) -> Dat
 def segment(df: DataFrame, id_col: str, text_col: str, profiles: Profiles) -> DataFrame:
     """(id, segment, lang, confidence, content): the stretches of one language of every text, in order from 0."""
     id_type = df.schema[id_col].dataType.simpleString()
-    matrix = profiles.matrix
+    sent = profiles.sent()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles(matrix)
+        own = Profiles(*sent)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             units, best, confidence, scores = judge_units(own, texts)

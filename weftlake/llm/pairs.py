@@ -133,10 +133,10 @@ def unfinished(answer: str) -> tuple[str | None, str | None]:
 
 
 def _parts(profiles: language.Profiles):
-    matrix = profiles.matrix
+    sent = profiles.sent()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = language.Profiles(matrix)
+        own = language.Profiles(*sent)
         for batch in batches:
             ids, queries, answers = (batch.column(i).to_pylist() for i in range(3))
             asked, said = language.classify(own, queries), language.classify(own, answers)
