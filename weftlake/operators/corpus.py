@@ -74,5 +74,13 @@ def contained_in(needles: DataFrame, haystacks: DataFrame, size: int = 3) -> Dat
     return found.unionByName(short.join(heads, "needle", "left_semi").select("nid")).distinct()
 
 
+def require_known(ids: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """ids, or an error that names one that is no item's."""
+    unknown = ids.select(key).join(items.select(key), key, "left_anti").orderBy(key).first()
+    if unknown is not None:
+        raise ValueError(f"unknown {key}: {unknown[0]!r}")
+    return ids
+
+
 def languages(corpus: DataFrame) -> DataFrame:
     return corpus.where("lang IS NOT NULL").select("lang").distinct()

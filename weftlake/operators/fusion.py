@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftlake.operators.bm25 import PLACES
 
+#: Fixed value of reciprocal ranks.
 RRF_K = 60
 FUSIONS = ("vector_fill", "rrf", "vector_rerank")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlake.session import WHITE
 
+#: The labels, grounded, fabricated, rightly and needlessly refused.
 LABELS = ["co_can_cu", "bia", "tu_choi_dung", "tu_choi_thua"]
 FAKE = "bia"
 

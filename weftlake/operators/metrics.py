@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hits that are judged, the name of the total row, and the thresholds of the gate.
 EVAL_K = 5
 TOTAL = "gộp"
 MIN_RECALL3, MIN_MRR = 0.85, 0.70

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlake.session import is_blank
 
+#: What stands for a missing context.
 NO_CONTEXT = "- Không có FAQ bổ sung."
 NO_JUDGE_CONTEXT = "(trống)"
 
