@@ -13,7 +13,7 @@ def three(spark):
     q = spark.createDataFrame([("q1", "one", "vi", ["a"]), ("q2", "two", "vi", ["b"]), ("q3", "three", "en", ["z"])], Q)
     lists = {"q1": ["a", "x"], "q2": ["x", "y", "b"], "q3": ["a", "b"]}
     r = spark.createDataFrame([("c", q_, d, i + 1) for q_, docs in lists.items() for i, d in enumerate(docs)], R)
-    return metrics.judged(r, q), q
+    return metrics.judged(r, q, ["c"]), q
 
 
 def test_evaluate(three):
@@ -41,8 +41,7 @@ def test_misses_and_no_hits(spark, three):
     assert [r.miss for r in metrics.misses(*three).collect()] == ['"three" -> mong đợi [z], nhận được [a, b]']
     q = spark.createDataFrame([("q9", "none", "vi", [])], Q)
     empty = spark.createDataFrame([], R)
-    names = spark.createDataFrame([("c",)], "config string")
-    m = metrics.evaluate(metrics.per_question(metrics.judged(empty, q, names)), ["config"]).first()
+    m = metrics.evaluate(metrics.per_question(metrics.judged(empty, q, ["c"])), ["config"]).first()
     assert (m.n, m.mrr, m.ndcg_at_5, m.f1_at_3) == (1, 0.0, 0.0, 0.0)
 
 

@@ -36,8 +36,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def rankings(spark: SparkSession, args: argparse.Namespace, base: DataFrame, questions: DataFrame) -> DataFrame | None:
-    """(config, qid, doc_id, rank) of all configurations; None if vectors are asked for and some are missing."""
+def rankings(spark: SparkSession, args: argparse.Namespace, base: DataFrame, questions: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    """((config, qid, doc_id, rank), configurations); no rankings if vectors are asked for and some are missing."""
     k, depth = metrics.EVAL_K, max(metrics.EVAL_K, args.candidates)
     index = bm25.build(base)
     keys = synonyms.table_of(spark, files.load_synonyms(args.synonyms)) if args.synonyms else None
@@ -54,7 +54,7 @@ def rankings(spark: SparkSession, args: argparse.Namespace, base: DataFrame, que
         docs = base.withColumn("_text", bm25.embedding_text(F.col("title"), F.col("content"))).join(stored, "_text", "left")
         asked = {name: q.join(stored, q.query == stored["_text"], "left") for name, q in scopes.items()}
         if not docs.where("embedding IS NULL").isEmpty() or not asked[""].where("embedding IS NULL").isEmpty():
-            return None  # a branch that silently falls back would be measured under the wrong name
+            return None, []  # a branch that silently falls back would be measured under the wrong name
         for name, q in asked.items():
             sem = durable(vectors.search(docs, q.select("qid", "scope", F.col("embedding").alias("vector")), depth, args.min_similarity))
             lex = durable(lexical(scopes[name], depth))
@@ -66,7 +66,7 @@ def rankings(spark: SparkSession, args: argparse.Namespace, base: DataFrame, que
     for name, hits in runs:
         part = hits.select(F.lit(name).alias("config"), "qid", "doc_id", "rank")
         out = part if out is None else out.unionByName(part)
-    return durable(out)
+    return durable(out), [name for name, _ in runs]
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -78,11 +78,11 @@ def main(argv: list[str] | None = None) -> int:
     if missing:
         print("not in the knowledge base:", ", ".join(missing), file=sys.stderr)
         return BAD_DATA
-    ranked = rankings(spark, args, base, questions)
+    ranked, configs = rankings(spark, args, base, questions)
     if ranked is None:
         print("some texts have no vector", file=sys.stderr)
         return NO_VECTORS
-    hits = metrics.judged(ranked, questions)
+    hits = metrics.judged(ranked, questions, configs)
     table = durable(metrics.evaluate_with_total(metrics.per_question(hits)))
     if args.json:
         for r in files.to_json_rows(table).collect():

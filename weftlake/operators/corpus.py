@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.functions import text as T
-from weftlake.session import broadcast_if_small, is_blank, stripped
+from weftlake.session import broadcast_if_small, durable, is_blank, stripped
 
 
 def current_chunks(rows: DataFrame) -> DataFrame:
@@ -66,6 +66,7 @@ def contained_in(needles: DataFrame, haystacks: DataFrame, size: int = 3) -> Dat
     long = wanted.where(F.length("needle") >= size)
     own = long.select("nid", "needle", F.explode(grams(F.col("needle"))).alias("gram")).join(counts, "gram", "left")
     rarest = own.groupBy("nid", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r")).where("r.n > 0").select("nid", "needle", F.col("r.gram").alias("gram"))
+    rarest = durable(rarest)
     found = broadcast_if_small(rarest).join(index, "gram").where(F.contains("text", "needle")).select("nid")
     short = wanted.where(F.length("needle") < size)
     heads = index.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.substring("gram", F.lit(1), i))).alias("needle")).unionByName(

@@ -92,9 +92,9 @@ def merge_sheets(new: DataFrame, old: DataFrame, key: str, labels: list[str]) ->
 def copy_if_verbatim(run: DataFrame, earlier: DataFrame, key: str, text: str, labels: list[str]) -> DataFrame:
     """The run with the earlier run's labels if every answer is the same after trimming, else as it is."""
     paired = run.join(earlier.select(key, F.col(text).alias("_text"), F.struct(*labels).alias("_old")), key, "left")
-    same = paired.agg(F.coalesce(F.bool_and(F.coalesce(F.trim(text) == F.trim("_text"), F.lit(False))), F.lit(False)).alias("_same"))
-    flagged = paired.crossJoin(F.broadcast(same))  # one row
-    return flagged.withColumns({c: F.when(F.col("_same"), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in labels}).drop("_text", "_old", "_same")
+    if not paired.agg(F.bool_and(F.coalesce(F.trim(text) == F.trim("_text"), F.lit(False)))).first()[0]:
+        return run
+    return paired.withColumns({c: F.col(f"_old.{c}") for c in labels}).drop("_text", "_old")
 
 
 def drifted(rebuilt: DataFrame, recorded: DataFrame, key: str, text: str) -> DataFrame:

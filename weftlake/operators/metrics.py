@@ -41,14 +41,13 @@ def f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def judged(rankings: DataFrame, questions: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+def judged(rankings: DataFrame, questions: DataFrame, configs: list[str]) -> DataFrame:
     """(config, qid, lang, expected, doc_id, rank, relevant): the first five hits of every question and configuration.
 
     Questions without a hit keep one row without a document.
     """
     hits = rankings.where(F.col("rank") <= EVAL_K).select("config", "qid", "doc_id", "rank")
-    names = configs if configs is not None else hits.select("config").distinct()
-    asked = questions.select("qid", "lang", "expected").crossJoin(F.broadcast(names))  # names are the few configurations compared
+    asked = questions.select("qid", "lang", "expected", F.explode(F.array(*[F.lit(c) for c in configs])).alias("config"))
     return asked.join(hits, ["config", "qid"], "left").withColumns({"relevant": F.coalesce(F.array_contains("expected", F.col("doc_id")), F.lit(False)), "n_expected": F.size(F.array_distinct("expected"))})
 
 

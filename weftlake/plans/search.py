@@ -142,8 +142,7 @@ def _rankings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rankings, q = _rankings(spark, sf)
-    configs = spark.createDataFrame([("bm25",), ("bm25+lang",), ("bm25+lang+syn",)], "config string")
-    return metrics.judged(rankings, q, configs), q
+    return metrics.judged(rankings, q, ["bm25", "bm25+lang", "bm25+lang+syn"]), q
 
 
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
