@@ -110,12 +110,12 @@ def plain_latin(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D")) if unicodedata.category(c) != "Mn")
 
 
-_AT = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
+_AT = re.compile(r" ?(?:[@＠]|\[at\]|\(at\)) ?")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]*(?: ?(?:\(dot\)|\.) ?[A-Za-z0-9-]+)*")
 
 
 def without_mailboxes(text: str) -> str:
-    """Mailboxes and their domains say nothing about the language."""
+    """A text without mailboxes and their domains: they say nothing about its language, nor what words stand for."""
     parts, last = [], 0
     for m in _AT.finditer(text):
         a = m.start()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlake.llm.language import without_mailboxes
 from weftlake.session import broadcast_if_small, durable
 
 #: The company's own contacts are no personal data (fixed values, without blanks, lower case).
@@ -106,8 +107,6 @@ _WEAK_NAMES = [
 #: Words that a booking may be "for" without naming anyone.
 _NO_NAME = {"mình", "minh", "em", "tôi", "toi", "gia", "đình", "dinh", "nhóm", "nhom", "con", "bé", "family", "my", "me", "the", "our", "your", "us", "two", "people"}
 _DIGITS = re.compile(rf"{_D}+")
-#: Names within mailboxes are not counted as words.
-_MAILBOX = re.compile(r"[\w.+-]+ ?(?:[@＠]|\[at\]|\(at\)) ?[\w.-]+")
 #: Phrases that lead to an address in a script without spaces.
 _LEAD = re.compile(r"^(?:我住在|住在|发票寄到|寄到|地址是?|住所は|お届け先は)\s*[:：]?")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -205,7 +204,7 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         tables, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-        words.update(_WORDS.findall(_MAILBOX.sub(" ", "\n".join(t for t in texts if t)).lower()))
+        words.update(_WORDS.findall(without_mailboxes("\n".join(t for t in texts if t)).lower()))
         for tbl, row_id, text in zip(tables, ids, texts, strict=True):
             if text:
                 rows += [(tbl, row_id, *found, 1) for found in propose(text)]
