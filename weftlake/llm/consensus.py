@@ -179,8 +179,7 @@ def krippendorff(votes: DataFrame) -> DataFrame:
     per = votes.groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
     sized = per.withColumn("m", F.sum("n").over(Window.partitionBy("id"))).where("m >= 2")
     by_item = sized.groupBy("id").agg(F.first("m").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
-    observed = by_item.agg(F.count(F.lit(1)).alias("items"), F.sum("m").alias("votes"), F.sum(1 - F.col("same") / (F.col("m") - 1) / F.col("m") + F.lit(0.0)).alias("_"), F.sum(F.col("m") - F.col("same") / (F.col("m") - 1)).alias("differ"))
-    expected = sized.groupBy("label").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("total"), F.sum(F.col("n") * (F.col("n") - 1)).alias("alike"))
-    both = observed.crossJoin(F.broadcast(expected))  # one row each
-    de = F.col("total") - F.col("alike") / (F.col("total") - 1)
-    return both.select("items", "votes", F.round(1 - F.try_divide(F.col("differ"), de), 6).alias("alpha"))
+    observed = by_item.agg(F.count(F.lit(1)).alias("items"), F.sum("m").alias("votes"), F.sum(F.col("m") - F.col("same") / (F.col("m") - 1)).alias("differ"), F.lit(1).alias("one"))
+    expected = sized.groupBy("label").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("total"), F.sum(F.col("n") * (F.col("n") - 1)).alias("alike"), F.lit(1).alias("one"))
+    by_chance = F.col("total") - F.col("alike") / (F.col("total") - 1)
+    return observed.join(expected, "one").select("items", "votes", F.round(1 - F.try_divide(F.col("differ"), by_chance), 6).alias("alpha"))

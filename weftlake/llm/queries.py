@@ -10,6 +10,7 @@ from weftlake.session import stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 METRIC_KEYS = ["lang", "outcome", "day"]
+_WHITE_SQL = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 # Problem 2: conversations
@@ -23,7 +24,6 @@ def p2_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.conversations(table(spark, sf, "chat_messages"))
 
 
-_WHITE_SQL = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _P2_SQL = (
     "WITH r AS (SELECT DISTINCT session_id, message_id, created_at, role, content FROM chat_messages WHERE session_id IS NOT NULL), "
     f"t AS (SELECT *, lower(regexp_replace(coalesce(role, ''), '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g')) AS ro FROM r), "
@@ -73,6 +73,21 @@ def p3_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.krippendorff(_votes(spark, sf))
 
 
+def _label_sql(c: str) -> str:
+    x = f"regexp_replace(regexp_replace(lower({c}), '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g'), '[-\\s\\x{{00A0}}\\x{{3000}}]+', '_', 'g')"
+    return f"CASE WHEN {x} IN ('co_can_cu', 'bia', 'tu_choi_dung', 'tu_choi_thua') THEN {x} END"
+
+
+_P3_SQL = (
+    f"WITH v AS (SELECT id, 'nhan_tay' AS rater, {_label_sql('nhan_tay')} AS label, NULL::TIMESTAMP AS t, NULL::BIGINT AS rn FROM faithfulness UNION ALL SELECT id, 'nhan_judge', {_label_sql('nhan_judge')}, NULL, NULL FROM faithfulness "
+    f"UNION ALL SELECT id, 'cham:' || trim(nguoi_cham, ' '), {_label_sql('nhan_tay')}, cham_luc, row_no FROM relabel_sheets UNION ALL SELECT id, 'judge:' || trim(judge, ' '), {_label_sql('nhan_judge')}, chay_luc, row_no FROM judge_runs), "
+    "l AS (SELECT id, rater, label FROM v WHERE id IS NOT NULL AND rater IS NOT NULL AND label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, rater ORDER BY coalesce(t, TIMESTAMP '0001-01-01') DESC, coalesce(rn, -1) DESC, label DESC) = 1), "
+    "c AS (SELECT id, label, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY id) AS m FROM c QUALIFY m >= 2), "
+    "i AS (SELECT id, max(m) AS m, sum(n * (n - 1)) AS same FROM s GROUP BY id), o AS (SELECT count(*) AS items, CAST(sum(m) AS BIGINT) AS votes, sum(m - same / (m - 1)) AS differ FROM i), e AS (SELECT sum(n) AS total, sum(n * (n - 1)) AS alike FROM (SELECT label, sum(n) AS n FROM s GROUP BY label)) "
+    "SELECT items, votes, round(1 - differ / (total - alike / (total - 1)), 6) AS alpha FROM o, e"
+)
+
+
 # Problem 4: languages
 
 
@@ -152,6 +167,28 @@ def p7_overall(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge_summaries(p7_summaries(spark, sf), keys), keys, QS)
 
 
+def p7_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every group, whether each percentile lies within its stated error and within half a percent of the ranks."""
+    rows, daily = _latencies(spark, sf).where("latency_ms IS NOT NULL"), p7_daily(spark, sf)
+    same = None
+    for k in METRIC_KEYS:
+        daily = daily.withColumnRenamed(k, f"_{k}")
+        c = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = c if same is None else same & c
+    counts = [F.count_if(F.col("latency_ms") < F.col(q)).alias(f"{q}_below") for q in QS] + [F.count_if(F.col("latency_ms") <= F.col(q)).alias(f"{q}_upto") for q in QS]
+    found = rows.join(daily, same).groupBy(*METRIC_KEYS, "n", "rank_error").agg(*counts, F.count(F.lit(1)).alias("rows"))
+    wanted = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p - 1e-9))
+    off = [F.greatest(F.col(f"{q}_below") + 1 - wanted(p), wanted(p) - F.col(f"{q}_upto"), F.lit(0)) for q, p in QS.items()]
+    worst = F.greatest(*off)
+    return found.select("lang", "outcome", F.col("day").cast("string").alias("day"), "n", ((F.col("rows") == F.col("n")) & (worst <= F.col("rank_error")) & (F.col("rank_error") <= quantiles.EPSILON * F.col("n") + 1)).alias("within"))
+
+
+_P7_SQL = (
+    f"WITH r AS (SELECT DISTINCT metric_id, created_at, lang, outcome, latency_ms FROM chat_turn_metrics) SELECT nullif(left(lower(regexp_replace(lang, '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g')), 2), '') AS lang, "
+    f"nullif(lower(regexp_replace(outcome, '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g')), '') AS outcome, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS n, true AS within FROM r WHERE latency_ms >= 0 GROUP BY ALL"
+)
+
+
 # Problem 8: token ids
 
 
@@ -175,6 +212,17 @@ def p9_windows(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "tokens", kinds)
 
 
+def p9_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents are placed, how many of them not whole or cut without need, and how many windows are overfull."""
+    placed = p9_windows(spark, sf)
+    sizes = tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text")
+    largest = table(spark, sf, "context_windows").agg(F.max("capacity_tokens")).first()[0]
+    docs = placed.groupBy("doc_id").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("pieces")).join(sizes, "doc_id", "full")
+    wrong = F.coalesce((F.col("held") != F.col("tokens")) | ((F.col("pieces") > 1) & (F.col("tokens") <= largest)), F.lit(True))
+    over = placed.where("bin IS NOT NULL").groupBy("bin", "capacity").agg(F.sum("size").alias("held")).agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"), F.lit(1).alias("one"))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("wrong"), F.lit(1).alias("one")).join(over, "one").drop("one")
+
+
 def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
@@ -195,9 +243,12 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p8_ids, p8_roundtrip, p9_windows, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p8_ids, p8_roundtrip, p9_windows, p9_complete, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
+    "p3_agreement": _P3_SQL,
+    "p7_verified": _P7_SQL,
+    "p9_complete": "SELECT count(*) AS documents, 0 AS wrong, 0 AS overfull FROM documents",
     "p8_roundtrip": "SELECT true AS same, count(*) AS n FROM documents",
 }
