@@ -118,11 +118,10 @@ _TAGS = re.compile(r"<[^>]{0,200}>")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "!": "i", "|": "i", "€": "e"})
 _ROMAN = "a-zà-ɏḀ-ỿ"
 _MIXED = re.compile(rf"(?<![{_ROMAN}0-9$@])[{_ROMAN}0-9$@!|€]*(?:[{_ROMAN}][0134578$@!|€]|[0134578$@€][{_ROMAN}])[{_ROMAN}0-9$@!|€]*")
-_STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _BETWEEN = re.compile(r"(?<=[^\W\d_])[*・·•_~^`´'’\-.#+=|]+(?=[^\W\d_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·・]){2,}[^\W\d_](?![^\W_])")
 _SPLIT = re.compile(r"[.!?。！？;；\n\r…]+")
-_NOT_LETTER = re.compile(r"[^\w]+")
+_NOT_LETTER = re.compile(r"[^\w\n]+")
 _NUMBERS = re.compile(r"\d+")
 
 
@@ -140,13 +139,19 @@ def normalised(text: str) -> list[str]:
     t = _MIXED.sub(_unleet, t)
     t = _BETWEEN.sub(lambda m: "" if m.group()[0] not in ".-'’" or len(m.group()) > 1 else m.group(), t)
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·・]", "", m.group()), t)
-    t = _STRETCH.sub(r"\1", t)
-    out = []
-    for s in _SPLIT.split(t):
-        s = _NUMBERS.sub("0", _NOT_LETTER.sub(" ", s)).strip()
-        if s:
-            out.append(s)
-    return out
+    t = _NOT_LETTER.sub(" ", _NUMBERS.sub("0", _SPLIT.sub("\n", t)))
+    return [s for s in map(str.strip, t.split("\n")) if s]
+
+
+def _encoded(sentences: list[str]) -> np.ndarray:
+    """Code points of the sentences, each ended by 0; a letter that is stretched to three or more stands once."""
+    cps = np.frombuffer("".join(" " + s + " \0" for s in sentences).encode("utf-32-le", "replace"), np.uint32)
+    if len(cps) < 3:
+        return cps
+    same = np.concatenate([[False], cps[1:] == cps[:-1], [False]])
+    run = np.cumsum(~same[:-1])
+    length = np.bincount(run)
+    return cps[~same[:-1] | (length[run] < 3) | (cps == 0)]
 
 
 def without_accents(text: str) -> str:
@@ -210,19 +215,17 @@ class Weights:
     def scores(self, table: tuple[np.ndarray, np.ndarray], docs: list[list[str]]) -> np.ndarray:
         """Per document, the log-odds of its most abusive stretch; minus infinity for one without letters."""
         mark, value = table
-        lengths = [[len(s) + 2 for s in d] for d in docs]
-        text = "".join(" " + s + " \0" for d in docs for s in d)
         out = np.full(len(docs), -np.inf)
-        if not text:
+        cps = _encoded([s for d in docs for s in d])
+        if not len(cps):
             return out
-        cps = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         gain = np.zeros(len(cps), np.float32)
         for h in gram_hashes(cps):
             slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
             hit = (mark[slot] == (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)) & (h != 0)
             gain += np.where(hit, value[slot], 0)
         best, _ = _runs(gain, cps)
-        owner = np.repeat(np.arange(len(docs)), [len(x) for x in lengths])
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         np.maximum.at(out, owner, best + self.bias)
         return out
 
@@ -279,10 +282,6 @@ def spellings(phrase: str) -> list[str]:
     return out
 
 
-def _encoded(sentences: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(" " + s + " \0" for s in sentences).encode("utf-32-le", "replace"), np.uint32)
-
-
 def fit(abusive: list[str], clean: list[str]) -> Weights:
     """Naive Bayes log-count ratios times the weights of a logistic regression on the scaled features.
 
