@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that trains as text which is not abusive: documents, in how many of them a pattern must
-#: occur, and in how many it is frequent.
-FIT_DOCS, FIT_REPEATS, FIT_FREQUENT = 4000, 4, 8
-#: Log-odds of a text without any known n-gram, and the scores of the labelled fit from which on a repeated and a
-#: frequent pattern are not taken as clean.
-PRIOR, DOUBT, SURE = -4.0, 5.0, 12.0
+from weftlake.llm.language import SEED as SEED_TEXTS
+
+#: Bound of the sample that trains as text which is not abusive.
+FIT_DOCS = 4000
+#: (documents with a sentence pattern, score of the labelled fit up to which the pattern is then taken as clean).
+FIT_DOUBT = [(8, 12.0), (4, 5.0), (2, 0.0)]
+#: Log-odds of a text without any known n-gram.
+PRIOR = -4.0
 ORDERS = (1, 2, 3, 4, 5)
 TABLE_BITS = 22
 #: Smoothing of counts, strength of regularisation, rounds and seed of the fit.
@@ -58,7 +60,7 @@ ABUSIVE = {
         "cái mặt mày ngu như bò", "lũ chó má ăn tiền rồi im", "người già vô dụng, chết quách ở nhà đi", "đồ ngu, làm ăn như chó", "em ơi cho anh sờ vú cái", "con nhỏ mông ngon, muốn bú liếm quá", "thằng tài xế khốn nạn, cút đi",
         "đàn bà thì không có não, cấm lái xe hết", "tìm gái gọi qua đêm gần bến", "dân miền trên toàn quân trộm cắp bẩn thỉu", "tụi mày là lũ súc sinh", "địt mẹ chờ lâu", "dân ở đó toàn một giống hạ đẳng", "lũ nhập cư là súc vật, tống cổ đi",
         "bọn người nước ngoài là lũ ký sinh, đuổi hết khỏi máy bay", "muốn chịch em nhân viên", "vãi lồn cái xe này", "đụ má tụi bây", "mày là thằng chó đẻ", "tao giết hết chúng mày", "bọn tàn tật là gánh nặng, đừng cho lên xe", "con đĩ này câm mồm", "đồ lừa đảo khốn kiếp",
-        "thằng ngu này lái xe như cứt", "cặc, mất toi tiền", "xem phim sex trên xe rồi thủ dâm", "cho anh xem lồn em đi", "lần sau trễ nữa tao chặt chân mày", "bọn đồng tính bệnh hoạn nên nhốt lại", "đồ súc vật", "cút mẹ mày đi", "bọn khuyết tật chỉ tổ vướng chân, đừng cho lên xe", "vãi lồn cái tàu này", "đợi địt mẹ mấy tiếng", "đồ mặt dày, chết mẹ mày đi",
+        "thằng ngu này lái xe như cứt", "cặc, mất toi tiền", "xem phim sex trên xe rồi thủ dâm", "cho anh xem lồn em đi", "lần sau trễ nữa tao chặt chân mày", "bọn đồng tính bệnh hoạn nên nhốt lại", "đồ súc vật", "cút mẹ mày đi", "bọn khuyết tật chỉ tổ vướng chân, đừng cho lên xe", "vãi lồn cái tàu này", "địt mẹ chờ cả mấy tiếng", "địt mẹ, đợi mãi", "đồ mặt dày, chết mẹ mày đi",
     ],
     "ja": [
         "死ね、クズ運転手", "運転手をぶん殴ってやる", "老人は臭いから家で死んでろ", "この役立たずの豚が", "この馬鹿野郎、金を返せ", "移民は獣だ、出て行け", "頭おかしいのか、このアホども", "てめえらはゴミだ、消えろ", "お前ら脳みそ腐ってるだろ", "カス社員は全員くたばれ",
@@ -96,20 +98,20 @@ CLEAN = {
         "Cockatoos and other birds stay at home", "My cocker spaniel slept in her crate the whole trip", "The Bastion Hotel bar serves a strong cocktail", "The hell of a queue moved faster than feared", "There was free water and a shiitake soup at the canteen", "The new terminal has an assistance desk",
         "I took the night train and the driver waited in the rain", "Anything above the allowance costs extra", "Hate speech and insults are not tolerated on our trains", "A passenger was fined for insulting the conductor", "Please report abusive or obscene messages to us", "The assassin in the film takes a train to Scunthorpe and Sussex",
         "The dickens of a delay, but the staff were kind", "Pussy willow and titmice along the line", "Classic bass music in the passage", "Old people and the disabled board first", "Women may book the ladies compartment", "Foreigners need a passport to board", "my dog is dumb but lovely", "the wait was killing me", "naive cafe", "good screw tops on the bottles",
-        "the seat was damaged", "may my small dog sit next to me, thanks", "can I lick the ice cream on board", "the night was dead quiet", "I was dying for a coffee", "shot of espresso at the bar", "The staff were kind, though the fan was noisy", "Five stars if the waiting hall had not been so slow", "Paying that much for the stops felt fair",
+        "the seat was damaged", "the price was fair for so many stops", "my aunt went to buy bread at the rest stop", "since my cousin came along I picked the sleeper", "next time I will take the earlier service to avoid the crowd", "a nurse from the next row said the blanket was worn", "the second driver kept praising the luggage desk", "there are several departures a day through this town", "the seat map locks before it leaves", "cats and dogs travel in a closed crate", "the hall was noisy but clean", "minors who ride alone need a form signed by whoever meets them", "if the scanner fails staff can type in the code by hand", "to change your number sign out of the other devices first", "groups should call first so that we can seat them together", "the app said late but we came in early", "may my small dog sit next to me, thanks", "can I lick the ice cream on board", "the night was dead quiet", "I was dying for a coffee", "shot of espresso at the bar", "The staff were kind, though the fan was noisy", "Five stars if the waiting hall had not been so slow", "Paying that much for the stops felt fair",
     ],
     "vi": [
         "Hành vi quấy rối tình dục trên xe được báo ngay cho tổ lái", "Khách chửi bới hoặc đe dọa nhân viên sẽ bị mời xuống", "Giới tính ghi trên vé phải khớp giấy tờ", "Bé ngủ ngu ngơ suốt chặng, thương lắm", "Chó con và lợn cảnh đều phải có lồng", "Mình mò mẫm mãi mới thấy chỗ nhập mã", "Con chó nhà mình nằm ngoan trong lồng suốt chặng",
         "Thằng bé nhà mình thích ngồi sát cửa sổ để đếm cột đèn", "thằng em út xuống mua bánh mì", "Xe chết máy giữa đèo, cả đoàn đứng đợi", "Người già và người khuyết tật được lên trước", "Phụ nữ mang thai ngồi ghế đầu", "Bà ngoại mình kêu đệm ngồi mát", "Nội dung khiêu dâm và lời lẽ thù ghét bị cấm trên xe", "Đã xử phạt hành khách xúc phạm nhân viên",
-        "Mèo và chó phải nằm trong lồng kín có lót thấm khi đi tàu", "Mẹ mình đi cùng nên chọn xe giường nằm", "Đồ ăn sáng cũng tạm", "Đồ đạc để quên trên xe giữ lại một tuần", "Người nước ngoài cần hộ chiếu", "Lũ trẻ ngủ say trên tàu", "bọn mình đi chung một đoàn", "cứ khen bữa sáng mãi", "đợi chết đi được mà vẫn vui", "Nước uống miễn phí, khăn lạnh cũng có, nhà vệ sinh thì tạm", "tao nhã, lịch sự",
+        "Mèo và chó phải nằm trong lồng kín có lót thấm khi đi tàu", "Mẹ mình đi cùng nên chọn xe giường nằm", "Đồ ăn sáng cũng tạm", "Đồ đạc để quên trên xe giữ lại một tuần", "Người nước ngoài cần hộ chiếu", "Lũ trẻ ngủ say trên tàu", "bọn mình đi chung một đoàn", "cứ khen bữa sáng mãi", "đợi chết đi được mà vẫn vui", "Nước uống miễn phí, khăn lạnh cũng có, nhà vệ sinh thì tạm", "tao nhã, lịch sự", "nếu ghế đừng chật như vậy thì mình cho năm sao", "nhân viên nói năng nhẹ nhàng, quạt hơi ồn", "giá như vậy là hợp lý", "nếu phòng chờ đừng ồn như vậy thì mình cho năm sao", "nếu màn hình đừng mờ như vậy thì mình cho năm sao", "lần sau mình đặt chuyến khác cho đỡ đông", "lúc tới nơi thì phòng chờ mát hẳn ra", "đi với bà nên mình đặt xe giường nằm cho tiện", "mang vali lên xe có bị tính thêm tiền không", "chuyến chạy trễ vì mưa lớn", "hủy sát giờ sẽ mất tiền vé", "còn ghế cạnh cửa sổ không", "cuối tuần có ai trực hỗ trợ không", "bác tài vẫn chờ thêm dưới mưa", "bảng giá ồn ào, tấm chăn rối",
     ],
     "ja": [
         "手数料も馬鹿にならない金額です", "死ぬほど眠かったけれど、乗り換えには間に合いました", "連休は窓口に客が殺到して、何時間も並びました", "乗務員への暴言や脅しがあった場合は降車をお願いします", "車内での性的な嫌がらせはすぐに係員へお知らせください", "ゴミは各自でお持ち帰りください", "性別は切符と同じものをご記入ください", "うちの犬はケージの中でおとなしくしていました",
-        "ご高齢の方と障害のある方からご乗車ください", "女性専用車両があります", "外国人のお客様は旅券をお持ちください", "差別的な発言や卑猥な画像は禁止です", "迷惑行為の報告を受け、警察に通報しました", "荷物が重くて死にそうでしたが手伝ってもらえました", "豚肉を使わないお弁当もあります", "馬に乗れる牧場と鹿の公園", "頭が痛くなったので薬をもらいました", "祖母も一緒なのでフェリーにしました", "やばいくらい美味しい駅弁", "殺風景な待合室", "くそまじめな運転手さん",
+        "ご高齢の方と障害のある方からご乗車ください", "女性専用車両があります", "外国人のお客様は旅券をお持ちください", "差別的な発言や卑猥な画像は禁止です", "迷惑行為の報告を受け、警察に通報しました", "荷物が重くて死にそうでしたが手伝ってもらえました", "豚肉を使わないお弁当もあります", "馬に乗れる牧場と鹿の公園", "頭が痛くなったので薬をもらいました", "祖母も一緒なのでフェリーにしました", "やばいくらい美味しい駅弁", "殺風景な待合室", "くそまじめな運転手さん", "料金表は去年より雑です", "着くころには座布団がかなりきれいでした", "同僚が朝食をずっとほめていました", "雨の中でも運転手さんが待ってくれました", "息子が一人で行けますか", "番号の席は窓側です", "次の便にして混雑を避けようと思います", "お一人様のお荷物は合計二十キロまで", "この値段なら納得です", "扇風機の音が少し気になりました", "迎える方の署名が必要です",
     ],
     "zh": [
         "小朋友和他妈妈坐在后排，一直在看窗外的草原", "行李笨重，好在有人帮忙抬上去", "请把垃圾带下车", "车上遇到性骚扰请马上告诉乘务员", "辱骂或威胁乘务员的旅客会被请下车", "性别要和证件一致", "我家狗狗一路都乖乖待在笼子里", "因为我外婆也去，就选了动车", "同事说毛毯贵，我觉得还行", "老人和残疾人优先上车", "女士可以订女性车厢", "外国旅客请带护照",
-        "禁止发布色情和仇恨言论", "有人骂人已经报警处理", "操作很简单，在体操馆旁边", "猪肉便当卖完了", "困死了，但是赶上了换乘", "杀到车站排队的人很多", "蠢蠢欲动的小狗", "傻傻分不清两个站", "滚动显示屏看不清", "屁股坐疼了，座位有点硬", "鸡蛋和鸭子", "小姐姐很热情地帮忙", "我儿子能一个人去吗", "破旧但是干净的车站",
+        "禁止发布色情和仇恨言论", "有人骂人已经报警处理", "操作很简单，在体操馆旁边", "猪肉便当卖完了", "困死了，但是赶上了换乘", "杀到车站排队的人很多", "蠢蠢欲动的小狗", "傻傻分不清两个站", "滚动显示屏看不清", "屁股坐疼了，座位有点硬", "鸡蛋和鸭子", "小姐姐很热情地帮忙", "我儿子能一个人去吗", "破旧但是干净的车站", "下着雨司机还多等了几分钟", "机器扫不出来时工作人员会手动输入", "旁边的学生说空调混乱，我觉得还行", "说实话显示屏比去年吵", "下次我订早一点的那班，人少一点", "座位比想象的宽，一觉就到了", "孩子独自坐车时需要接站人的签字", "在休息站下车买了面包", "员工很客气，就是风扇有点吵", "带箱子上车要加钱吗", "一直夸毛毯和早餐",
     ],
 }
 
@@ -344,7 +346,7 @@ def training() -> tuple[list[str], list[str]]:
     rng = random.Random(SEED)
     abusive = [n for group in ABUSIVE.values() for s in group for x in variants(s, rng) for n in normalised(x)]
     abusive += [n for group in ABUSIVE_WORDS.values() for s in group for x in spellings(s) for n in normalised(x)]
-    clean = [n for group in CLEAN.values() for s in group for x in (s, without_accents(s)) for n in normalised(x)]
+    clean = [n for kind in (CLEAN, SEED_TEXTS) for group in kind.values() for s in group for x in (s, without_accents(s)) for n in normalised(x)]
     return abusive, clean
 
 
@@ -357,7 +359,7 @@ def repeated(sample: list[str]) -> list[tuple[str, int]]:
             seen[key] += 1
             if len(example.setdefault(key, [])) < 3:
                 example[key].append(s)
-    return [(s, n) for key, n in seen.items() if n >= FIT_REPEATS for s in example[key]]
+    return [(s, n) for key, n in seen.items() if n >= FIT_DOUBT[-1][0] for s in example[key]]
 
 
 def fit_on_sample(documents: DataFrame, text_col: str, docs: int = FIT_DOCS) -> Weights:
@@ -373,7 +375,7 @@ def fit_on_texts(sample: list[str]) -> Weights:
     first = fit(abusive, clean)
     more = repeated(sample)
     scores = first.scores(first.table(), [[s] for s, _ in more])
-    kept = [s for (s, n), z in zip(more, scores, strict=True) if z <= (SURE if n >= FIT_FREQUENT else DOUBT)]
+    kept = [s for (s, n), z in zip(more, scores, strict=True) if z <= next(most for least, most in FIT_DOUBT if n >= least)]
     return fit(abusive, clean + sorted({x for s in kept for x in (s, without_accents(s), *normalised(misread(s)))}))
 
 
