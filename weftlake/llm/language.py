@@ -435,13 +435,17 @@ def presence(units: Units, best: np.ndarray, confidence: np.ndarray, scores: np.
 NEUTRAL = {"ok", "okay", "oke", "okie", "vip", "wifi", "qr", "pdf", "sms", "otp", "email", "id", "app", "vs"}
 
 
+def is_neutral(text: str | None) -> bool:
+    return text is not None and len(text) < 12 and set(text.lower().split()) <= NEUTRAL
+
+
 def classify(profiles: Profiles, texts: list[str | None]) -> list[tuple[list[str], float]]:
     """(languages, confidence) of each text: none, one, or several if it is mixed."""
     units, best, confidence, scores = judge_units(profiles, texts)
     main, present, sure = presence(units, best, confidence, scores)
     out = []
     for i, t in enumerate(texts):
-        if main[i] < 0 or (len(t) < 12 and set(t.lower().split()) <= NEUTRAL):
+        if main[i] < 0 or is_neutral(t):
             out.append(([], 0.0))
         elif present[i].sum() > 1:
             out.append(([LANGUAGES[j] for j in np.flatnonzero(present[i])], float(sure[i])))
@@ -485,7 +489,7 @@ def segment(df: DataFrame, id_col: str, text_col: str, profiles: Profiles) -> Da
                 # A unit too short to be a clause goes with what stands before it.
                 clause = units.letters[u] >= (CJK_LETTERS if units.cjk[u] else LATIN_LETTERS) and (units.cjk[u] or units.words[u] >= LATIN_WORDS)
                 lang = int(best[u]) if clause and present[t].sum() > 1 else (rows[-1][1] if rows and rows[-1][0] == t else int(main[t]) if main[t] >= 0 else -1)
-                if lang < 0:
+                if lang < 0 or is_neutral(texts[t]):
                     continue
                 if rows and rows[-1][0] == t and rows[-1][1] == lang:
                     rows[-1][3] = int(units.stop[u])
