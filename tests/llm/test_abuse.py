@@ -66,3 +66,13 @@ def test_tables(spark, weights):
     assert {(r.source, r.documents, r.abusive) for r in A.rates(scored, "source").collect()} == {("a", 3, 1), (None, 1, 0)}
     assert A.score(df.where("false"), "doc_id", "text", weights).collect() == []
     assert A.fit_on_sample(df.where("false"), "text").hashes.size > 0
+
+
+def test_repeated_abuse_is_not_clean():
+    """However many texts hold it, also behind a beginning that clean sentences share."""
+    bad = ["those filthy liars can rot", "the clerk is a stupid lying pig", "đồ chó má lừa đảo"]
+    tail = [f"Booking {c * 3} was kept." for c in "abcdefghijkl"]
+    assert all(flagged(A.fit_on_texts([f"{s}. {t}" for s in bad for t in tail]), *bad))
+    start = "at the calder bay counter the"
+    w = A.fit_on_texts([f"{start} {x}. {t}" for x in ("man sold bread", "clerk is a stupid lying pig") for t in tail])
+    assert flagged(w, f"{start} clerk is a stupid lying pig", f"{start} man sold bread") == [True, False]

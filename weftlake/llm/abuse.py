@@ -30,8 +30,8 @@ from weftlake.llm.language import SEED as SEED_TEXTS
 
 #: Bound of the sample that trains as text which is not abusive.
 FIT_DOCS = 4000
-#: (documents with a sentence pattern, score of the labelled fit up to which the pattern is then taken as clean).
-FIT_DOUBT = [(8, 12.0), (4, 5.0), (2, 0.0)]
+#: Distinct texts that a sentence pattern must stand in to train as clean.
+REPEATED = 2
 #: Log-odds of a text without any known n-gram.
 PRIOR = -4.0
 ORDERS = (1, 2, 3, 4, 5)
@@ -114,6 +114,43 @@ CLEAN = {
         "禁止发布色情和仇恨言论", "有人骂人已经报警处理", "操作很简单，在体操馆旁边", "猪肉便当卖完了", "困死了，但是赶上了换乘", "杀到车站排队的人很多", "蠢蠢欲动的小狗", "傻傻分不清两个站", "滚动显示屏看不清", "屁股坐疼了，座位有点硬", "鸡蛋和鸭子", "小姐姐很热情地帮忙", "我儿子能一个人去吗", "破旧但是干净的车站", "下着雨司机还多等了几分钟", "机器扫不出来时工作人员会手动输入", "旁边的学生说空调混乱，我觉得还行", "说实话显示屏比去年吵", "下次我订早一点的那班，人少一点", "座位比想象的宽，一觉就到了", "孩子独自坐车时需要接站人的签字", "在休息站下车买了面包", "员工很客气，就是风扇有点吵", "带箱子上车要加钱吗", "一直夸毛毯和早餐",
     ],
 }
+# Ordinary talk of travel, labelled by reading: what most texts consist of.
+ORDINARY = {
+    "en": [
+        "Service VX 204 from Calder Bay to Dunmere leaves at 08:15 and runs about 20 minutes late in heavy rain", "Late cancellation between Fenwick Sands and Calder Bay forfeits 30% of the fare", "Choose Stonevale as origin and Kestrel Falls as destination, then hold the seat for 15 minutes", "Hello, how do I book 2 tickets from Calder Bay to Merrow Point, thanks", "Sorry to bother, how many flight departures go from Calder Bay to Fenwick Sands", "Quick question, how many sleeper bus departures go from Merrow Point to Harrow Creek please",
+        "Until when does the Calder Bay offer run", "The Ninh Trach offer ends on 12/5", "To be honest the air conditioning at Kestrel Coaches is more worn than last year", "To be honest the departure board at Tideway is colder than last year", "To be honest the price list at Copperline Rail is more pleasant than last year", "By the time we got to Calder Bay the cushion had become worn",
+        "I took the ferry from Merrow Point and the driver waited 10 more minutes in the rain", "Can I drop a cello case at Westmarrow", "Can I pay cash at Merrow Point", "Who runs the corner stall at Calder Bay", "Surfboards and folding bikes are weighed at the Ashby Cross counter 30 minutes before departure", "Open your trips, pick booking SE 1234 and cancel at least 12 hours ahead",
+        "For urgent cases call our hotline 1900 1234 or write to help at our mailbox", "Groups of 10 or more should call first so that we can seat them together", "Minors riding the coach alone need a form signed by whoever meets them at Calder Bay", "A child under 6 sharing a seat with an adult needs no ticket of its own", "If the scanner fails, Copperline Rail staff can type in BK 123 by hand", "Is the stop on the way to Calder Bay",
+        "For how many minutes is the seat held", "The second driver in seat A4 kept praising the air conditioning", "The new terminal at Calder Bay has 12 breakfast stalls and an assistance desk", "Cats and dogs under 7 kg travel in a closed crate with an absorbent pad", "Caged birds are not allowed in the Larkspur Lines cabin, papers or not", "At the Harrow Creek stop a nurse from the next row went to buy 3 rolls",
+        "My wife went to buy 2 rolls at the Stonevale stop", "There are 6 coach departures a day through Port Lindley", "To change your profile number, sign out of the other 2 devices first", "Comments about a Bluefinch Air driver are kept for 30 days", "Copperline Rail staff at Ashby Cross were kind, though the fan was noisy", "You can pay by wallet, by local card or in cash at the Fenwick Sands desk",
+    ],
+    "vi": [
+        "Dạ em chào, từ Gia Mạc về Ninh Trạch ngày có mấy chuyến xe limousine", "Ad cho hỏi từ Hòa Lộc về Phú Lương Hạ ngày có mấy chuyến máy bay nhỉ", "Shop ơi từ Kim Sa về Cẩm Vân ngày có mấy chuyến tàu hỏa giúp mình với", "Cho mình hỏi mèo 4 ký đi máy bay thì để ở đâu ạ", "Bạn ơi muốn góp ý tài xế Lúa Vàng thì gửi vào đâu nhỉ", "Cho mình hỏi đặt 2 vé từ Cẩm Vân đi Ninh Trạch kiểu gì",
+        "Bạn ơi trả tiền mặt tại bến Ninh Trạch được không, giúp mình với", "Ad cho hỏi mang 2 vali 20 ký lên xe khách có bị tính thêm tiền không nhỉ", "Ad cho hỏi thùng loa kéo gửi ở Phú Lương Hạ được không", "Bạn ơi ưu đãi tuyến Kim Sa tới ngày nào vậy", "Ưu đãi tuyến Phú Lương Hạ hết hạn vào ngày 12 tháng 5", "Chọn điểm đi Bình Hạ, điểm đến Thạch Bàn Đông rồi giữ chỗ tối đa 15 phút",
+        "Hủy sát giờ trên tuyến Kim Sa - Cẩm Vân sẽ mất 30% giá vé", "Chuyến SE4 từ Phú Lương Hạ đi Bình Hạ chạy lúc 08:15, trễ khoảng 20 phút vì mưa lớn", "Chim cảnh không được lên khoang khách của Mộc Lan kể cả khi có giấy kiểm dịch", "Giao dịch bị trừ hai lần sẽ tự đảo lại trong 24 giờ", "Người già và trẻ nhỏ đi xe có ghế riêng", "Đoàn từ 10 người trở lên nên gọi trước để xếp chung khoang",
+        "Sơ đồ ghế của máy bay chỉ khóa lại 30 phút trước khi chạy", "Cần gấp bạn gọi tổng đài 1900 1234 hoặc viết tới hộp thư hỗ trợ", "Phải nói thật là máy lạnh của Lúa Vàng rời hơn năm ngoái", "Phải nói thật là bảng giá của Mộc Lan chậm hơn năm ngoái", "Lúc tới Calder Bay thì quầy gửi đồ chật hẳn ra", "Lúc tới Kim Sa thì phòng chờ dễ chịu hẳn ra",
+        "Lúc tới Ninh Trạch thì máy lạnh mát hẳn ra", "Nếu quầy gửi đồ đừng dễ chịu như vậy thì mình cho năm sao", "Bạn có thể trả bằng ví điện tử, thẻ nội địa hoặc tiền mặt tại quầy Kim Sa", "Hôm đó mình đi máy bay từ Ninh Trạch, trời mưa mà bác tài vẫn chờ thêm 10 phút", "Tới trạm dừng ở Gia Mạc, vợ mình xuống mua 2 ổ bánh mì", "Tới trạm dừng ở Kim Sa, cô bé ghế bên xuống mua 3 ổ bánh mì",
+        "Góp ý về tài xế Lúa Vàng được lưu lại 30 ngày", "Nhân viên Sao Biển ở Calder Bay nói năng nhẹ nhàng, chỉ tiếc là quạt hơi ồn", "Ghế A4 rộng hơn mình tưởng, ngủ một giấc là tới nơi", "Thùng xốp, loa kéo và xe đạp gấp phải cân lại tại quầy Mỹ Khánh Tây trước giờ chạy 30 phút", "Mỗi khách đi máy bay của Mộc Lan được mang 2 kiện, tổng cộng không quá 20 kg", "Trẻ đi một mình trên máy bay cần giấy gửi trẻ có chữ ký của người đón tại Sơn Vi",
+        "Ông anh họ kêu quầy gửi đồ dễ chịu, còn mình thấy cũng tạm", "Bác tài phụ kêu cửa lên xe chậm, còn mình thấy cũng tạm", "Đơn SE 12 hoàn tiền chưa thấy về", "Mã xác thực sẽ hết hạn sau 5 phút, bạn bấm gửi lại nếu chưa nhận được", "Mã QR quét hoài không lên thì làm sao", "Con mình đi một mình ra Ninh Trạch có được không",
+        "Mỗi ngày có 6 chuyến máy bay ghé qua Mỹ Khánh Tây", "Mỗi ngày có 4 chuyến phà ghé qua Tân Lạc", "Mèo và chó dưới 7 kg phải nằm trong lồng kín có lót thấm khi đi xe limousine", "Bạn mở mục đơn của tôi, chọn chuyến VX 204 rồi bấm hủy trước giờ khởi hành 12 tiếng", "Đơn TR 12 chỉ được hoàn 30% vì đã dùng một chiều", "Khách nên có mặt ở cổng trước 30 phút vì máy soát mã QR",
+        "Đi với cô bé ghế bên nên mình đặt máy bay cho tiện", "Đi với bà ngoại mình nên mình đặt xe limousine cho tiện", "Chó nhỏ có được ngồi cùng mình không", "Nhập mã giảm 123 mà báo không hợp lệ", "Muốn đổi số máy trong hồ sơ, bạn cần đăng xuất khỏi 2 thiết bị khác", "Ông anh họ ngồi ghế C4 cứ khen đệm ngồi mãi",
+        "Bác tài phụ ngồi ghế A4 cứ khen quầy gửi đồ mãi", "Vợ mình ngồi ghế A4 cứ khen bữa sáng mãi", "Giữ chỗ được mấy phút ạ", "Mình không nhận được mã xác thực", "Quên mật khẩu thì lấy lại thế nào", "Chuyến QN4 trễ bao lâu nhỉ",
+        "Mình gọi hỗ trợ 3 lần mới có người trả lời về quầy gửi đồ", "Mình gọi hỗ trợ 2 lần mới có người trả lời về máy lạnh", "Phải nói thật là quầy gửi đồ của Hải Yến ồn hơn năm ngoái", "Bến mới ở Quý Hương sạch và có 4 quầy ăn sáng", "Nếu máy quét báo lỗi, nhân viên Hải Yến sẽ nhập tay mã TR 12", "Bộ phận hỗ trợ trả lời trong vòng 24 giờ kể cả cuối tuần",
+    ],
+    "ja": [
+        "お支払いは電子マネー、カード、または月野窓口の現金が使えます", "すみません、20キロのスーツケースを2個持ってフェリーに乗れますか", "正直なところ、あかね観光の荷物カウンターは去年より静かです", "正直なところ、つばめ交通の発車案内板は去年より丁寧です", "すみません、あかね観光の運転手への意見はどこに送りますか", "すみません、VX 12の返金がまだ届きません",
+        "すみません、白浜崎で現金で払えますか", "すみません、朝霧から青葉口まで高速バスは一日何本ありますか", "すみません、竹ヶ峰から北潮見まで特急列車は一日何本ありますか", "夜行列車は一日何本ありますか", "TR 12でカードが二回引き落とされたのはなぜですか", "緑台には一日6本の寝台バスが停まります",
+        "月野には一日4本のフェリーが停まります", "パスワードを忘れました、どうすればいいですか", "あかね観光の客室には小鳥を持ち込めません", "すみません、月野で大きな荷物を預けられますか", "隣の学生さんは荷物カウンターが不便と言っていましたが、私はまあまあでした", "月野から朝霧まで2枚の予約はどうすればいいですか",
+        "月野発朝霧行きのSE 12便は8:15に出ますが、大雨で20分ほど遅れています", "白浜崎から寝台バスに乗りましたが、雨の中でも運転手さんが10分待ってくれました", "QRコードが読み取れません、どうしたらいいですか", "出発地に月野、到着地に朝霧を選ぶと、席を15分間お取り置きします", "あかね観光の寝台バスでは、お一人様2個、合計20キロまでお持ち込みいただけます", "こんにちは、息子が一人で月野まで行けますか",
+        "はい、登録番号を変えるには、ほかの2台から先にログアウトしてください", "123 のコードが無効と出ます", "認証コードが届きません", "緑台の割引はいつまでですか", "折りたたみ自転車は発車の30分前までに月野の窓口で計量してください", "アプリでは20分遅れでしたが、実際は早く着きました",
+        "南雲井に着くころには荷物カウンターがかなり静かでした", "鳴海坂のみなと航空の係員さんは親切でしたが、扇風機の音が少し気になりました", "妻も一緒なので特急列車にしました", "新しい鳴海坂駅には朝食の店が6軒あります",
+    ],
+    "zh": [
+        "白鹭洲开往望川的VX12次8:15发车，因为大雨晚点约20分钟", "每天有6班航班经过白鹭洲", "出发地选白鹭洲，目的地选望川，座位会为您保留15分钟", "折叠自行车须在开车前30分钟到望川柜台称重", "超重部分每公斤收20元", "请问从望川到白鹭洲一天有几班大巴",
+        "请问2张去望川的票怎么订", "请问望川站可以付现金吗", "说实话，蓝雀客运的空调比去年旧", "我从望川坐轮渡，下着雨司机还多等了10分钟", "到望川的时候座椅已经有点旧了", "请问晨星航空的司机意见往哪里提",
+        "VX12的退款还没有到账", "验证码收不到怎么办", "二维码扫不出来怎么办", "紧急情况请拨打客服热线1900",
+    ],
+}
 
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤﻿️]")
 _TAGS = re.compile(r"<[^>]{0,200}>")
@@ -347,25 +384,26 @@ def training() -> tuple[list[str], list[str]]:
     abusive = [n for group in ABUSIVE.values() for s in group for x in variants(s, rng) for n in normalised(x)]
     abusive += [n for group in ABUSIVE_WORDS.values() for s in group for x in spellings(s) for n in normalised(x)]
     clean = [n for kind in (CLEAN, SEED_TEXTS) for group in kind.values() for s in group for x in (s, without_accents(s)) for n in normalised(x)]
+    clean += [n for group in ORDINARY.values() for s in group for x in (s, without_accents(s), misread(s)) for n in normalised(x)]
     return abusive, clean
 
 
-def repeated(sample: list[str]) -> list[tuple[str, int]]:
-    """(sentence, documents with its pattern) of up to three sentences of every repeated pattern of a sample."""
+def repeated(sample: list[str]) -> list[str]:
+    """Up to three sentences of every pattern that repeats in distinct texts of a sample; copies count once."""
     seen: Counter[str] = Counter()
     example: dict[str, list[str]] = {}
-    for text in sample:
-        for key, s in {pattern(s)[:24]: s for s in normalised(text)}.items():
+    for text in sorted(set(sample)):
+        for key, s in {pattern(s): s for s in normalised(text)}.items():
             seen[key] += 1
             if len(example.setdefault(key, [])) < 3:
                 example[key].append(s)
-    return [(s, n) for key, n in seen.items() if n >= FIT_DOUBT[-1][0] for s in example[key]]
+    return [s for key, n in seen.items() if n >= REPEATED for s in example[key]]
 
 
 def fit_on_sample(documents: DataFrame, text_col: str, docs: int = FIT_DOCS) -> Weights:
     """The classifier for a corpus: labelled text, and at most `docs` documents for what is frequent in it.
 
-    A repeated pattern that the labelled text alone says is abusive does not train as clean.
+    A sentence that the labelled text alone says is abusive does not train as clean, however often it repeats.
     """
     return fit_on_texts([r[0] for r in documents.where(F.col(text_col).isNotNull()).select(text_col).limit(docs).collect()])
 
@@ -374,8 +412,8 @@ def fit_on_texts(sample: list[str]) -> Weights:
     abusive, clean = training()
     first = fit(abusive, clean)
     more = repeated(sample)
-    scores = first.scores(first.table(), [[s] for s, _ in more])
-    kept = [s for (s, n), z in zip(more, scores, strict=True) if z <= next(most for least, most in FIT_DOUBT if n >= least)]
+    scores = first.scores(first.table(), [[s] for s in more])
+    kept = [s for s, z in zip(more, scores, strict=True) if z < 0]
     return fit(abusive, clean + sorted({x for s in kept for x in (s, without_accents(s), *normalised(misread(s)))}))
 
 
