@@ -76,3 +76,17 @@ def test_repeated_abuse_is_not_clean():
     start = "at the calder bay counter the"
     w = A.fit_on_texts([f"{start} {x}. {t}" for x in ("man sold bread", "clerk is a stupid lying pig") for t in tail])
     assert flagged(w, f"{start} clerk is a stupid lying pig", f"{start} man sold bread") == [True, False]
+
+
+def test_score_is_the_documents_own(spark, tmp_path):
+    """The same with other documents around it, in whatever order; these do not train."""
+    from weftlake.llm import queries
+
+    text = "The lying crooks at the counter should rot."
+    others = [f"The counter should rotate. Crooked lines at the counter. The flying cook was at the counter. Booking {c * 3} was kept." for c in "abcdefghijkl"]
+    rows = [(i, t, "a") for i, t in enumerate([text, *others])]
+    got = []
+    for name, part in (("alone", rows[:1]), ("first", rows), ("last", rows[::-1])):
+        spark.createDataFrame(part, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got.append(queries.p10_scores(spark, f"{tmp_path}/{name}").where("doc_id = 0").first().score)
+    assert got[0] == got[1] == got[2]

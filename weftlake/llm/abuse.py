@@ -3,8 +3,8 @@
 Texts are normalised against disguise (compatibility forms, invisible characters, signs for letters, stretched and spaced
 letters, signs put between letters). The features are the character n-grams that occur, each scaled by its naive Bayes
 log-count ratio between abusive and other training text; a regularised logistic regression is fitted on them. Training
-text is labelled: the sentences below, with variants as disguise makes them, and, as text that is not abusive, the
-sentence patterns that are frequent in a bounded sample of the corpus (`FIT_DOCS` documents).
+text is labelled: the sentences below, with variants as disguise makes them. Documents without a label do not train, so a
+document's score depends on its own text only.
 
 A document's score is that of its most abusive stretch: the largest sum of n-gram weights over any run of characters of a
 sentence, so that a slur counts no less for standing in a long text. All n-grams of a batch are hashed and summed as
@@ -18,7 +18,6 @@ import html
 import random
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,8 @@ from pyspark.sql import functions as F
 
 from weftlake.llm.language import SEED as SEED_TEXTS
 
-#: Bound of the sample that trains as text which is not abusive.
+#: Bound of the sample of documents labelled as clean.
 FIT_DOCS = 4000
-#: Distinct texts that a sentence pattern must stand in to train as clean.
-REPEATED = 2
 #: Log-odds of a text without any known n-gram.
 PRIOR = -4.0
 ORDERS = (1, 2, 3, 4, 5)
@@ -123,6 +120,7 @@ ORDINARY = {
         "For urgent cases call our hotline 1900 1234 or write to help at our mailbox", "Groups of 10 or more should call first so that we can seat them together", "Minors riding the coach alone need a form signed by whoever meets them at Calder Bay", "A child under 6 sharing a seat with an adult needs no ticket of its own", "If the scanner fails, Copperline Rail staff can type in BK 123 by hand", "Is the stop on the way to Calder Bay",
         "For how many minutes is the seat held", "The second driver in seat A4 kept praising the air conditioning", "The new terminal at Calder Bay has 12 breakfast stalls and an assistance desk", "Cats and dogs under 7 kg travel in a closed crate with an absorbent pad", "Caged birds are not allowed in the Larkspur Lines cabin, papers or not", "At the Harrow Creek stop a nurse from the next row went to buy 3 rolls",
         "My wife went to buy 2 rolls at the Stonevale stop", "There are 6 coach departures a day through Port Lindley", "To change your profile number, sign out of the other 2 devices first", "Comments about a Bluefinch Air driver are kept for 30 days", "Copperline Rail staff at Ashby Cross were kind, though the fan was noisy", "You can pay by wallet, by local card or in cash at the Fenwick Sands desk",
+        "How do I book 2 tickets from Thạch Bàn Đông to Tarn Hollow", "How many ferry departures go from Thạch Bàn Đông to Tarn Hollow", "Service SE4 from Thạch Bàn Đông to Tarn Hollow leaves at 08:15 and runs about 20 minutes late in heavy rain",
     ],
     "vi": [
         "Dạ em chào, từ Gia Mạc về Ninh Trạch ngày có mấy chuyến xe limousine", "Ad cho hỏi từ Hòa Lộc về Phú Lương Hạ ngày có mấy chuyến máy bay nhỉ", "Shop ơi từ Kim Sa về Cẩm Vân ngày có mấy chuyến tàu hỏa giúp mình với", "Cho mình hỏi mèo 4 ký đi máy bay thì để ở đâu ạ", "Bạn ơi muốn góp ý tài xế Lúa Vàng thì gửi vào đâu nhỉ", "Cho mình hỏi đặt 2 vé từ Cẩm Vân đi Ninh Trạch kiểu gì",
@@ -136,6 +134,7 @@ ORDINARY = {
         "Đi với cô bé ghế bên nên mình đặt máy bay cho tiện", "Đi với bà ngoại mình nên mình đặt xe limousine cho tiện", "Chó nhỏ có được ngồi cùng mình không", "Nhập mã giảm 123 mà báo không hợp lệ", "Muốn đổi số máy trong hồ sơ, bạn cần đăng xuất khỏi 2 thiết bị khác", "Ông anh họ ngồi ghế C4 cứ khen đệm ngồi mãi",
         "Bác tài phụ ngồi ghế A4 cứ khen quầy gửi đồ mãi", "Vợ mình ngồi ghế A4 cứ khen bữa sáng mãi", "Giữ chỗ được mấy phút ạ", "Mình không nhận được mã xác thực", "Quên mật khẩu thì lấy lại thế nào", "Chuyến QN4 trễ bao lâu nhỉ",
         "Mình gọi hỗ trợ 3 lần mới có người trả lời về quầy gửi đồ", "Mình gọi hỗ trợ 2 lần mới có người trả lời về máy lạnh", "Phải nói thật là quầy gửi đồ của Hải Yến ồn hơn năm ngoái", "Bến mới ở Quý Hương sạch và có 4 quầy ăn sáng", "Nếu máy quét báo lỗi, nhân viên Hải Yến sẽ nhập tay mã TR 12", "Bộ phận hỗ trợ trả lời trong vòng 24 giờ kể cả cuối tuần",
+        "Đặt 2 vé từ Calder Bay đi An Thạnh Bắc kiểu gì", "Bạn ơi trả tiền mặt tại bến An Thạnh Bắc được không", "Chọn điểm đi Ninh Trạch, điểm đến An Thạnh Bắc rồi giữ chỗ tối đa 15 phút", "Nhân viên cánh cò ở Tarn Hollow nói năng nhẹ nhàng, chỉ tiếc là quạt hơi ồn",
     ],
     "ja": [
         "お支払いは電子マネー、カード、または月野窓口の現金が使えます", "すみません、20キロのスーツケースを2個持ってフェリーに乗れますか", "正直なところ、あかね観光の荷物カウンターは去年より静かです", "正直なところ、つばめ交通の発車案内板は去年より丁寧です", "すみません、あかね観光の運転手への意見はどこに送りますか", "すみません、VX 12の返金がまだ届きません",
@@ -373,11 +372,6 @@ def fit(abusive: list[str], clean: list[str]) -> Weights:
     return Weights(features, (w * ratio).astype(np.float32), PRIOR)
 
 
-def pattern(sentence: str) -> str:
-    """A normalised sentence with what varies left out: what frequent sentences have in common."""
-    return re.sub(r"[^\W\d_]*0[^\W_]*", "0", sentence)
-
-
 def training() -> tuple[list[str], list[str]]:
     """(abusive, clean) sentences: the labelled ones, with variants."""
     rng = random.Random(SEED)
@@ -388,33 +382,28 @@ def training() -> tuple[list[str], list[str]]:
     return abusive, clean
 
 
-def repeated(sample: list[str]) -> list[str]:
-    """Up to three sentences of every pattern that repeats in distinct texts of a sample; copies count once."""
-    seen: Counter[str] = Counter()
-    example: dict[str, list[str]] = {}
-    for text in sorted(set(sample)):
-        for key, s in {pattern(s): s for s in normalised(text)}.items():
-            seen[key] += 1
-            if len(example.setdefault(key, [])) < 3:
-                example[key].append(s)
-    return [s for key, n in seen.items() if n >= REPEATED for s in example[key]]
-
+def fit_on_sample(clean: DataFrame, text_col: str, docs: int = FIT_DOCS) -> Weights:
+    """The classifier from the labelled text and at most `docs` distinct texts of documents labelled as clean.
 
-def fit_on_sample(documents: DataFrame, text_col: str, docs: int = FIT_DOCS) -> Weights:
-    """The classifier for a corpus: labelled text, and at most `docs` documents for what is frequent in it.
-
-    A sentence that the labelled text alone says is abusive does not train as clean, however often it repeats.
+    They are drawn by hash, whatever the order of the rows.
     """
-    return fit_on_texts([r[0] for r in documents.where(F.col(text_col).isNotNull()).select(text_col).limit(docs).collect()])
+    texts = clean.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    return fit_on_texts([r[0] for r in texts.orderBy(F.xxhash64("text"), "text").limit(docs).collect()])
+
 
+def fit_on_texts(clean: list[str]) -> Weights:
+    """The classifier from the labelled text and further texts that are labelled as clean.
 
-def fit_on_texts(sample: list[str]) -> Weights:
-    abusive, clean = training()
-    first = fit(abusive, clean)
-    more = repeated(sample)
+    Of these, a sentence that the labelled text alone says is abusive does not train, however often it repeats.
+    """
+    abusive, labelled = training()
+    first = fit(abusive, labelled)
+    more = sorted({s for text in clean for s in normalised(text)})
+    if not more:
+        return first
     scores = first.scores(first.table(), [[s] for s in more])
     kept = [s for s, z in zip(more, scores, strict=True) if z < 0]
-    return fit(abusive, clean + sorted({x for s in kept for x in (s, without_accents(s), *normalised(misread(s)))}))
+    return fit(abusive, labelled + sorted({x for s in kept for x in (s, without_accents(s), *normalised(misread(s)))}))
 
 
 def score(documents: DataFrame, id_col: str, text_col: str, weights: Weights, keep: list[str] | None = None) -> DataFrame:
