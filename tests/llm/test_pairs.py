@@ -36,3 +36,12 @@ def test_length_limit(spark):
 def test_unfinished(text, wanted):
     got = pairs.unfinished(text)
     assert got == wanted if isinstance(wanted, tuple) else got[0] == wanted
+
+
+def test_frequent_length_is_not_truncated(spark, profiles):
+    """A complete answer without its stop, and such a refusal, under many ids."""
+    line, refusal = FULL[3].rstrip("."), "Sorry, I do not have any details on that"
+    rows = [(f"f{i}", "When and where can I go?", a) for i, a in enumerate([*FULL, f"{refusal}. Is there anything else?"])]
+    rows += [(f"{kind}{i}", "When and where can I go?", a) for kind, a in (("line", line), ("refusal", refusal)) for i in range(30)]
+    got = {r.id: r.defect for r in pairs.defects(spark.createDataFrame(rows, "id string, query string, tra_loi string"), "id", "query", "tra_loi", profiles).collect()}
+    assert got == {"f4": "refusal", **{f"refusal{i}": "refusal" for i in range(30)}}

@@ -3,8 +3,8 @@
 Shortened responses are found by sorting: the sentences of all responses, numbers and names masked, are sorted by text,
 and a response's unfinished last sentence is compared with its neighbours' common prefixes. If a finished sentence begins
 with it and goes on, it broke off; if it is itself a finished sentence somewhere, or ends as finished sentences do (the
-same sort on reversed text), only its stop is missing. Spikes in the distribution of response lengths give length limits.
-Empty, copied and refusing responses follow rules; languages come from the profiles of `language`.
+same sort on reversed text), only its stop is missing. That evidence alone decides: spikes in the distribution of response
+lengths (`length_limits`) are a report and change no verdict, as a complete answer may have such a length too. Empty, copied and refusing responses follow rules; languages come from the profiles of `language`.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ BUCKET = 8
 END_LATIN, END_CJK = 10, 5
 #: Confidence in both languages from which they are said to differ.
 SURE = 0.8
-#: A length is a limit if so many responses have it, so many times the mean of the lengths around it, half unfinished.
-SPIKE_ROWS, SPIKE_TIMES, SPIKE_AROUND = 20, 5, 5
+#: A length is a limit if such a share of the responses has it, so many times the mean of the lengths around it, half
+#: unfinished.
+SPIKE_SHARE, SPIKE_TIMES, SPIKE_AROUND = 0.01, 5, 5
 
 # Stand-ins for no answer, and phrases of refusals and of courtesy, accents removed.
 STAND_INS = {"null", "none", "nan", "nil", "na", "undefined", "empty", "noanswer", "khongcotraloi", "khongco", "trong", "なし", "無し", "无", "空", "暂无", "tbd", "todo"}
@@ -199,11 +200,15 @@ def _ends_alike(fragments: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def length_limits(parts: DataFrame) -> DataFrame:
-    """(length): response lengths that stand out and at which at least half of the responses are unfinished."""
+    """(length): response lengths that stand out and at which at least half of the responses are unfinished.
+
+    Rows are counted; copies are to be dropped before.
+    """
     counts = parts.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count("fragment").alias("open"))
     around = Window.orderBy("length").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
     mean = (F.sum("n").over(around) - F.col("n")) / (2 * SPIKE_AROUND)
-    return counts.withColumn("mean", mean).where((F.col("n") >= SPIKE_ROWS) & (F.col("n") > SPIKE_TIMES * F.greatest("mean", F.lit(1))) & (2 * F.col("open") >= F.col("n"))).select("length")
+    total = parts.where("length > 0").agg(F.count(F.lit(1)).alias("total"))
+    return counts.withColumn("mean", mean).crossJoin(F.broadcast(total)).where((F.col("n") >= SPIKE_SHARE * F.col("total")) & (F.col("n") > SPIKE_TIMES * F.greatest("mean", F.lit(1))) & (2 * F.col("open") >= F.col("n"))).select("length")
 
 
 def defects(pairs: DataFrame, id_col: str, query_col: str, answer_col: str, profiles: language.Profiles) -> DataFrame:
@@ -223,11 +228,10 @@ def defects(pairs: DataFrame, id_col: str, query_col: str, answer_col: str, prof
     evidence = known.join(_sorted_evidence(fragments, whole), "text", "left").join(_ends_alike(fragments, whole), "text", "left")
     cut = ~F.col("known") & (F.coalesce("goes_on", F.lit(False)) | ~F.coalesce("ends_alike", F.lit(False)))
     broken = evidence.where(cut).select(F.col("text").alias("fragment"), F.lit(True).alias("cut"))
-    limits = length_limits(parts).withColumn("at_limit", F.lit(True))
     # A fragment that ends in a name which no finished sentence holds broke off within the name.
     known_names = parts.select(F.explode("names").alias("tail")).distinct().withColumn("known_name", F.lit(True))
-    judged = parts.drop("full", "names").join(broken, "fragment", "left").join(limits, "length", "left").join(known_names, "tail", "left")
+    judged = parts.drop("full", "names").join(broken, "fragment", "left").join(known_names, "tail", "left")
     half_name = F.col("tail").isNotNull() & F.col("known_name").isNull()
-    shortened = F.coalesce("cut", F.lit(False)) | half_name | (F.coalesce("at_limit", F.lit(False)) & F.col("fragment").isNotNull())
+    shortened = F.coalesce("cut", F.lit(False)) | half_name
     defect = F.when(F.col("rule").isin("empty", "copy"), F.col("rule")).when(shortened, "truncated").otherwise(F.col("rule"))
     return judged.select(F.col("id").alias(id_col), defect.alias("defect")).where("defect IS NOT NULL").distinct()
