@@ -75,7 +75,7 @@ def near_dup_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def substring_leak(spark: SparkSession, sf: str) -> DataFrame:
-    """Snippets of the feedback that stand verbatim in a message."""
+    """Snippets of the feedback that stand verbatim in a knowledge chunk or in a question of `faithfulness`; messages are not searched."""
     needles = table(spark, sf, "chat_feedback").select(F.col("feedback_id").alias("nid"), F.col("question_snippet").alias("text"))
     return C.contained_in(needles, table(spark, sf, "knowledge_chunks").select(F.col("content").alias("text")).unionByName(table(spark, sf, "faithfulness").select(F.col("query").alias("text"))))
 
