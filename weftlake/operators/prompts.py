@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def system_prompt(template: str, now: Column, lang: Column, context: Column) ->
     return F.replace(filled, F.lit("{{context}}"), F.when(is_blank(context), F.lit(NO_CONTEXT)).otherwise(context))
 
 
+def template_of(folder: str, name: str, variant: str | None = None) -> str:
+    """The text of a prompt template: `name.txt`, or `name_variant.txt`; a variant that is not there is an error."""
+    path = Path(folder) / (f"{name}_{variant}.txt" if variant else f"{name}.txt")
+    if not path.is_file():
+        raise FileNotFoundError(f"no prompt {variant or name!r} in {folder}")
+    return path.read_text(encoding="utf-8")
+
+
+def ranking_line(docs: Column, expected: Column, limit: int = 5) -> Column:
+    """A ranking as one line, the expected documents with a mark."""
+    return F.array_join(F.transform(F.slice(docs, 1, limit), lambda d: F.when(F.array_contains(expected, d), F.concat(d, F.lit(" ✓"))).otherwise(d)), "  ")
+
+
 def judge_prompt(question: Column, context: Column, answer: Column) -> Column:
     text = F.when(is_blank(context), F.lit(NO_JUDGE_CONTEXT)).otherwise(context)
     return F.concat(F.lit("QUESTION:\n"), question, F.lit("\n\nCONTEXT:\n"), text, F.lit("\n\nANSWER:\n"), F.coalesce(answer, F.lit("")))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def cache_key(model: str, dimensions: int, text: Column) -> Column:
@@ -11,9 +17,31 @@ def cache_key(model: str, dimensions: int, text: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(model), F.lit(str(dimensions)), text), 256)
 
 
-def reply_key(url: Column, body: Column) -> Column:
-    """SHA-256 of a request: its address and body (a struct, whose fields are put in order of their names)."""
-    return F.sha2(F.to_json(F.struct(body.alias("body"), url.alias("url"))), 256)
+def _ordered(value):
+    return {k: _ordered(value[k]) for k in sorted(value)} if isinstance(value, dict) else [_ordered(v) for v in value] if isinstance(value, list) else value
+
+
+def reply_key(url: str, body: dict) -> str:
+    """SHA-256 of a request, its address and body, with the fields at every depth in the order of their names."""
+    text = json.dumps(_ordered({"url": url, "body": body}), ensure_ascii=False, separators=(",", ":"))
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def reply_keys(requests: DataFrame, url_col: str, body_col: str) -> DataFrame:
+    """requests with the key of each, its body being JSON text; a body that cannot be read has a null key."""
+
+    def one(url: str | None, body: str | None) -> str | None:
+        try:
+            return None if url is None or body is None else reply_key(url, json.loads(body))
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [one(u, b) for u, b in zip(batch.column(url_col).to_pylist(), batch.column(body_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, "key"])
+
+    return requests.mapInArrow(run, StructType([*requests.schema.fields, StructField("key", StringType())]))
 
 
 def misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:

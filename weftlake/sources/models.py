@@ -28,8 +28,12 @@ class TransientError(RuntimeError):
 
 @dataclass(frozen=True)
 class Policy:
-    """How a task calls: least seconds between calls, attempts, and the waits between attempts."""
+    """How models are called: by how many tasks at most, the least seconds between any two calls, attempts and waits.
 
+    Each task waits `workers` times the interval between its calls, so that all of them together keep it.
+    """
+
+    workers: int = 1
     interval: float = 1.5
     attempts: int = 4
     base_wait: float = 10.0
@@ -60,7 +64,7 @@ def embed(wanted: DataFrame, cache: DataFrame, transport: Callable[[list[str]],
         for frame in batches:
             for low in range(0, len(frame), BATCH):
                 part = frame.iloc[low : low + BATCH]
-                time.sleep(max(0.0, last + policy.interval - time.monotonic()) if last else 0.0)
+                time.sleep(max(0.0, last + policy.workers * policy.interval - time.monotonic()) if last else 0.0)
                 last = time.monotonic()
                 try:
                     vectors = with_retry(lambda part=part: transport(part["text"].tolist()), policy)
@@ -70,7 +74,7 @@ def embed(wanted: DataFrame, cache: DataFrame, transport: Callable[[list[str]],
                 except Exception as e:  # noqa: BLE001 - reported with the rows
                     yield pd.DataFrame({"key": part["key"], "value": None, "error": f"{type(e).__name__}: {e}"})
 
-    return misses(wanted.select("key", "text"), cache).mapInPandas(run, "key string, value array<float>, error string")
+    return misses(wanted.select("key", "text"), cache).repartition(policy.workers).mapInPandas(run, "key string, value array<float>, error string")
 
 
 def failures(embedded: DataFrame) -> int:
@@ -90,7 +94,7 @@ def complete(requests: DataFrame, transport: Callable[[str, str], dict], policy:
         for frame in batches:
             out = []
             for r in frame.itertuples(index=False):
-                time.sleep(max(0.0, last + policy.interval - time.monotonic()) if last else 0.0)
+                time.sleep(max(0.0, last + policy.workers * policy.interval - time.monotonic()) if last else 0.0)
                 last = began = time.monotonic()
                 try:
                     reply = with_retry(lambda r=r: transport(r.system, r.user), policy)
@@ -101,4 +105,4 @@ def complete(requests: DataFrame, transport: Callable[[str, str], dict], policy:
             frame_out = pd.DataFrame(out, columns=["key", "text", "latency_ms", "completion_tokens", "prompt_tokens", "error"])
             yield frame_out.astype({"completion_tokens": "Int64", "prompt_tokens": "Int64"})
 
-    return requests.select("key", "system", "user").mapInPandas(run, "key string, text string, latency_ms double, completion_tokens long, prompt_tokens long, error string")
+    return requests.select("key", "system", "user").repartition(policy.workers).mapInPandas(run, "key string, text string, latency_ms double, completion_tokens long, prompt_tokens long, error string")
