@@ -9,36 +9,37 @@ R = "config string, qid string, doc_id string, rank long"
 
 
 @pytest.fixture()
-def three(spark):
-    q = spark.createDataFrame([("q1", "one", "vi", ["a"]), ("q2", "two", "vi", ["b"]), ("q3", "three", "en", ["z"])], Q)
-    lists = {"q1": ["a", "x"], "q2": ["x", "y", "b"], "q3": ["a", "b"]}
+def four(spark):
+    q = spark.createDataFrame([("q1", "one", "vi", ["k", "m"]), ("q2", "two", "vi", ["n"]), ("q3", "three", "en", ["p"]), ("q4", "four", "en", ["r"])], Q)
+    lists = {"q1": ["s", "k", "m", "t"], "q2": ["n"], "q3": ["s", "t", "u", "v", "p"], "q4": ["s", "t", "u", "v", "w", "r"]}
     r = spark.createDataFrame([("c", q_, d, i + 1) for q_, docs in lists.items() for i, d in enumerate(docs)], R)
     return metrics.judged(r, q, ["c"]), q
 
 
-def test_evaluate(three):
-    m = metrics.evaluate(metrics.per_question(three[0]), ["config"]).first()
-    assert (m.n, m.precision_at_1, m.recall_at_3) == (3, round(1 / 3, 6), round(2 / 3, 6)) and m.mrr == round((1 + 1 / 3) / 3, 6)
-    p3, r3 = (1 / 3 + 1 / 3) / 3, 2 / 3
-    assert m.precision_at_3 == round(p3, 6) and m.f1_at_3 == round(2 * p3 * r3 / (p3 + r3), 6)
-    assert m.ndcg_at_5 == round((1 + 1 / math.log2(4)) / 3, 6)
+def test_evaluate(four):
+    m = metrics.evaluate(metrics.per_question(four[0]), ["config"]).first()
+    assert (m.n, m.precision_at_1, m.recall_at_3, m.recall_at_5, m.mrr) == (4, 0.25, 0.5, 0.75, round((1 / 2 + 1 + 1 / 5) / 4, 6))
+    p3 = (2 / 3 + 1 / 3) / 4
+    assert m.precision_at_3 == round(p3, 6) and m.f1_at_3 == round(2 * p3 * 0.5 / (p3 + 0.5), 6)
+    both = (1 / math.log2(3) + 1 / math.log2(4)) / (1 + 1 / math.log2(3))
+    assert m.ndcg_at_5 == round((both + 1 + 1 / math.log2(6)) / 4, 6)
 
 
-def test_total_only_for_several_languages(three):
-    per = metrics.per_question(three[0])
+def test_total_only_for_several_languages(four):
+    per = metrics.per_question(four[0])
     assert {r.lang for r in metrics.evaluate_with_total(per).collect()} == {"vi", "en", metrics.TOTAL}
     assert {r.lang for r in metrics.evaluate_with_total(per.where("lang = 'vi'")).collect()} == {"vi"}
 
 
-def test_gate(spark, three):
-    m = metrics.evaluate_with_total(metrics.per_question(three[0]))
-    assert {r.lang for r in metrics.gate(m).collect()} == {"vi", "en"}
+def test_gate(spark, four):
+    m = metrics.evaluate_with_total(metrics.per_question(four[0]))
+    assert {(r.lang, r.violation.split()[0]) for r in metrics.gate(m).collect()} == {("en", "recall_at_3"), ("en", "mrr")}
     own = spark.createDataFrame([("vi", 0.5, 0.5)], "lang string, min_recall3 double, min_mrr double")
     assert [(r.lang, r.violation) for r in metrics.gate(m, own).collect()] == [("en", "no threshold")]
 
 
-def test_misses_and_no_hits(spark, three):
-    assert [r.miss for r in metrics.misses(*three).collect()] == ['"three" -> mong đợi [z], nhận được [a, b]']
+def test_misses_and_no_hits(spark, four):
+    assert [r.miss for r in metrics.misses(*four).collect()] == ['"four" -> mong đợi [r], nhận được [s, t, u, v, w]']
     q = spark.createDataFrame([("q9", "none", "vi", [])], Q)
     empty = spark.createDataFrame([], R)
     m = metrics.evaluate(metrics.per_question(metrics.judged(empty, q, ["c"])), ["config"]).first()
@@ -97,3 +98,38 @@ def test_unique_and_missing(spark):
         corpus.require_unique(rows)
     q = spark.createDataFrame([("1", "x", "vi", ["b", "z"])], Q)
     assert [r.doc_id for r in corpus.missing_documents(q, rows).collect()] == ["z"]
+
+
+def test_ranks_whatever_the_ranges(spark):
+    """Few and many ranges, hot groups, null keys, NaN and infinite values."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("hot", rng.gauss(0, 50)) for _ in range(5000)] + [(None, float(rng.randrange(4))) for _ in range(90)] + [("one", 7.5), ("none", None), ("nan", float("nan")), ("inf", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for splits in (2, 7, 64):
+        got = {r.g: r for r in labels.at_ranks(df, ["g"], "v", {"lo": lambda n: n * 0 + 1, "mid": lambda n: (n + 1) / 2, "hi": lambda n: n}, splits).collect()}
+        assert set(got) == {"hot", None, "one", "inf"}
+        for g in got:
+            xs = sorted(v for k, v in rows if k == g)
+            assert (got[g].n, got[g].lo, got[g].mid, got[g].hi) == (len(xs), xs[0], xs[(len(xs) + 1) // 2 - 1], xs[-1])
+    assert labels.nearest_rank(df.where("false"), ["g"], "v", {"a": 0.5}).collect() == []
+
+
+def test_shuffled_keeps_wide_rows(spark):
+    wide = spark.range(1_000_000).selectExpr("cast(id AS string) AS qid", *(f"md5(cast(id * {i} AS string)) AS c{i}" for i in range(1, 4)))
+    r = labels.shuffled(wide, "qid", 16, "c", 4).selectExpr("count(*) AS n", "count(DISTINCT number) AS numbers", "count(DISTINCT qid) AS ids", "min(number) AS a", "max(number) AS b", "count(DISTINCT name) AS names").first()
+    assert tuple(r) == (1_000_000, 1_000_000, 1_000_000, 1, 1_000_000, 1_000_000)
+    assert labels.shuffled(wide.where("false"), "qid", 1, "c").collect() == []
+
+
+def test_guards_and_runs(spark):
+    items = spark.createDataFrame([("r1", "1", "bia", "bia"), ("r1", "2", "?", "co_can_cu"), ("r2", "3", None, None)], "run string, id string, h string, j string")
+    assert [r.id for r in labels.unlabelled(items, "id", "h").orderBy("id").collect()] == ["2", "3"]
+    with pytest.raises(ValueError):
+        labels.require_labelled(items, "id", "h")
+    assert labels.require_labelled(items.where("id = '1'"), "id", "h").count() == 1
+    got = {r.run: r for r in labels.compare_runs(items, "run", "h", "j").collect()}
+    assert (got["r1"].judged, got["r1"].fake_judge, got["r1"].fake_human, got["r1"].pending, got["r2"].state, got["r2"].fake_judge) == (2, 1, 1, 1, "not judged", None)
+    key = spark.createDataFrame([("1", "price"), ("2", None)], "id string, kind string")
+    assert [tuple(r) for r in labels.caught_by_key(items, key, "id", "kind", "j").collect()] == [("price", 1, 1)]

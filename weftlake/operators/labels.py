@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlake.session import WHITE
+from weftlake.session import WHITE, broadcast_if_small, durable
 
 #: The labels, grounded, fabricated, rightly and needlessly refused.
 LABELS = ["co_can_cu", "bia", "tu_choi_dung", "tu_choi_thua"]
 FAKE = "bia"
+#: Ranges of values that a group is cut into before the ranges with wanted ranks are ranked.
+SPLITS = 64
 
 
 def plain_label(label: Column) -> Column:
@@ -43,14 +47,36 @@ def confusion(pairs: DataFrame, human: str = "human", judge: str = "judge") -> D
 def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """(keys..., n, one column per quantile): the value at rank round-half-even(q n), from 1 to n.
 
-    The ranks of all quantiles are looked up in value counts, so no group is gathered in one row.
+    Nulls and NaN do not count; groups without a value have no row; a null key is a group of its own.
+    """
+    return at_ranks(df, keys, value, {name: lambda n, q=q: F.bround(F.lit(q) * n) for name, q in qs.items()})
+
+
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], splits: int = SPLITS) -> DataFrame:
+    """(keys..., n, one column per rank): the exact value at each rank, a function of the group's size n.
+
+    No group is sorted in one task. A mergeable sketch cuts each group into `splits` ranges of values; the rows in each
+    range are counted, and only the range that holds a wanted rank is looked at: there, equal values are merged first and
+    then ranked. The sketch only says where to cut, so its error changes nothing in the result.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    ranked = counts.withColumns({"_to": F.sum("_c").over(run), "_n": F.sum("_c").over(total)})
-    at = lambda q: F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(q) * F.col("_n"))))
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_to") >= at(q), F.col(value))).alias(name) for name, q in qs.items()])
+    kind = df.schema[value].dataType.simpleString()
+    kept = df.where(F.col(value).isNotNull() & ~F.isnan(value) if kind in ("double", "float") else F.col(value).isNotNull())
+    # Keys are numbered as text, so that a null key joins with itself.
+    name = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])) if keys else F.lit("")
+    rows = kept.select(name.alias("_g"), *keys, F.col(value).alias("_v"))
+    points = [i / splits for i in range(1, splits)]
+    groups = durable(rows.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", points, 8 * splits).alias("_cuts")))
+    wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.lit(1), F.least(F.col("n"), rank(F.col("n")).cast("long"))).cast("long").alias("r")) for q, rank in ranks.items()])
+    asked = groups.select("_g", F.explode(wanted).alias("w")).select("_g", "w.q", "w.r")
+    ranged = rows.select("_g", "_v").join(broadcast_if_small(groups.select("_g", F.array_distinct("_cuts").alias("_cuts"))), "_g").select("_g", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    counts = ranged.groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))  # `splits` rows a group
+    held = asked.join(counts.withColumn("upto", upto), "_g").where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("c")))
+    held = durable(held.select("_g", "_range", "q", (F.col("r") - F.col("upto") + F.col("c")).alias("r")))
+    inside = ranged.join(broadcast_if_small(held.select("_g", "_range").distinct()), ["_g", "_range"], "left_semi").groupBy("_g", "_range", "_v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.join(broadcast_if_small(held), ["_g", "_range"]).where(F.col("upto") >= F.col("r")).groupBy("_g").agg(*[F.min(F.when(F.col("q") == q, F.col("_v"))).alias(q) for q in ranks])
+    return groups.select("_g", *keys, "n").join(found, "_g").select(*keys, "n", *ranks)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, quota: dict[str, int], seed: int) -> DataFrame:
@@ -68,18 +94,19 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quota: dict[str, in
 
 
 def shuffled(df: DataFrame, key: str, seed: int, prefix: str, width: int = 2) -> DataFrame:
-    """Rows numbered in a seeded order, with a padded name such as c01.
+    """Rows numbered from 1 in a seeded order, with a padded name such as c01.
 
-    The order comes from a range-partitioned sort; numbers are the partition's offset plus the place in it.
+    The order comes from one range-partitioned sort, which is kept before it is used: offsets and places must be those of
+    the same partitions. A number is the partition's offset plus the place in it. Equal rows get numbers of their own; an
+    empty table gives none.
     """
-    ordered = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key)
-    with_id = ordered.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    counts = with_id.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_o", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
+    placed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).withColumn("_m", F.monotonically_increasing_id())
+    kept = durable(placed.drop("_h")).withColumn("_p", F.shiftright("_m", 33))
+    counts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_o"))  # a row per partition
     number = F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    placed = with_id.withColumn("_p", part).join(F.broadcast(before.select("_p", "_o")), "_p")  # a row per partition
-    return placed.withColumn("number", number).withColumn("name", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), width, "0"))).drop("_h", "_m", "_p", "_o")
+    numbered = kept.join(broadcast_if_small(before), "_p").withColumn("number", number)
+    return numbered.withColumn("name", F.concat(F.lit(prefix), F.when(F.length(F.col("number").cast("string")) < width, F.lpad(F.col("number").cast("string"), width, "0")).otherwise(F.col("number").cast("string")))).drop("_m", "_p", "_o")
 
 
 def merge_sheets(new: DataFrame, old: DataFrame, key: str, labels: list[str]) -> DataFrame:
@@ -112,6 +139,45 @@ def throughput(tokens: Column, latency_ms: Column) -> Column:
     return F.when((tokens > 0) & (latency_ms > 0), tokens / (latency_ms / 1000.0))
 
 
+def require_labelled(items: DataFrame, key: str, human: str) -> DataFrame:
+    """items, or an error that names one whose human label is none of the four: a judge may not see them before."""
+    open_ = items.where(plain_label(F.col(human)).isNull())
+    found = open_.orderBy(key).select(key).first()
+    if found is not None:
+        raise ValueError(f"{open_.count()} items lack a human label, such as {found[0]!r}")
+    return items
+
+
+def unlabelled(items: DataFrame, key: str, human: str) -> DataFrame:
+    """(key) of the items that `require_labelled` refuses."""
+    return items.where(plain_label(F.col(human)).isNull()).select(key)
+
+
+def caught_by_key(items: DataFrame, answer_key: DataFrame, key: str, planted: str, judge: str) -> DataFrame:
+    """(planted, total, caught): of the items that the answer key says are fabricated, how many the judge calls so.
+
+    The key is an inner join: items it lacks, or that it gives no kind, are no planted errors.
+    """
+    kinds = answer_key.where(F.col(planted).isNotNull()).select(key, planted).distinct()
+    return items.join(kinds, key).groupBy(planted).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(judge) == FAKE).alias("caught"))
+
+
+def compare_runs(answers: DataFrame, run: str, human: str, judge: str) -> DataFrame:
+    """One row per run: answers judged, fabricated by judge and by human, still to be labelled, and the other labels.
+
+    A run without any judged answer is said to be `not judged`, and its counts by the judge are null.
+    """
+    h, j = plain_label(F.col(human)), plain_label(F.col(judge))
+    rows = answers.select(F.col(run).alias("run"), h.alias("h"), j.alias("j"))
+    found = rows.groupBy("run").agg(
+        F.count(F.lit(1)).alias("answers"), F.count("j").alias("judged"), F.count_if(F.col("j") == FAKE).alias("fake_judge"), F.count_if(F.col("h").isNull()).alias("pending"), F.count_if(F.col("h") == FAKE).alias("fake_human"),
+        *[F.count_if(F.col("j") == x).alias(x) for x in LABELS if x != FAKE],
+    )
+    by_judge = ["fake_judge", *(x for x in LABELS if x != FAKE)]
+    some = F.col("judged") > 0
+    return found.withColumns({c: F.when(some, F.col(c)) for c in by_judge}).withColumn("state", F.when(some, "judged").otherwise("not judged"))
+
+
 def parse_label(text: Column) -> Column:
     """(label, reason, error) from a judge's reply: the JSON object in it, fenced or not."""
     found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*\})", 1)

@@ -41,10 +41,29 @@ def caught_by_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Judge runs side by side: judged answers, fabricated ones, and the other labels."""
-    runs = table(spark, sf, "judge_runs").distinct().withColumn("label", L.plain_label(F.col("nhan_judge")))
-    count = lambda x: F.count_if(F.col("label") == x).alias(x)
-    return runs.groupBy("judge").agg(F.count("label").alias("judged"), F.count_if(F.col("label").isNull()).alias("pending"), *[count(x) for x in L.LABELS])
+    """Judge runs side by side, with the human labels of the items they judged."""
+    human = _items(spark, sf).groupBy("id").agg(F.max("human").alias("human"))
+    runs = table(spark, sf, "judge_runs").distinct().join(human, "id", "left")
+    return L.compare_runs(runs, "judge", "human", "nhan_judge")
+
+
+def caught_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """As `caught_by_kind`, by an answer key: a kind for the items that a human calls fabricated."""
+    key = _items(spark, sf).where(F.col("human") == L.FAKE).select("id", "nguon")
+    runs = table(spark, sf, "judge_runs").distinct().select("id", L.plain_label(F.col("nhan_judge")).alias("judge"))
+    return L.caught_by_key(runs, key, "id", "nguon", "judge")
+
+
+def judge_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that a judge may not see yet, as no human has labelled them."""
+    return L.unlabelled(table(spark, sf, "faithfulness").distinct(), "id", "nhan_tay").distinct()
+
+
+def drifted_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks whose text in the production copy is no longer that of the seed copy."""
+    from weftlake.operators.corpus import current_chunks
+
+    return L.drifted(chunks(spark, sf), current_chunks(table(spark, sf, "knowledge_chunks_seed")), "doc_id", "content")
 
 
 def pending_review(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,21 +85,16 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
 def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Median (mean of the middle two), nearest-rank p95 and maximum of the event values by type."""
     e = table(spark, sf, "events").where("value IS NOT NULL")
-    p95 = L.nearest_rank(e, ["event_type"], "value", {"p95": 0.95})
-    mid = e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.max("value").alias("longest"))
-    return mid.join(p95, "event_type").select("event_type", "n", "p50", "p95", "longest")
+    middle = {"low": lambda n: F.ceil(n / 2), "high": lambda n: F.floor(n / 2) + 1}
+    found = L.at_ranks(e, ["event_type"], "value", {**middle, "p95": lambda n: F.bround(F.lit(0.95) * n), "longest": lambda n: n})
+    return found.select("event_type", "n", F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50"), "p95", "longest")
 
 
 def length_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Shortest, upper median and longest user message in characters, by language."""
     rows = table(spark, sf, "chat_messages").distinct().where(F.lower(stripped(F.col("role"))).isin("user", "human") & F.col("content").isNotNull())
-    counts = rows.groupBy(T.normalise_lang(F.col("lang")).alias("lang"), F.length("content").alias("chars")).agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang")
-    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("chars").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    middle = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("chars")))
-    return ranked.groupBy("lang").agg(F.max("n").alias("n"), F.min("chars").cast("long").alias("shortest"), middle.cast("long").alias("median"), F.max("chars").cast("long").alias("longest"))
+    chars = rows.select(T.normalise_lang(F.col("lang")).alias("lang"), F.length("content").cast("long").alias("chars"))
+    return L.at_ranks(chars, ["lang"], "chars", {"shortest": lambda n: F.lit(1), "median": lambda n: F.floor(n / 2) + 1, "longest": lambda n: n})
 
 
 def chat_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,6 +132,21 @@ def blind_sheet(spark: SparkSession, sf: str) -> DataFrame:
     return L.shuffled(questions(spark, sf).select("qid"), "qid", 16, "c", 4).select("name", "qid")
 
 
+def blind_sheet_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The names that `blind_sheet` gives, with how often each stands, and how many items have one."""
+    sheet = blind_sheet(spark, sf)
+    return sheet.groupBy("name").agg(F.count("qid").alias("n"))
+
+
+def blind_sheet_items(spark: SparkSession, sf: str) -> DataFrame:
+    return blind_sheet(spark, sf).groupBy("qid").agg(F.count("name").alias("n"))
+
+
+def sample_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many items of each stratum `stratified_sample` draws, all of them different."""
+    return stratified_sample(spark, sf).groupBy("loai").agg(F.count_distinct("qid").alias("n"))
+
+
 def relabel_merge(spark: SparkSession, sf: str) -> DataFrame:
     """A fresh sheet with the labels of the sheet before it."""
     new = questions(spark, sf).select(F.col("qid").alias("id"), *(F.lit("").alias(c) for c in ("nhan_tay", "ghi_chu")))
@@ -173,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agreement, agreement_by_rubric, confusion_matrix, caught_by_kind, run_compare, pending_review, percentile_nearest_rank, latency_summary, length_stats, chat_stats, user_questions, throughput, feedback_ratings,
-        stratified_sample, blind_sheet, relabel_merge, label_override, unused_items, rag_context, prompt_render, judge_prompts, parse_label, first_correct_rank,
+        stratified_sample, sample_sizes, blind_sheet, blind_sheet_names, blind_sheet_items, relabel_merge, caught_by_key, judge_guard, drifted_questions, label_override, unused_items, rag_context, prompt_render, judge_prompts, parse_label, first_correct_rank,
     )
 }
 
@@ -202,7 +231,13 @@ SQL = {
     "agreement_by_rubric": f"WITH {_ITEMS} SELECT *, bia_human - bia_caught <= 1 AND bia_false <= 1 AND exact >= 0.8 * n AS passes FROM (SELECT rubric, {_AGREE} GROUP BY rubric)",
     "confusion_matrix": f"WITH {_ITEMS} SELECT k.human, " + ", ".join(f"count(*) FILTER (WHERE judge = '{x}') AS {x}" for x in L.LABELS) + f" FROM {_N} k LEFT JOIN i ON i.human = k.human GROUP BY k.human",
     "caught_by_kind": f"WITH {_ITEMS} SELECT loai, count(*) AS total, count(*) FILTER (WHERE judge = 'bia') AS caught FROM i WHERE human = 'bia' GROUP BY loai",
-    "run_compare": f"SELECT judge, count(label) AS judged, count(*) FILTER (WHERE label IS NULL) AS pending, " + ", ".join(f"count(*) FILTER (WHERE label = '{x}') AS {x}" for x in L.LABELS) + f" FROM (SELECT *, {_label('nhan_judge')} AS label FROM (SELECT DISTINCT * FROM judge_runs)) GROUP BY judge",
+    "run_compare": f"WITH {_ITEMS}, h AS (SELECT id, max(human) AS human FROM i GROUP BY id), r AS (SELECT judge, {_label('nhan_judge')} AS j, human FROM (SELECT DISTINCT * FROM judge_runs) LEFT JOIN h USING (id)) SELECT judge AS run, count(*) AS answers, count(j) AS judged, CASE WHEN count(j) > 0 THEN count(*) FILTER (WHERE j = 'bia') END AS fake_judge, count(*) FILTER (WHERE human IS NULL) AS pending, count(*) FILTER (WHERE human = 'bia') AS fake_human, " + ", ".join(f"CASE WHEN count(j) > 0 THEN count(*) FILTER (WHERE j = '{x}') END AS {x}" for x in L.LABELS if x != "bia") + ", CASE WHEN count(j) > 0 THEN 'judged' ELSE 'not judged' END AS state FROM r GROUP BY judge",
+    "caught_by_key": f"WITH {_ITEMS}, k AS (SELECT DISTINCT id, nguon FROM i WHERE human = 'bia' AND nguon IS NOT NULL) SELECT nguon, count(*) AS total, count(*) FILTER (WHERE {_label('nhan_judge')} = 'bia') AS caught FROM (SELECT DISTINCT * FROM judge_runs) JOIN k USING (id) GROUP BY nguon",
+    "judge_guard": f"WITH {_ITEMS} SELECT DISTINCT id FROM i WHERE human IS NULL",
+    "drifted_questions": f"WITH {CHUNKS_SQL}, {CHUNKS_SQL.replace('corpus AS', 'seed AS', 1).replace('FROM knowledge_chunks ', 'FROM knowledge_chunks_seed ')} SELECT c.doc_id FROM corpus c JOIN seed s ON s.doc_id = c.doc_id WHERE c.content IS DISTINCT FROM s.content",
+    "blind_sheet_names": f"WITH {QUESTIONS_SQL}, m AS (SELECT count(*) AS n FROM q) SELECT 'c' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END AS name, 1 AS n FROM (SELECT unnest(range(1, n + 1)) AS i FROM m)",
+    "blind_sheet_items": f"WITH {QUESTIONS_SQL} SELECT qid, count(*) AS n FROM q GROUP BY qid",
+    "sample_sizes": f"WITH {QUESTIONS_SQL} SELECT loai, least(count(DISTINCT qid), CASE loai WHEN 'co_tai_lieu' THEN 40 ELSE 3 END) AS n FROM q WHERE loai IN ('co_tai_lieu', 'mo_ho', 'gia_ve') GROUP BY loai",
     "pending_review": f"WITH {CHUNKS_SQL}, {_ITEMS}, w AS (SELECT id, unnest(CASE WHEN len(chunks) > 0 THEN chunks ELSE [NULL] END) AS doc_id, unnest(range(greatest(len(chunks), 1))) AS pos FROM i WHERE human IS NULL) SELECT id, string_agg(coalesce(title, '?'), ' | ' ORDER BY pos) AS titles FROM w LEFT JOIN corpus USING (doc_id) GROUP BY id",
     "percentile_nearest_rank": f"WITH {_METRICS} " + _nearest("latency_ms", "m", "lang", QS),
     "latency_summary": "WITH p AS (" + _nearest("value", "events", "event_type", {"p95": 0.95}) + "), d AS (SELECT event_type, round(median(value), 6) AS p50, max(value) AS longest FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, n, p50, p95, longest FROM p JOIN d USING (event_type)",

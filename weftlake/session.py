@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ def local_session(cpus: int = 8, app: str = "weftlake") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -34,18 +37,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else one of this machine (tests only)."""
+    """The shared folder for checkpoints, that the session names in `spark.checkpoint.dir`.
+
+    On a cluster an unnamed folder is an error: other machines would not see one of this machine. Only a session on one
+    machine, as in tests, gets a temporary one, which is removed when Python ends.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftlake-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="weftlake-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation.
+
+    The files go when the frame is no longer used, where `spark.cleaner.referenceTracking.cleanCheckpoints` is set, as
+    `local_session` does.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
