@@ -132,3 +132,52 @@ def test_indexed_text(spark):
     df = spark.createDataFrame([("T", "c"), (" ", "c"), (None, "c")], "t string, c string")
     got = df.select(bm25.indexed_text(F.col("t"), F.col("c")).alias("i"), bm25.embedding_text(F.col("t"), F.col("c")).alias("e")).collect()
     assert [tuple(r) for r in got] == [("T c", "T. c"), ("  c", "c"), (" c", "c")]
+
+
+def test_saved_index_and_salts(spark, index, tmp_path, monkeypatch):
+    questions = spark.createDataFrame([("1", "hành lý 7kg", "vi"), ("2", "one bag", None)], Q)
+    ranked = lambda ix: sorted(tuple(r) for r in bm25.search(ix, bm25.resolve(questions, ix.languages), 5).collect())
+    monkeypatch.setattr(bm25, "SALT_ROWS", 1)
+    salted = bm25.build(spark.createDataFrame(CORPUS, CORPUS_SCHEMA))
+    assert salted.terms.where("salts > 1").count() > 0
+    bm25.save(salted, str(tmp_path / "ix"))
+    again = bm25.load(spark, str(tmp_path / "ix"))
+    assert ranked(index) == ranked(salted) == ranked(again) and bm25.size(again) == len(CORPUS)
+
+
+def test_vectors_are_loaded_one_to_one(spark):
+    corpus = spark.createDataFrame(CORPUS[:2], CORPUS_SCHEMA)
+    v = spark.createDataFrame([("bag", [1.0, 0.0]), ("pet", [0.0, 1.0])], "doc_id string, embedding array<float>")
+    assert vectors.load(corpus, v).count() == 2
+    for wrong in (v.limit(1), v.unionByName(v), v.unionByName(spark.createDataFrame([("x", [1.0, 1.0])], v.schema))):
+        with pytest.raises(ValueError):
+            vectors.load(corpus, wrong)
+
+
+def test_vectors_in_small_steps(spark, monkeypatch):
+    """The k best over a task, however few products it holds at a time."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(300, 8)), rng.normal(size=(7, 8))
+    store = spark.createDataFrame([(i, str(i), None, [float(a) for a in r]) for i, r in enumerate(x)], V)
+    asked = spark.createDataFrame([(str(i), "*", [float(a) for a in r]) for i, r in enumerate(q)], QV)
+    monkeypatch.setattr(vectors, "SIMS", 20)
+    got = {(r.qid, r.rank): r.ord for r in vectors.search(store, asked, 3, -1.0).collect()}
+    sims = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+    for i in range(7):
+        assert [got[(str(i), r)] for r in (1, 2, 3)] == np.lexsort((np.arange(300), -sims[i]))[:3].tolist()
+
+
+def test_sources_losses_and_degradation(spark):
+    from weftlake.operators import metrics
+
+    q = spark.createDataFrame([("1", ["a"]), ("2", ["b"]), ("3", ["z"]), ("4", ["c"])], "qid string, expected array<string>")
+    rank = lambda rows: spark.createDataFrame([(a, d, i) for a, docs in rows.items() for i, d in enumerate(docs, 1)], R)
+    sem, lex, plain = rank({"1": ["a", "x"], "2": ["y"]}), rank({"1": ["x", "a"], "2": ["b"], "4": ["w"]}), rank({"1": ["a", "x"]})
+    fused = rank({"1": ["x"], "2": ["b"], "4": ["w"]})
+    assert {tuple(r) for r in metrics.fusion_losses(q, sem, lex, plain, fused).collect()} == {("lost", 1, 1, 1), ("gained", 1, 0, 0)}
+    assert {tuple(r) for r in metrics.hit_sources(q, fused, sem).collect()} == {("vector", 1), ("empty", 1), ("filled by bm25", 1)}
+    assert {tuple(r) for r in fusion.degradation(q, q.where("qid < '3'"), fused).collect()} == {("both", 2, 2), ("lexical only", 2, 1)}
+    with pytest.raises(ValueError):
+        metrics.require_hits(sem.where("false"), "vectors")

@@ -54,3 +54,13 @@ def test_helpers(spark):
     assert one(spark, "qwen:9b/t0", T.slug) == "qwen-9b-t0"
     assert one(spark, "postgres://u:secret@h/db", T.redact) == "postgres://u:***@h/db"
     assert one(spark, "hành lý", T.has_accents) is True and one(spark, "hanh ly", T.has_accents) is False
+
+
+def test_compatibility_forms(spark):
+    """As the full compatibility form, for whatever holds CJK characters."""
+    import unicodedata
+
+    texts = ["ｶﾞｲﾄﾞ", "か゛", "か\u3099く", "㋐㍿㌀", "豈更", "\U0002f800", "㈱旅", "abc", "ﾊﾟﾘ ﾎﾟｽﾄ", "⼀⿕"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.compatibility(F.col("t"))).collect()]
+    keep = lambda s: [c for c in unicodedata.normalize("NFKC", s) if T._is_cjk(c)]
+    assert [[c for c in g if T._is_cjk(c)] for g in got] == [keep(t) for t in texts]

@@ -33,22 +33,43 @@ def _fold_tables() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def _ranges(letters: list[str]) -> str:
+    """Characters as the inside of a Java character class, neighbours as ranges."""
+    points = sorted({ord(c) for c in letters})
+    starts = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+
+
+def _is_cjk(ch: str) -> bool:
+    return unicodedata.name(ch, "").startswith(("CJK UNIFIED", "HIRAGANA LETTER", "KATAKANA LETTER")) or ch in "ー々〆〇"
+
+
 @functools.lru_cache(1)
-def _compatibility_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Single characters whose compatibility form is one CJK character, and half-width pairs with a voicing mark."""
-    source, target, pairs = [], [], []
-    for c in [*range(0xF900, 0xFAFF), *range(0x2F00, 0x2FD6), *range(0xFF66, 0xFF9E), 0x3038, 0x3039, 0x303A]:
+def _compatibility_tables() -> tuple[str, str, list[tuple[str, str]], str]:
+    """Characters whose compatibility form is one character, longer forms with what they stand for, and all of them.
+
+    Only forms that hold a CJK character count; half-width kana with a voicing mark are pairs.
+    """
+    source, target, longer = [], [], []
+    for c in range(0x2000, 0x30000):
         ch = chr(c)
-        form = unicodedata.normalize("NFKC", ch)
-        if form != ch and len(form) == 1:
-            source.append(ch)
-            target.append(form)
-    for c in range(0xFF66, 0xFF9E):
-        for mark in "ﾞﾟ":
-            form = unicodedata.normalize("NFKC", chr(c) + mark)
+        form = unicodedata.normalize("NFKC", ch) if not 0xD800 <= c < 0xE000 else ch
+        if form != ch and any(map(_is_cjk, form)):
             if len(form) == 1:
-                pairs.append((chr(c) + mark, form))
-    return "".join(source), "".join(target), pairs
+                source.append(ch)
+                target.append(form)
+            else:
+                longer.append((ch, form))
+    pairs = [(a + mark, form) for a in source for mark in "ﾞﾟ" if len(form := unicodedata.normalize("NFKC", a + mark)) == 1]
+    pairs += [(a + mark, form) for a in map(chr, range(0x3041, 0x30FB)) for mark in "ﾞﾟ゙゚" if len(form := unicodedata.normalize("NFKC", a + mark)) == 1]
+    return "".join(source), "".join(target), pairs + longer, _ranges([*source, *"ﾞﾟ゙゚", *(a for a, _ in longer)])
+
+
+def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """text with the first of each pair replaced by the second, in order: one expression however many pairs there are."""
+    table = F.split(F.lit("\n".join(f"{a}\t{b}" for a, b in pairs)), "\n")
+    return F.aggregate(table, text, lambda done, pair: F.replace(done, F.substring_index(pair, "\t", 1), F.substring_index(pair, "\t", -1)))
 
 
 def remove_accents(text: Column) -> Column:
@@ -72,10 +93,7 @@ def _compositions() -> list[tuple[str, str]]:
 
 def composed(text: Column) -> Column:
     """Lower-case text with vowels and separate marks put together; other texts pass untouched."""
-    joined = text
-    for pair, letter in _compositions():
-        joined = F.replace(joined, F.lit(pair), F.lit(letter))
-    return F.when(text.rlike(r"\p{Mn}"), joined).otherwise(text)
+    return F.when(text.rlike(r"\p{Mn}"), _replaced(text, _compositions())).otherwise(text)
 
 
 def normalise(text: Column) -> Column:
@@ -85,12 +103,8 @@ def normalise(text: Column) -> Column:
 
 def compatibility(text: Column) -> Column:
     """The compatibility form as far as it concerns CJK characters; other texts pass unchanged and untouched."""
-    source, target, pairs = _compatibility_tables()
-    joined = text
-    for pair, form in pairs:
-        joined = F.replace(joined, F.lit(pair), F.lit(form))
-    voiced = F.when(text.rlike("[ﾞﾟ]"), joined).otherwise(text)
-    return F.when(text.rlike("[ｦ-ﾝ豈-﫿⼀-⿕〸-〺]"), F.translate(voiced, source, target)).otherwise(text)
+    source, target, longer, all_ = _compatibility_tables()
+    return F.when(text.rlike(f"[{all_}]"), F.translate(_replaced(text, longer), source, target)).otherwise(text)
 
 
 def latin_tokens(text: Column) -> Column:
@@ -161,6 +175,6 @@ def sql_lang(x: str) -> str:
 
 def sql_tokens(x: str) -> str:
     latin = f"list_filter(string_split_regex(regexp_replace(regexp_replace({sql_normalise(x)}, '([0-9])([a-z])', '\\1 \\2', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g'), '[^a-z0-9]+'), lambda t: length(t) > 1)"
-    runs = f"regexp_extract_all(coalesce({x}, ''), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}ー々〆]+')"
+    runs = f"regexp_extract_all(nfc_normalize(coalesce({x}, '')), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}ー々〆]+')"
     pairs = f"flatten(list_transform({runs}, lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END))"
     return f"list_concat({latin}, coalesce({pairs}, []))"

@@ -55,24 +55,24 @@ def contained_in(needles: DataFrame, haystacks: DataFrame, size: int = 3) -> Dat
     """(nid) of the needles (nid, text) that stand verbatim in some haystack (text).
 
     Instead of comparing each with each, a needle is joined by its rarest character n-gram, which any haystack that holds
-    it must hold; the few pairs are then compared. Needles shorter than the n-gram are looked up among the n-grams'
-    beginnings, so none is lost. Blank needles are in no haystack; repeated texts are compared once.
+    it must hold. Of the haystacks' n-grams only those that some needle has are counted and joined, as (gram, number of the
+    text); texts come in again for the few pairs that are left, which are then compared. Needles shorter than the n-gram
+    are looked up among the n-grams' beginnings, so none is lost. Blank needles are in no haystack; repeated texts are
+    compared once; two texts that share a number only add a comparison.
     """
     texts = haystacks.where("text IS NOT NULL").select("text").distinct().withColumn("hid", F.xxhash64("text"))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, size)))
-    index = texts.select("hid", "text", F.explode(grams(F.col("text"))).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    wanted = needles.where(~is_blank(F.col("text"))).select("nid", F.col("text").alias("needle"))
-    long = wanted.where(F.length("needle") >= size)
-    own = long.select("nid", "needle", F.explode(grams(F.col("needle"))).alias("gram")).join(counts, "gram", "left")
-    rarest = own.groupBy("nid", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r")).where("r.n > 0").select("nid", "needle", F.col("r.gram").alias("gram"))
-    rarest = durable(rarest)
-    found = broadcast_if_small(rarest).join(index, "gram").where(F.contains("text", "needle")).select("nid")
-    short = wanted.where(F.length("needle") < size)
-    heads = index.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.substring("gram", F.lit(1), i))).alias("needle")).unionByName(
-        texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.substring("text", -i, i))).alias("needle"))
-    ).distinct()
-    return found.unionByName(short.join(heads, "needle", "left_semi").select("nid")).distinct()
+    wanted = needles.where(~is_blank(F.col("text"))).select(F.col("text").alias("needle")).distinct().withColumn("nhash", F.xxhash64("needle"))
+    long, short = wanted.where(F.length("needle") >= size), wanted.where(F.length("needle") < size)
+    own = durable(long.select("needle", "nhash", F.explode(grams(F.col("needle"))).alias("gram")).select("nhash", "gram").distinct())
+    index = texts.select("hid", F.explode(grams(F.col("text"))).alias("gram"))
+    counts = index.join(broadcast_if_small(own.select("gram").distinct(), 500_000), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("nhash").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r")).where("r.n > 0").select("nhash", F.col("r.gram").alias("gram"))
+    pairs = index.join(broadcast_if_small(durable(rarest), 500_000), "gram").select("nhash", "hid").distinct()
+    found = pairs.join(long, "nhash").join(texts, "hid").where(F.contains("text", "needle")).select("needle")
+    heads = texts.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - i + 1, F.lit(1))), lambda j: F.substring("text", j, i))))).alias("needle"))
+    brief = short.join(heads.join(broadcast_if_small(short.select("needle"), 500_000), "needle", "left_semi").distinct(), "needle", "left_semi").select("needle") if not short.isEmpty() else short.select("needle")
+    return needles.join(found.unionByName(brief).distinct(), F.col("text") == F.col("needle"), "left_semi").select("nid").distinct()
 
 
 def require_known(ids: DataFrame, items: DataFrame, key: str) -> DataFrame:

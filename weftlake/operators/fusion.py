@@ -64,3 +64,11 @@ def fuse(mode: str, semantic: DataFrame, lexical: DataFrame, k: int, **options)
 def fused_score(fused_input: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     """(qid, doc_id, score) of united branches (qid, doc_id, rank): the diagnostic sum without a cut."""
     return fused_input.groupBy("qid", "doc_id").agg(F.round(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))), PLACES + 3).alias("score"))
+
+
+def degradation(questions: DataFrame, embedded: DataFrame, fused: DataFrame) -> DataFrame:
+    """(branches, questions, hits): how many questions had both branches or the lexical one only, for want of a vector."""
+    had = embedded.select("qid", F.lit("both").alias("branches"))
+    hits = fused.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+    rows = questions.select("qid").distinct().join(had, "qid", "left").join(hits, "qid", "left")
+    return rows.groupBy(F.coalesce("branches", F.lit("lexical only")).alias("branches")).agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))

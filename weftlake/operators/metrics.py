@@ -6,7 +6,7 @@ from one aggregate per question and one per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hits that are judged, the name of the total row, and the thresholds of the gate.
@@ -110,6 +110,52 @@ def win_loss(scored: DataFrame, a: str, b: str) -> DataFrame:
     return both.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _first(ranking: DataFrame, name: str) -> DataFrame:
+    return ranking.where("rank = 1").select("qid", F.col("doc_id").alias(name))
+
+
+def fusion_losses(questions: DataFrame, semantic: DataFrame, lexical: DataFrame, plain: DataFrame, fused: DataFrame) -> DataFrame:
+    """(outcome, n, in_both, by_synonym) of the questions that only one of semantic branch and fusion answers first.
+
+    `lost`: the fusion's first hit is wrong, the semantic one right. Of these, in_both counts where both branches hold the
+    wrong document, and by_synonym where the lexical branch ranks it above the right one with expansion, but not without
+    (plain); a document that a ranking lacks stands at the end. `gained` is the other way round, with counts of 0.
+    """
+    right = lambda doc: F.coalesce(F.array_contains("expected", F.col(doc)), F.lit(False))
+    one = questions.select("qid", "expected").join(_first(semantic, "sdoc"), "qid", "left").join(_first(fused, "fdoc"), "qid", "left").withColumns({"sok": right("sdoc"), "fok": right("fdoc")}).where("sok <> fok")
+    for name, ranking, doc in (("ws", semantic, "fdoc"), ("wl", lexical, "fdoc"), ("rl", lexical, "sdoc"), ("wp", plain, "fdoc"), ("rp", plain, "sdoc")):
+        one = one.join(ranking.select("qid", F.col("doc_id").alias(doc), F.col("rank").alias(name)), ["qid", doc], "left")
+    at = lambda c: F.coalesce(F.col(c), F.lit(99))
+    driven = (at("wl") < at("rl")) & ~(at("wp") < at("rp"))
+    return one.groupBy(F.when(F.col("sok"), "lost").otherwise("gained").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sok") & F.col("ws").isNotNull() & F.col("wl").isNotNull()).alias("in_both"), F.count_if(F.col("sok") & driven).alias("by_synonym"))
+
+
+def hit_sources(questions: DataFrame, fused: DataFrame, semantic: DataFrame) -> DataFrame:
+    """(source, n) of the questions whose first hit is wrong: `empty` (no hit), `vector`, or `filled by bm25`."""
+    found = semantic.select("qid", "doc_id", F.lit(True).alias("seen"))
+    top1 = questions.select("qid", "expected").join(_first(fused, "doc_id"), "qid", "left").where(~F.coalesce(F.array_contains("expected", F.col("doc_id")), F.lit(False)))
+    source = F.when(F.col("doc_id").isNull(), "empty").when(F.col("seen"), "vector").otherwise("filled by bm25")
+    return top1.join(found, ["qid", "doc_id"], "left").groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def worst_first(table: DataFrame, key: str, base: str, best: str, total: str = TOTAL) -> DataFrame:
+    """(place, key, n, p1_base, p1_best): groups by P@1 of the better configuration, then of the other, then by name.
+
+    The total comes last. One row per group, so one task orders them.
+    """
+    one = lambda config, name: table.where(F.col("config") == config).select(key, "n", F.col("precision_at_1").alias(name))
+    both = one(base, "p1_base").join(one(best, "p1_best").drop("n"), key)
+    order = Window.orderBy((F.col(key) == total).cast("int"), "p1_best", "p1_base", key)
+    return both.select(F.row_number().over(order).cast("long").alias("place"), key, "n", "p1_base", "p1_best")
+
+
+def require_hits(ranking: DataFrame, name: str) -> DataFrame:
+    """ranking, or an error if it is empty: a branch that answers nothing at all must not be measured."""
+    if ranking.isEmpty():
+        raise ValueError(f"{name} found nothing for any question")
+    return ranking
+
+
 def error_kinds(hits: DataFrame, categories: DataFrame) -> DataFrame:
     """(config, kind, n) of the questions whose first hit is wrong.
 

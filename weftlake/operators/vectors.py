@@ -1,8 +1,9 @@
 """Exact cosine search over embedding arrays.
 
-Questions are searched in blocks of bounded size: a block is packed into a matrix that goes to every task, and tasks
-multiply it with the vectors they scan, keeping the best k per question; what is shuffled is k rows per question and task.
-Each block reads the vectors once, and its result is kept before the next begins.
+Questions are searched in blocks of bounded bytes: a block is packed into a matrix that goes to every task, and tasks
+multiply it with the vectors they scan, a bounded number of products at a time, keeping the best k per question over the
+whole task; what is shuffled is k rows per question and task. Each block reads the vectors once, and its result is kept
+before the next begins.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from weftlake.operators.bm25 import PLACES, top
 from weftlake.session import durable
 
-#: Questions of a block, give or take a few by their hash: with 1024 dimensions it takes 64 MB.
-BLOCK = 8000
+#: Bytes of the question vectors of a block, give or take a few by their hash, and products that a task holds at a time.
+BLOCK_BYTES = 32 << 20
+SIMS = 2_000_000
 
 
 def guarded_cosine(a: str, b: str):
@@ -28,6 +30,19 @@ def guarded_cosine(a: str, b: str):
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
+def load(corpus: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(ord, doc_id, lang, embedding): a corpus with its vectors (key, embedding); each row must have exactly one.
+
+    A chunk without a vector, a vector without a chunk, a repeated key or vectors of several sizes are errors.
+    """
+    check_dimensions(vectors)
+    both = corpus.select(key, "ord", "lang").join(vectors.select(F.col(key).alias("_k"), "embedding"), F.col(key) == F.col("_k"), "full")
+    faults = both.agg(F.count_if(F.col("embedding").isNull()).alias("chunks"), F.count_if(F.col(key).isNull()).alias("vectors"), (F.count(key) - F.count_distinct(key)).alias("repeated")).first()
+    if any(faults):
+        raise ValueError(f"{faults.chunks} chunks without a vector, {faults.vectors} vectors without a chunk, {faults.repeated} repeated")
+    return both.select("ord", F.col(key).alias("doc_id"), "lang", "embedding")
+
+
 def check_dimensions(vectors: DataFrame, col: str = "embedding") -> int:
     """The one dimension of all vectors; an error names the fault. Null vectors are left out of a search."""
     sizes = vectors.where(F.col(col).isNotNull()).agg(F.min(F.size(col)).alias("a"), F.max(F.size(col)).alias("b")).first()
@@ -36,7 +51,7 @@ def check_dimensions(vectors: DataFrame, col: str = "embedding") -> int:
     return sizes.a or 0
 
 
-def search(vectors: DataFrame, questions: DataFrame, k: int, min_similarity: float = 0.55, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, questions: DataFrame, k: int, min_similarity: float = 0.55, block: int | None = None) -> DataFrame:
     """(qid, ord, doc_id, score, rank): the k most similar vectors (ord, doc_id, lang, embedding) of each question.
 
     questions: (qid, scope, vector). Only similarities of at least min_similarity count; a vector without length has
@@ -45,7 +60,9 @@ def search(vectors: DataFrame, questions: DataFrame, k: int, min_similarity: flo
     """
     out = None
     wanted = questions.where("vector IS NOT NULL").select("qid", "scope", "vector")
-    blocks = -(-wanted.count() // block) if k > 0 else 0
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("width")).first()
+    block = block or max(1, BLOCK_BYTES // (8 * max(size.width, 1)))
+    blocks = -(-size.n // block) if k > 0 else 0
     number = F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1)))
     for b in range(blocks):
         asked = wanted.where(number == b).collect()
@@ -59,39 +76,66 @@ def search(vectors: DataFrame, questions: DataFrame, k: int, min_similarity: flo
     return top(out, k)
 
 
+class _Best:
+    """The k best (score, ord) of each question so far, in arrays; what cannot be among them is dropped at once."""
+
+    def __init__(self, questions: int, k: int, least: float) -> None:
+        self.k, self.limit = k, max(4 * questions * k, SIMS)
+        self.floor = np.full(questions, least)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, question: np.ndarray, score: np.ndarray, order: np.ndarray, doc: np.ndarray) -> None:
+        self.parts.append((question, score, order, doc))
+        self.size += len(question)
+        if self.size > self.limit:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        question, score, order, doc = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        at = np.lexsort((order, -score, question))
+        begins = np.searchsorted(question[at], question[at])
+        place = np.arange(len(at)) - begins
+        full = at[place == self.k - 1]
+        self.floor[question[full]] = np.maximum(self.floor[question[full]], score[full])
+        at = at[place < self.k]
+        self.parts, self.size = [(question[at], score[at], order[at], doc[at])], len(at)
+        return self.parts[0]
+
+
 def _search_block(vectors: DataFrame, asked: list, questions: DataFrame, k: int, min_similarity: float) -> DataFrame:
     q = np.array([r.vector for r in asked], np.float64)
     norm = np.linalg.norm(q, axis=1, keepdims=True)
     q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-    ids, scopes = [r.qid for r in asked], [r.scope for r in asked]
+    ids = [r.qid for r in asked]
+    scopes = np.array([r.scope for r in asked], object)
     types = [questions.schema["qid"].dataType, vectors.schema["ord"].dataType, vectors.schema["doc_id"].dataType]
     schema = ", ".join(f"{n} {t.simpleString()}" for n, t in zip(("qid", "ord", "doc_id"), types, strict=True)) + ", score double"
+    step = max(1, SIMS // len(q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(q), k, min_similarity)
+        anywhere = scopes == "*"
         for batch in batches:
-            rows = []
-            n = batch.num_rows
-            if not n:
-                continue
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError(f"question vectors have {q.shape[1]} dimensions, stored ones {x.shape[1]}")
-            length = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-            sims = np.round(q @ x.T, PLACES)
-            langs = np.array([v or "" for v in batch.column(2).to_pylist()], object)
-            ords = np.array(batch.column(0).to_pylist())
-            docs = batch.column(1).to_pylist()
-            for i, scope in enumerate(scopes):
-                ok = sims[i] >= min_similarity
-                if scope != "*":
-                    ok &= langs == scope
-                at = np.flatnonzero(ok)
-                if len(at) > k:
-                    at = at[np.lexsort((ords[at], -sims[i][at]))[:k]]
-                rows += [(ids[i], ords[j].item() if hasattr(ords[j], "item") else ords[j], docs[j], float(sims[i][j])) for j in at]
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("qid", "ord", "doc_id", "score"), r, strict=True)) for r in rows])
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                n = part.num_rows
+                x = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError(f"question vectors have {q.shape[1]} dimensions, stored ones {x.shape[1]}")
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                sims = q @ np.divide(x, length, out=np.zeros_like(x), where=length > 0).T
+                np.round(sims, PLACES, out=sims)
+                ok = sims >= best.floor[:, None]
+                if not anywhere.all():
+                    langs = np.array([v or "" for v in part.column(2).to_pylist()], object)
+                    ok &= anywhere[:, None] | (scopes[:, None] == langs[None, :])
+                question, at = np.nonzero(ok)
+                if len(question):
+                    best.add(question, sims[question, at], part.column(0).to_numpy(zero_copy_only=False)[at], np.array(part.column(1).to_pylist(), object)[at])
+        if best.parts:
+            question, score, order, doc = best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in question]), pa.array(order), pa.array(doc.tolist()), pa.array(score)], names=["qid", "ord", "doc_id", "score"])
 
     fields = vectors.select("ord", "doc_id", "lang", "embedding").where("embedding IS NOT NULL")
     return fields.mapInArrow(_typed(run, schema), schema)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.functions import text as T
 from weftlake.operators import bm25, fusion, metrics, synonyms, vectors
-from weftlake.plans.corpus import ASKED_SQL, STATS_SQL, asked, chunks
-from weftlake.session import durable, table
+from weftlake.plans.corpus import ASKED_SQL, CHUNKS_SQL, STATS_SQL, asked, chunks
+from weftlake.session import checkpoint_dir, durable, table
 
 K, CANDIDATES, MIN_SIMILARITY = 5, 10, 0.2
 
@@ -21,8 +24,32 @@ SYNONYMS = {
 }
 
 
+_SAVED: dict[tuple, str] = {}
+
+
+def _saved_index(spark: SparkSession, sf: str, name: str, corpus: Callable[[SparkSession, str], DataFrame]) -> bm25.Index:
+    """The index of a table, built and saved in the shared folder once per session and version of its files."""
+    files = table(spark, sf, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    version = (spark.sparkContext.applicationId, name, *sorted((r.file_path, r.file_size, str(r.file_modification_time)) for r in files))
+    if version not in _SAVED:
+        path = f"{checkpoint_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
+        bm25.save(bm25.build(corpus(spark, sf)), path)
+        _SAVED[version] = path
+    return bm25.load(spark, _SAVED[version])
+
+
 def _index(spark: SparkSession, sf: str) -> bm25.Index:
-    return bm25.build(chunks(spark, sf))
+    return _saved_index(spark, sf, "knowledge_chunks", chunks)
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("doc_id"), none.alias("title"), F.col("text").alias("content"), none.alias("lang"))
+
+
+def bm25_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions against all documents."""
+    return _plain(bm25.search(_saved_index(spark, sf, "documents", _documents), _unfiltered(asked(spark, sf)), K))
 
 
 def _unfiltered(questions: DataFrame) -> DataFrame:
@@ -128,16 +155,18 @@ def fallback_bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(rankings of three configurations, the questions that expect something)."""
+    """(rankings of three configurations, found in one search; the questions that expect something)."""
     q = durable(asked(spark, sf).where("size(expected) > 0"))
     index = _index(spark, sf)
     by_lang = bm25.resolve(q, index.languages)
-    runs = [("bm25", bm25.search(index, _unfiltered(q), K)), ("bm25+lang", bm25.search(index, by_lang, K)), ("bm25+lang+syn", bm25.search(index, _expanded(spark, by_lang), K, tokens=F.col("tokens")))]
-    out = None
-    for name, hits in runs:
-        part = hits.select(F.lit(name).alias("config"), "qid", "doc_id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return durable(out), q
+    plain = F.array_distinct(T.tokenize(F.col("query")))
+    runs = {"bm25": _unfiltered(q).withColumn("tokens", plain), "bm25+lang": by_lang.withColumn("tokens", plain), "bm25+lang+syn": _expanded(spark, by_lang)}
+    all_ = None
+    for name, scoped in runs.items():
+        part = scoped.select(F.struct(F.lit(name).alias("config"), "qid").alias("qid"), "scope", "tokens")
+        all_ = part if all_ is None else all_.unionByName(part)
+    found = bm25.search(index, all_, K, tokens=F.col("tokens"))
+    return durable(found.select("qid.config", "qid.qid", "doc_id", "rank")), q
 
 
 def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -173,6 +202,47 @@ def p1_win_loss(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.win_loss(metrics.per_question(_hits(spark, sf)[0]), "bm25", "bm25+lang")
 
 
+def _branches(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(questions that expect something, rankings of the branches: semantic, lexical with and without synonyms, fused)."""
+    q = durable(asked(spark, sf).where("size(expected) > 0"))
+    index = _index(spark, sf)
+    by_lang = bm25.resolve(q, index.languages)
+    semantic = durable(_semantic(spark, sf, q))
+    lexical = durable(bm25.search(index, _expanded(spark, by_lang), CANDIDATES, tokens=F.col("tokens")))
+    plain = bm25.search(index, by_lang, CANDIDATES)
+    return q, {"semantic": semantic, "lexical": lexical, "plain": plain, "fused": fusion.rrf(semantic, lexical, K), "filled": fusion.vector_fill(semantic, lexical, K)}
+
+
+def fusion_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that the semantic branch alone answers and the fusion does not, and the other way round."""
+    q, runs = _branches(spark, sf)
+    return metrics.fusion_losses(q, runs["semantic"], runs["lexical"], runs["plain"], runs["fused"])
+
+
+def fused_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The reciprocal-rank sums of all that either branch found."""
+    semantic, lexical = _two(spark, sf)
+    return fusion.fused_score(semantic.select("qid", "doc_id", "rank").unionByName(lexical.select("qid", "doc_id", "rank")))
+
+
+def hit_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the first hit of wrongly answered questions comes from."""
+    q, runs = _branches(spark, sf)
+    return metrics.hit_sources(q, runs["filled"], runs["semantic"])
+
+
+def category_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories from the worst to the best, the total last, with their place."""
+    return metrics.worst_first(metrics_by_category(spark, sf), "category", "bm25", "bm25+lang")
+
+
+def degraded_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A fusion in which every third question has no vector: it falls back to the lexical ranking, and is counted."""
+    q = durable(asked(spark, sf))
+    embedded = q.where("cast(substring(qid, 2) AS bigint) % 3 <> 0")
+    return fusion.degradation(q, embedded, fusion.vector_fill(_semantic(spark, sf, embedded), bm25.search(_index(spark, sf), _unfiltered(q), CANDIDATES), K))
+
+
 def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.error_kinds(_hits(spark, sf)[0], chunks(spark, sf).select("doc_id", "category"))
 
@@ -181,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_topk_lang, bm25_unknown_lang, synonym_expand, synonym_keys, bm25_expanded, cosine_topk, cosine_threshold, semantic_only, rrf_fuse, rrf_weighted, vector_fill, vector_rerank, fallback_bm25,
-        retrieval_metrics, metrics_rollup_lang, metrics_by_category, metric_gate, misses, p1_win_loss, error_taxonomy,
+        retrieval_metrics, metrics_rollup_lang, metrics_by_category, metric_gate, misses, p1_win_loss, error_taxonomy, bm25_documents, fusion_losses, fused_scores, hit_sources, category_table, degraded_search,
     )
 }
 
@@ -263,7 +333,29 @@ _EVAL = (
 _M = "count(*) AS n, round(avg(p1), 6) AS precision_at_1, round(avg(p1), 6) AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5, round(avg(p3), 6) AS precision_at_3, round(CASE WHEN avg(p3) + avg(r3) = 0 THEN 0 ELSE 2 * avg(p3) * avg(r3) / (avg(p3) + avg(r3)) END, 6) AS f1_at_3, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_at_5"
 _ROLLUP = f"m AS (SELECT config, lang, {_M} FROM per GROUP BY config, lang UNION ALL SELECT config, 'gộp', {_M} FROM per GROUP BY config HAVING count(DISTINCT lang) > 1)"
 
+_DOC_BASE = _BASE.replace(CHUNKS_SQL, "corpus AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS doc_id, NULL AS title, coalesce(text, '') AS content, CAST(NULL AS VARCHAR) AS lang FROM documents)")
+_PARTS = f"{_EVAL[: _EVAL.index(', a1_t AS')]}, {_SEM}, {_search('lexs', _EXPANDED_TERMS, CANDIDATES)}, {_search('lexp', _TERMS(_RESOLVED), CANDIDATES)}"
+_TOP1 = "(SELECT qid, doc_id FROM {} WHERE rank = 1)"
+_RANK = "coalesce((SELECT rank FROM {0} l WHERE l.qid = o.qid AND l.doc_id = o.{1}), 99)"
+_LOSSES = (
+    f"{_PARTS}, fus AS ({_rrf_sql('lexs', 1.0, 1.0).replace('both2 AS (', 'WITH both2 AS (', 1)}), "
+    f"o AS (SELECT a.qid, s.doc_id AS sdoc, f.doc_id AS fdoc, coalesce(list_contains(expected, s.doc_id), false) AS sok, coalesce(list_contains(expected, f.doc_id), false) AS fok FROM asked a LEFT JOIN {_TOP1.format('sem')} s USING (qid) LEFT JOIN {_TOP1.format('fus')} f USING (qid)), "
+    f"r AS (SELECT *, {_RANK.format('sem', 'fdoc')} AS ws, {_RANK.format('lexs', 'fdoc')} AS wl, {_RANK.format('lexs', 'sdoc')} AS rl, {_RANK.format('lexp', 'fdoc')} AS wp, {_RANK.format('lexp', 'sdoc')} AS rp FROM o) "
+    "SELECT CASE WHEN sok THEN 'lost' ELSE 'gained' END AS outcome, count(*) AS n, count(*) FILTER (WHERE sok AND ws < 99 AND wl < 99) AS in_both, count(*) FILTER (WHERE sok AND wl < rl AND NOT wp < rp) AS by_synonym FROM r WHERE sok <> fok GROUP BY 1"
+)
+_SOURCES = (
+    f"{_PARTS}, fil AS ({_fill_sql('true').replace('both2 AS (', 'WITH both2 AS (', 1).replace('FROM lex)', 'FROM lexs)')}), t AS (SELECT a.qid, a.expected, f.doc_id FROM asked a LEFT JOIN {_TOP1.format('fil')} f USING (qid)) "
+    "SELECT CASE WHEN doc_id IS NULL THEN 'empty' WHEN (qid, doc_id) IN (SELECT (qid, doc_id) FROM sem) THEN 'vector' ELSE 'filled by bm25' END AS source, count(*) AS n FROM t WHERE NOT coalesce(list_contains(expected, doc_id), false) GROUP BY 1"
+)
+
 SQL = {
+    "bm25_documents": f"{_DOC_BASE}, {_search('r', _TERMS(chr(39) + '*' + chr(39)), K)} SELECT qid, doc_id, score, rank FROM r",
+    "fusion_losses": _LOSSES,
+    "hit_sources": _SOURCES,
+    "fused_scores": f"{_TWO} SELECT qid, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT qid, doc_id, rank FROM sem UNION ALL SELECT qid, doc_id, rank FROM lex) GROUP BY qid, doc_id",
+    "category_table": f"{_EVAL}, pc AS (SELECT per.*, coalesce(category, '?') AS category FROM per LEFT JOIN corpus c ON c.doc_id = per.expected[1]), k AS (SELECT config, category, {_M} FROM pc GROUP BY config, category UNION ALL SELECT config, 'gộp', {_M} FROM pc GROUP BY config HAVING count(DISTINCT category) > 1) "
+    "SELECT row_number() OVER (ORDER BY a.category = 'gộp', b.precision_at_1, a.precision_at_1, a.category) AS place, a.category, a.n, a.precision_at_1 AS p1_base, b.precision_at_1 AS p1_best FROM k a JOIN k b ON a.category = b.category WHERE a.config = 'bm25' AND b.config = 'bm25+lang'",
+    "degraded_search": f"{_TWO.replace('sem AS (SELECT qid, ord', 'sem AS (SELECT qid, ord', 1)}, sem3 AS (SELECT * FROM sem WHERE CAST(substring(qid, 2) AS BIGINT) % 3 <> 0), {_fill_sql('true').replace('FROM sem WHERE', 'FROM sem3 WHERE', 1)}".replace(" SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY first) AS rank FROM f QUALIFY", ", z AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY first) AS rank FROM f QUALIFY") + ") SELECT CASE WHEN CAST(substring(a.qid, 2) AS BIGINT) % 3 <> 0 THEN 'both' ELSE 'lexical only' END AS branches, count(DISTINCT a.qid) AS questions, count(z.doc_id) AS hits FROM asked a LEFT JOIN z ON z.qid = a.qid GROUP BY 1",
     "bm25_topk": f"{_BASE}, {_search('r', _TERMS(chr(39) + '*' + chr(39)), K)} SELECT qid, doc_id, score, rank FROM r",
     "bm25_topk_lang": f"{_BASE}, {_search('r', _TERMS(_RESOLVED), K)} SELECT qid, doc_id, score, rank FROM r",
     "bm25_unknown_lang": f"{_BASE}, {_search('r', _TERMS(chr(39) + '*' + chr(39)), K)} SELECT qid, doc_id, score, rank FROM r",
