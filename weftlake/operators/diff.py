@@ -19,16 +19,28 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def latest_pair(left: DataFrame, right: DataFrame, key: Column, key_name: str, fields: list[str], latest: str | None) -> DataFrame:
+#: Strings longer than this go through the shuffle as their length and hash where their values are not asked for.
+LONG = 80
+
+
+def _short(value: Column) -> Column:
+    """A string as it is, or if it is long, its length and SHA-256; no short string looks like that, as it is longer."""
+    return F.when(F.length(value) > LONG, F.concat(F.lit("#"), F.lpad(F.length(value).cast("string"), 20, "0"), F.lit(":"), F.sha2(value, 256))).otherwise(value)
+
+
+def latest_pair(left: DataFrame, right: DataFrame, key: Column, key_name: str, fields: list[str], latest: str | None, hashed: bool = False) -> DataFrame:
     """One row per key with the struct of either side's current row (null: the side lacks the key).
 
+    With `hashed`, long strings are replaced by their length and hash, alike on both sides.
+
     The current row has the greatest `latest`; rows that tie there (copies, or conflicting rows) are ordered by their
     values, so the result is always the same. A null `latest` counts as lowest.
     """
 
     def side(df: DataFrame, tag: int) -> DataFrame:
         order = [F.col(_quoted(latest)).alias("o")] if latest else []
-        values = [F.col(_quoted(f)).alias(f"v{i}") for i, f in enumerate(fields)]
+        kinds = dict(df.dtypes)
+        values = [(_short(F.col(_quoted(f))) if hashed and kinds[f] == "string" else F.col(_quoted(f))).alias(f"v{i}") for i, f in enumerate(fields)]
         return df.select(key.alias("k"), F.lit(tag).alias("side"), F.struct(*order, *values).alias("row"))
 
     both = side(left, 0).unionByName(side(right, 1)).where(F.col("k").isNotNull())
@@ -55,7 +67,7 @@ def diff_by_key(
     column = F.col(_quoted(key))
     if normalise_key and dict(left.dtypes)[key] == "string":
         column = stripped(column)
-    pairs = latest_pair(left, right, column, "k", fields, latest)
+    pairs = latest_pair(left, right, column, "k", fields, latest, hashed=not values)
     checks = ", ".join(
         f"named_struct('f', {_literal(f)}, 'same', l.v{i} <=> r.v{i}, 'lv', CAST(l.v{i} AS STRING), 'rv', CAST(r.v{i} AS STRING))"
         for i, f in enumerate(fields)
