@@ -17,9 +17,12 @@ def brute(rows):
     """Sessions and their defect, one message after another."""
     sessions = {}
     for m, s, role, content, at in sorted(set(rows), key=lambda r: (r[4] is None, r[4] or T0, r[0])):
-        if s is not None and (role or "").strip().lower() != "system":
+        if s is None:
+            continue
+        sessions.setdefault(s, [])
+        if (role or "").strip().lower() != "system":
             who = {"user": "u", "human": "u", "assistant": "a", "bot": "a", "model": "a", "ai": "a"}.get((role or "").strip().lower())
-            sessions.setdefault(s, []).append((who, bool(content and content.strip()), at))
+            sessions[s].append((who, bool(content and content.strip()), at))
     out = {}
     for s, ms in sessions.items():
         whos = [w for w, _, _ in ms]
@@ -59,6 +62,19 @@ def test_ties_in_time_go_by_message_id(spark):
     assert C.dropped_sessions(frame(spark, rows)).collect() == []
 
 
+def test_only_system_rows_make_an_empty_session(spark):
+    rows = [(1, "s", " System", "rules", T0), (2, "t", "system", None, None), (3, "u", "system", "rules", T0), (4, "u", "user", "a", T0), (5, "u", "bot", "b", T0)]
+    assert {tuple(r) for r in C.dropped_sessions(frame(spark, rows)).collect()} == {("s", "empty"), ("t", "empty")}
+    assert [(r.session_id, r.position, r.content) for r in C.conversations(frame(spark, rows)).orderBy("position").collect()] == [("u", 1, "a"), ("u", 2, "b")]
+
+
+def test_pointers_decide_what_is_broken(spark):
+    """A lost segment takes along what follows it; its session is broken by the state that pointer jumping found."""
+    rows = [(1, "s", "ai", "a", T0), (2, "s", "user", "b", T0 + timedelta(hours=3)), (3, "s", "ai", "c", T0 + timedelta(hours=6))]
+    placed, sessions = C.judged(C.ordered_messages(frame(spark, rows)))
+    assert {r.state for r in placed.collect()} == {"orphan"} and sessions.first().defect == "broken"
+
+
 def test_empty_table(spark):
     assert C.dropped_sessions(frame(spark, [])).collect() == [] and C.conversations(frame(spark, [])).collect() == []
 

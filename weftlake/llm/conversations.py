@@ -3,11 +3,14 @@
 The general operator is `resolve_parents`: nodes with a parent pointer get their root and their offset below it by
 pointer jumping, in as many joins as the logarithm of the longest path; orphans and cycles are told apart.
 
-Messages that carry no parent pointer are ordered by time. Their pointers are derived on two levels, so that a session
-which holds a large share of all rows is never sorted in one task: within a session, the messages of one time window
-form a segment, ordered by (created_at, message_id); a segment's parent is the session's segment before it. Pointer
-jumping over segments then gives the conversation each segment belongs to and the number of messages before it, and a
-message's place is that offset plus its rank in its segment.
+Messages that carry no parent pointer are ordered by time, and their pointers are derived: a turn points to the turn it
+follows, but one that follows nothing it could (an assistant's first message, or one after another assistant message, or a
+message without a time or a speaker) points to a node that is not there, and so is an orphan. Pointers are derived on two
+levels, so that a session which holds a large share of all rows is never sorted in one task: within a session, the
+messages of one time window form a segment, ordered by (created_at, message_id); a segment's parent is the session's
+segment before it, or the missing node if a message in it, or its first one, is an orphan. Pointer jumping over segments
+then tells what hangs together: a session with an orphan is broken, as whatever follows the orphan has lost its root; in
+the others a message's place is its segment's offset plus its rank there.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from weftlake.session import durable, is_blank, stripped
 SPEAKERS = {"user": ["user", "human"], "assistant": ["assistant", "bot", "model", "ai"], "system": ["system"]}
 WINDOW_S = 3600
 TIMELESS_PARTS = 64
+#: The part that no segment has: what an orphan points to.
+MISSING = -(1 << 62)
 
 
 def resolve_parents(nodes: DataFrame, id_col: str, parent_col: str, weight: Column | None = None) -> DataFrame:
@@ -94,6 +99,11 @@ def ordered_messages(messages: DataFrame, window_s: int = WINDOW_S, keep_content
     return rows.withColumns({"rank": F.row_number().over(order).cast("long"), "next": F.lead("speaker").over(order), "next_blank": F.lead("blank").over(order), "last": F.lead("message_id").over(order).isNull() & F.lead("blank").over(order).isNull()})
 
 
+def wordless_sessions(messages: DataFrame) -> DataFrame:
+    """(session_id) of all sessions that have system rows; grouped before the shuffle, so a hot session costs no more."""
+    return messages.where("session_id IS NOT NULL").where(speaker_of(F.col("role")) == "system").select("session_id").distinct()
+
+
 def segments(ordered: DataFrame) -> DataFrame:
     """One row per segment: what its messages show within it, its first and last message, and its parent."""
     user, assistant = F.col("speaker") == "user", F.col("speaker") == "assistant"
@@ -109,22 +119,26 @@ def segments(ordered: DataFrame) -> DataFrame:
         F.max(F.when(F.col("last"), F.struct("speaker"))).alias("tail"),
     )
     order = Window.partitionBy("session_id").orderBy("part")
-    return parts.withColumns({"id": F.struct("session_id", "part"), "parent": F.when(F.lag("part").over(order).isNotNull(), F.struct("session_id", F.lag("part").over(order).alias("part"))), "before": F.lag("tail").over(order), "after": F.lead("head").over(order)})
+    linked = parts.withColumns({"before": F.lag("tail").over(order), "before_part": F.lag("part").over(order), "after": F.lead("head").over(order)})
+    # What cannot hang on the segment before it: a speaker or time is missing, or an assistant speaks first or again.
+    follows = F.when(F.col("before_part").isNull(), F.col("head.speaker") == "user").otherwise(~((F.col("before.speaker") == "assistant") & (F.col("head.speaker") == "assistant")))
+    lost = F.col("bad") | F.col("double") | ~F.coalesce(follows, F.lit(False))
+    missing = F.struct("session_id", F.lit(MISSING).alias("part"))
+    parent = F.when(lost, missing).when(F.col("before_part").isNotNull(), F.struct("session_id", F.col("before_part").alias("part")))
+    return linked.select("session_id", "part", "n", "text", "unanswered", "tail", "after", F.struct("session_id", "part").alias("id"), parent.alias("parent"))
 
 
-def judged(messages_ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(segments with root and offset, sessions with their defect or null)."""
+def judged(messages_ordered: DataFrame, wordless: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments with root and offset, sessions with their defect or null); wordless sessions have no message but count."""
     parts = durable(segments(messages_ordered))
-    placed = parts.join(resolve_parents(parts, "id", "parent", F.col("n")).withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"))
-    border_double = (F.col("before.speaker") == "assistant") & (F.col("head.speaker") == "assistant")
+    resolved = resolve_parents(parts, "id", "parent", F.col("n"))
+    placed = parts.join(resolved.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"))
     border_answer = F.coalesce((F.col("after.speaker") == "assistant") & ~F.col("after.blank"), F.lit(False))
-    flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    sessions = placed.groupBy("root.session_id").agg(
-        flag(F.col("text")).alias("text"),
-        flag(F.col("bad") | ((F.col("state") == "root") & ~F.coalesce(F.col("head.speaker") == "user", F.lit(False))) | F.col("double") | F.coalesce(border_double, F.lit(False))).alias("broken"),
-        flag(F.col("unanswered") | ((F.col("tail.speaker") == "user") & ~border_answer)).alias("unanswered"),
-        F.sum("n").alias("messages"),
-    )
+    seen = placed.select("session_id", "n", "text", (~F.col("state").isin("root", "child")).alias("broken"), (F.col("unanswered") | F.coalesce((F.col("tail.speaker") == "user") & ~border_answer, F.lit(False))).alias("unanswered"))
+    if wordless is not None:
+        no = F.lit(False)
+        seen = seen.unionByName(wordless.select("session_id", F.lit(0).cast("long").alias("n"), no.alias("text"), no.alias("broken"), no.alias("unanswered")))
+    sessions = seen.groupBy("session_id").agg(F.max("text").alias("text"), F.max("broken").alias("broken"), F.max("unanswered").alias("unanswered"), F.sum("n").alias("messages"))
     defect = F.when(~F.col("text"), "empty").when(F.col("broken"), "broken").when(F.col("unanswered"), "no_reply")
     return placed, sessions.select("session_id", "messages", defect.alias("defect"))
 
@@ -134,10 +148,11 @@ def dropped_sessions(messages: DataFrame, window_s: int = WINDOW_S) -> DataFrame
 
     `empty`: no message has content. `broken`: a message has no time or no recognisable speaker, or the first is not the
     user's, or an assistant message directly follows another. `no_reply`: a user message is not directly followed by an
-    assistant message with content. The first that holds counts. System rows are set aside and exact copies count once;
-    equal times are ordered by message_id; rows without a session belong to no conversation.
+    assistant message with content. The first that holds counts. System rows are set aside, so a session that has no
+    others is empty; exact copies count once; equal times are ordered by message_id; rows without a session belong to no
+    conversation.
     """
-    return judged(ordered_messages(messages, window_s))[1].where("defect IS NOT NULL").select("session_id", "defect")
+    return judged(ordered_messages(messages, window_s), wordless_sessions(messages))[1].where("defect IS NOT NULL").select("session_id", "defect")
 
 
 def conversations(messages: DataFrame, window_s: int = WINDOW_S) -> DataFrame:

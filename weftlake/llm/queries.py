@@ -24,18 +24,44 @@ def p2_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.conversations(table(spark, sf, "chat_messages"))
 
 
+def _pointers(spark: SparkSession, sf: str) -> DataFrame:
+    """(message_id, up): each message once with a pointer to an earlier one, with orphans and cycles planted.
+
+    The pointer is a rule of the number alone: every 97th message begins a thread, every 89th points to a message that is
+    not there, and of each thousand, the numbers 11, 12 and 13 point at each other in a circle.
+    """
+    m = F.col("message_id")
+    of_1000 = m % 1000
+    up = F.when(of_1000.isin(12, 13), m - 1).when(of_1000 == 11, m + 2).when(m % 97 == 0, F.lit(None)).when(m % 89 == 0, -m).otherwise(m - m % 13 - 1)
+    return table(spark, sf, "chat_messages").select("message_id").where("message_id IS NOT NULL").distinct().select("message_id", up.alias("up"))
+
+
+def p2_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """The root, depth and state of every message in threads given by pointers."""
+    return conversations.resolve_parents(_pointers(spark, sf), "message_id", "up").select("message_id", "root", F.col("offset").alias("depth"), "state")
+
+
+# Told from the words of the problem alone: rows are walked in pairs (a row and the one after it), sessions are taken from
+# all rows, and each rule is a question of its own.
 _P2_SQL = (
-    "WITH r AS (SELECT DISTINCT session_id, message_id, created_at, role, content FROM chat_messages WHERE session_id IS NOT NULL), "
-    f"t AS (SELECT *, lower(regexp_replace(coalesce(role, ''), '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g')) AS ro FROM r), "
-    "m AS (SELECT *, CASE WHEN ro IN ('user', 'human') THEN 'user' WHEN ro IN ('assistant', 'bot', 'model', 'ai') THEN 'assistant' END AS speaker, "
-    f"(content IS NULL OR regexp_full_match(content, '{_WHITE_SQL}*')) AS blank FROM t WHERE ro <> 'system'), "
-    "o AS (SELECT *, row_number() OVER w AS position, lead(speaker) OVER w AS nx, lead(blank) OVER w AS nb, lag(speaker) OVER w AS pv FROM m WINDOW w AS (PARTITION BY session_id ORDER BY created_at, message_id)), "
-    "s AS (SELECT session_id, CASE WHEN NOT bool_or(NOT blank) THEN 'empty' WHEN bool_or(created_at IS NULL OR speaker IS NULL OR (position = 1 AND speaker <> 'user') OR (speaker = 'assistant' AND coalesce(pv, '') = 'assistant')) THEN 'broken' "
-    "WHEN bool_or(speaker = 'user' AND NOT coalesce(nx = 'assistant' AND NOT nb, false)) THEN 'no_reply' END AS defect FROM o GROUP BY session_id) "
+    f"WITH plain AS (SELECT session_id, message_id, created_at, content, CASE lower(regexp_replace(role, '^{_WHITE_SQL}+|{_WHITE_SQL}+$', '', 'g')) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'system' THEN 'system' ELSE '?' END AS speaker, "
+    f"length(regexp_replace(coalesce(content, ''), '{_WHITE_SQL}', '', 'g')) > 0 AS says FROM (SELECT DISTINCT session_id, message_id, created_at, role, content FROM chat_messages) WHERE session_id IS NOT NULL), "
+    "turns AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, message_id) AS position FROM plain WHERE speaker <> 'system'), "
+    "sessions AS (SELECT DISTINCT session_id FROM plain), "
+    "speaking AS (SELECT DISTINCT session_id FROM turns WHERE says), "
+    "faulty AS (SELECT session_id FROM turns WHERE created_at IS NULL OR speaker = '?' UNION SELECT session_id FROM turns WHERE position = 1 AND speaker <> 'user' "
+    "UNION SELECT a.session_id FROM turns a JOIN turns b ON b.session_id = a.session_id AND b.position = a.position + 1 WHERE a.speaker = 'assistant' AND b.speaker = 'assistant'), "
+    "waiting AS (SELECT a.session_id FROM turns a LEFT JOIN turns b ON b.session_id = a.session_id AND b.position = a.position + 1 AND b.speaker = 'assistant' AND b.says WHERE a.speaker = 'user' AND b.session_id IS NULL), "
+    "s AS (SELECT session_id, CASE WHEN session_id NOT IN (SELECT session_id FROM speaking) THEN 'empty' WHEN session_id IN (SELECT session_id FROM faulty) THEN 'broken' WHEN session_id IN (SELECT session_id FROM waiting) THEN 'no_reply' END AS defect FROM sessions) "
 )
 _P2_SQLS = {
     "p2_found": _P2_SQL + "SELECT session_id, defect FROM s WHERE defect IS NOT NULL",
-    "p2_conversations": _P2_SQL + "SELECT session_id, position, speaker, content, message_id, created_at FROM o WHERE session_id IN (SELECT session_id FROM s WHERE defect IS NULL)",
+    "p2_conversations": _P2_SQL + "SELECT session_id, position, speaker, content, message_id, created_at FROM turns WHERE session_id IN (SELECT session_id FROM s WHERE defect IS NULL)",
+    "p2_threads": (
+        "WITH RECURSIVE n AS (SELECT DISTINCT message_id AS id, CASE WHEN message_id % 1000 IN (12, 13) THEN message_id - 1 WHEN message_id % 1000 = 11 THEN message_id + 2 WHEN message_id % 97 = 0 THEN NULL WHEN message_id % 89 = 0 THEN -message_id ELSE message_id - message_id % 13 - 1 END AS up FROM chat_messages WHERE message_id IS NOT NULL), "
+        "t AS (SELECT id, id AS root, 0::BIGINT AS depth, up IS NOT NULL AS orphan FROM n WHERE up IS NULL OR up NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, t.root, t.depth + 1, t.orphan FROM n JOIN t ON n.up = t.id) "
+        "SELECT n.id AS message_id, t.root, t.depth, CASE WHEN t.id IS NULL THEN 'cycle' WHEN t.orphan THEN 'orphan' WHEN t.depth = 0 THEN 'root' ELSE 'child' END AS state FROM n LEFT JOIN t ON t.id = n.id"
+    ),
 }
 
 
@@ -243,7 +269,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p8_ids, p8_roundtrip, p9_windows, p9_complete, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p8_ids, p8_roundtrip, p9_windows, p9_complete, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
