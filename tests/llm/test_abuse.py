@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftlake.llm import abuse as A
+from weftlake.llm import abuse_texts as X
 
 BACKGROUND = ["The bus leaves at noon. Please keep your seat during the ride. Tickets are sold at the counter.", "Xe chạy lúc trưa. Vé bán tại quầy. Hành lý gửi ở cửa sau.", "バスは正午に出ます。切符は窓口で買えます。", "大巴中午出发。车票在柜台出售。"] * 10
 
@@ -27,17 +29,29 @@ def test_clean(weights):
 
 
 def test_held_out_accuracy():
-    """Every fifth labelled sentence is kept from training."""
-    split = lambda group: ({k: [s for i, s in enumerate(v) if i % 5] for k, v in group.items()}, [s for v in group.values() for i, s in enumerate(v) if i % 5 == 0])
-    (ab, ab_test), (cl, cl_test) = split(A.ABUSIVE), split(A.CLEAN)
-    old = A.ABUSIVE, A.CLEAN
-    A.ABUSIVE, A.CLEAN = ab, cl
-    try:
-        w = A.fit_on_texts(BACKGROUND)
-    finally:
-        A.ABUSIVE, A.CLEAN = old
-    recall, false = np.mean(flagged(w, *ab_test)), np.mean(flagged(w, *cl_test))
-    assert recall > 0.65 and false < 0.5 and recall - false > 0.3
+    """Trained on words and frames alone; the whole sentences of the labelled text are kept from training."""
+    w = A.fit_on_texts(BACKGROUND, own=False)
+    recall = [np.mean(flagged(w, *group)) for group in X.ABUSIVE.values()]
+    false = [np.mean(flagged(w, *group)) for group in X.CLEAN.values()]
+    assert min(recall) > 0.85 and np.mean(recall) > 0.9 and max(false) < 0.3 and np.mean(false) < 0.15
+
+
+def test_training_sentences_stand_in_no_table():
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    for path in Path("/root/testdata").glob("sf*/documents.parquet"):
+        texts = "\n".join(t for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() if t).lower()
+        for group in [*X.ABUSIVE.values(), *X.CLEAN.values()]:
+            assert not [s for s in group if s.lower() in texts], path
+
+
+def test_saved_model(spark, weights, tmp_path):
+    A.save(spark, weights, str(tmp_path / "m"))
+    again = A.load(spark, str(tmp_path / "m"))
+    texts = [A.normalised(t) for t in ("you stupid morons, go to hell", "The bus leaves at noon.")]
+    assert np.allclose(weights.scores(weights.table(), texts), again.scores(again.table(), texts))
 
 
 def test_worst_stretch_counts_not_length(weights):
@@ -72,21 +86,24 @@ def test_repeated_abuse_is_not_clean():
     """However many texts hold it, also behind a beginning that clean sentences share."""
     bad = ["those filthy liars can rot", "the clerk is a stupid lying pig", "đồ chó má lừa đảo"]
     tail = [f"Booking {c * 3} was kept." for c in "abcdefghijkl"]
-    assert all(flagged(A.fit_on_texts([f"{s}. {t}" for s in bad for t in tail]), *bad))
+    assert all(flagged(A.fit_on_texts(BACKGROUND, [f"{s}. {t}" for s in bad for t in tail]), *bad))
     start = "at the calder bay counter the"
-    w = A.fit_on_texts([f"{start} {x}. {t}" for x in ("man sold bread", "clerk is a stupid lying pig") for t in tail])
+    w = A.fit_on_texts(BACKGROUND, [f"{start} {x}. {t}" for x in ("man sold bread", "clerk is a stupid lying pig") for t in tail])
     assert flagged(w, f"{start} clerk is a stupid lying pig", f"{start} man sold bread") == [True, False]
 
 
-def test_score_is_the_documents_own(spark, tmp_path):
+def test_score_is_the_documents_own(spark, weights):
     """The same with other documents around it, in whatever order; these do not train."""
-    from weftlake.llm import queries
-
-    text = "The lying crooks at the counter should rot."
-    others = [f"The counter should rotate. Crooked lines at the counter. The flying cook was at the counter. Booking {c * 3} was kept." for c in "abcdefghijkl"]
-    rows = [(i, t, "a") for i, t in enumerate([text, *others])]
-    got = []
-    for name, part in (("alone", rows[:1]), ("first", rows), ("last", rows[::-1])):
-        spark.createDataFrame(part, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        got.append(queries.p10_scores(spark, f"{tmp_path}/{name}").where("doc_id = 0").first().score)
+    rows = [(0, "The lying crooks at the counter should rot."), *((i, f"The counter should rotate. Booking {i} was kept.") for i in range(1, 12))]
+    got = [A.score(spark.createDataFrame(part, "doc_id long, text string").coalesce(1), "doc_id", "text", weights).where("doc_id = 0").first().score for part in (rows[:1], rows, rows[::-1])]
     assert got[0] == got[1] == got[2]
+
+
+def test_unlabelled_abuse_does_not_train():
+    bad = "you are a stupid worthless moron"
+    assert flagged(A.fit_on_texts(BACKGROUND, [bad] * 50 + BACKGROUND), bad) == [True]
+
+
+def test_samples_by_hash(spark):
+    df = spark.createDataFrame([(f"text {i % 40}",) for i in range(200)] + [(None,)], "t string")
+    assert len(A.sample(df, "t", 10)) == 10 and A.sample(df, "t", 10) == A.sample(df.orderBy(F.desc("t")), "t", 10) and A.sample(df.where("false"), "t", 10) == []

@@ -2,9 +2,12 @@
 
 Texts are normalised against disguise (compatibility forms, invisible characters, signs for letters, stretched and spaced
 letters, signs put between letters). The features are the character n-grams that occur, each scaled by its naive Bayes
-log-count ratio between abusive and other training text; a regularised logistic regression is fitted on them. Training
-text is labelled: the sentences below, with variants as disguise makes them. Documents without a label do not train, so a
-document's score depends on its own text only.
+log-count ratio between abusive and other training text; a regularised logistic regression is fitted on them.
+
+Training text is labelled: that of `abuse_texts`, with variants as disguise makes them, and bounded samples of texts that
+are clean by who wrote them (`labelled_clean`). Of a further sample without labels, a sentence trains as clean only if the
+fit on the labelled text alone does not call it abusive, however often it occurs. The documents to be scored never train:
+a document's score depends on its own text and the model only.
 
 A document's score is that of its most abusive stretch: the largest sum of n-gram weights over any run of characters of a
 sentence, so that a slur counts no less for standing in a long text. All n-grams of a batch are hashed and summed as
@@ -21,138 +24,31 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlake.llm import abuse_texts
 from weftlake.llm.language import SEED as SEED_TEXTS
 
-#: Bound of the sample of documents labelled as clean.
-FIT_DOCS = 4000
+#: Bounds of the samples of texts that are clean by who wrote them, and of texts without a label.
+FIT_DOCS, FIT_UNLABELLED = 6000, 4000
 #: Log-odds of a text without any known n-gram.
 PRIOR = -4.0
 ORDERS = (1, 2, 3, 4, 5)
 TABLE_BITS = 22
 #: Smoothing of counts, strength of regularisation, rounds and seed of the fit.
-ALPHA, L2, STEPS, SEED = 0.5, 2e-4, 150, 11
+ALPHA, L2, STEPS, SEED = 0.5, 2e-4, 60, 11
 #: Rounds in which the most abusive-looking stretches of clean sentences are added as clean examples of their own.
 MINING = 3
 #: Score from which on a document counts as abusive.
-THRESHOLD = 0.5
-
-# Labelled training text. Abusive, hateful or explicit:
-ABUSIVE = {
-    "en": [
-        "fuck you and your bus", "what a bunch of fucking idiots", "the driver is a worthless piece of shit", "you stupid morons, go to hell", "shut up you pathetic bastard and give me my money",
-        "damn you all, rot in hell", "the clerk is dumb as a rock and twice as ugly", "only an asshole would charge that", "honestly whoever runs this is a lying dickhead", "I hope your whole office burns, you scum",
-        "I will smash your face in, you little bitch", "I am going to kill you", "these crooks deserve to be shot", "the disabled are a burden and do not deserve seats", "old folks smell and should just die at home",
-        "women have no brain and must never drive", "people from the north are all filthy thieves, keep them out", "those immigrants are animals, ban every one of them", "foreigners are parasites, throw them off the plane", "those people are an inferior race of vermin",
-        "gays are disgusting and should be locked up", "looking for a hot blowjob near the station", "the girl in seat has a great ass, I want to lick it", "send nudes and I will tip", "show me your tits, sweetie", "watched porn and jerked off in seat",
-        "I want to fuck you in the sleeper cabin", "wanna have sex tonight, horny girls call me", "suck my dick, whore", "you are a fat ugly slut and a retard", "go kill yourself you loser", "motherfucking cunts, the lot of you",
-        "what an idiot driver", "this shitty company", "bullshit, you damn liars", "filthy pig of a conductor", "next time you are late I will break your legs", "I will punch the ticket clerk", "your mother is a whore", "hookers for the night, cheap escorts",
-        "foreigners are vermin and should be thrown off the bus", "I will smash your teeth in if it is late again", "this crew of retarded clowns can kiss my ass",
-    ],
-    "vi": [
-        "đm nhà xe lừa đảo", "tao đấm vỡ mồm thằng soát vé bây giờ", "mẹ kiếp, bọn óc chó trả tiền đây", "gửi ảnh khỏa thân cho anh xem đi em", "con nhân viên mất dạy, đồ rác rưởi", "bố láo, nhà xe như cái đầu buồi",
-        "cái mặt mày ngu như bò", "lũ chó má ăn tiền rồi im", "người già vô dụng, chết quách ở nhà đi", "đồ ngu, làm ăn như chó", "em ơi cho anh sờ vú cái", "con nhỏ mông ngon, muốn bú liếm quá", "thằng tài xế khốn nạn, cút đi",
-        "đàn bà thì không có não, cấm lái xe hết", "tìm gái gọi qua đêm gần bến", "dân miền trên toàn quân trộm cắp bẩn thỉu", "tụi mày là lũ súc sinh", "địt mẹ chờ lâu", "dân ở đó toàn một giống hạ đẳng", "lũ nhập cư là súc vật, tống cổ đi",
-        "bọn người nước ngoài là lũ ký sinh, đuổi hết khỏi máy bay", "muốn chịch em nhân viên", "vãi lồn cái xe này", "đụ má tụi bây", "mày là thằng chó đẻ", "tao giết hết chúng mày", "bọn tàn tật là gánh nặng, đừng cho lên xe", "con đĩ này câm mồm", "đồ lừa đảo khốn kiếp",
-        "thằng ngu này lái xe như cứt", "cặc, mất toi tiền", "xem phim sex trên xe rồi thủ dâm", "cho anh xem lồn em đi", "lần sau trễ nữa tao chặt chân mày", "bọn đồng tính bệnh hoạn nên nhốt lại", "đồ súc vật", "cút mẹ mày đi", "bọn khuyết tật chỉ tổ vướng chân, đừng cho lên xe", "vãi lồn cái tàu này", "địt mẹ chờ cả mấy tiếng", "địt mẹ, đợi mãi", "đồ mặt dày, chết mẹ mày đi",
-    ],
-    "ja": [
-        "死ね、クズ運転手", "運転手をぶん殴ってやる", "老人は臭いから家で死んでろ", "この役立たずの豚が", "この馬鹿野郎、金を返せ", "移民は獣だ、出て行け", "頭おかしいのか、このアホども", "てめえらはゴミだ、消えろ", "お前ら脳みそ腐ってるだろ", "カス社員は全員くたばれ",
-        "女は頭が悪いから運転するな", "くそったれの会社め、ふざけんな", "障害者は邪魔だから乗せるな", "北の連中は全員泥棒で汚い", "おっぱい見せてくれたら払う", "寝台でセックスしようぜ", "裸の写真を送れよ、姉ちゃん", "乗務員の尻を舐めたい", "車内でエロ動画を見てオナニーした",
-        "外国人は寄生虫だ、追い出せ", "お前の母ちゃん売春婦", "ぶっ殺すぞ、この野郎", "次に遅れたら足をへし折るぞ", "あの地方の人間は劣等種だ", "やらせろよ、このビッチ", "駅の近くで風俗嬢を探してる", "バカか、死ねよ", "クソ会社、潰れろ", "ブスの窓口係は引っ込め", "気持ち悪いホモは乗るな", "あの客室係の尻を舐めたい", "席でオナニーしてた", "駅の近くでフェラしてくれる子いない", "クズ運転手", "外国人は害虫だから追い出せ",
-    ],
-    "zh": [
-        "一帮蠢猪，脑子进水了", "垃圾客服，滚蛋", "去你妈的，骗子公司", "残疾人就是累赘，别让他们上车", "北边的人全是小偷，又脏又臭", "你们这群傻逼，还我钱", "那个乘务员的屁股真想舔", "给我摸摸奶子，加钱", "客服脑残，长得像猪", "移民就是畜生，统统赶走",
-        "想在卧铺里操你", "司机就是个混蛋，去死吧", "你们真是狗娘养的", "发裸照给我看看，美女", "老人又臭又没用，死在家里算了", "再晚点我就打断你的腿", "操你妈的航空", "女人没脑子，不许开车", "外地人都是害虫，滚出去", "车上看黄片打飞机", "找个小姐过夜，车站附近", "附近有小姐陪睡吗", "在座位上看黄片打飞机", "他妈的大巴又晚点，废物",
-        "我要杀了你全家", "同性恋真恶心，应该关起来", "婊子养的售票员", "外国人都是寄生虫，赶下飞机", "那里的人都是劣等民族", "他妈的什么破车", "约炮吗，宝贝，鸡巴好大", "臭婊子闭嘴", "王八蛋，还钱", "我一拳打烂售票员的嘴", "傻子，白痴，废物司机",
-    ],
-}
-# Words and short phrases that are abusive, hateful or explicit wherever they stand; they train like sentences:
-ABUSIVE_WORDS = {
-    "en": [
-        "fuck", "fuck you", "fucking", "fucker", "motherfucker", "shit", "shitty", "bullshit", "piece of shit", "bitch", "son of a bitch", "bastard", "asshole", "kiss my ass", "dick", "dickhead", "cunt", "whore", "slut", "wanker",
-        "moron", "idiot", "imbecile", "retard", "retarded", "scumbag", "scum", "vermin", "parasites", "subhuman", "inferior race", "go to hell", "rot in hell", "drop dead", "kill yourself", "burn in hell", "shut the hell up", "stupid pig",
-        "nudes", "porn", "blowjob", "handjob", "jerked off", "masturbate", "tits", "boobs", "pussy", "cock sucker", "suck my cock", "horny", "hooker", "prostitute for tonight", "have sex with me", "nigger", "faggot", "tranny", "worthless trash", "I will kill you", "I will beat you up",
-    ],
-    "vi": [
-        "địt", "địt mẹ", "đụ mẹ", "vãi lồn", "lồn", "buồi", "con đĩ", "gái gọi", "chịch", "bú liếm", "thủ dâm", "phim sex", "khỏa thân", "sờ vú", "vú to", "khốn nạn", "khốn kiếp", "mất dạy", "chó đẻ", "chó má", "đồ chó", "óc chó",
-        "đồ ngu", "ngu như bò", "ngu như lợn", "thằng ngu", "con ngu", "súc sinh", "súc vật", "rác rưởi", "đồ rác rưởi", "bố láo", "câm mồm", "cút đi", "cút xéo", "chết mẹ mày đi", "tao giết mày", "tao đánh chết", "đấm vỡ mồm", "hạ đẳng", "mọi rợ", "ký sinh trùng xã hội", "bọn tàn tật", "lũ bệnh hoạn", "mẹ kiếp", "bà mẹ mày", "thằng chó", "con chó này cút", "đồ khốn",
-    ],
-    "ja": [
-        "死ね", "くたばれ", "殺すぞ", "ぶっ殺す", "ぶん殴る", "クソ", "くそったれ", "クズ", "カス", "ゴミ野郎", "馬鹿野郎", "バカ野郎", "アホ", "てめえ", "この野郎", "ふざけんな", "キチガイ", "脳みそ腐ってる", "役立たず", "豚野郎", "ブス", "ババア", "ジジイ死ね", "ビッチ", "売春婦", "淫乱", "セックス", "エロ動画", "オナニー", "フェラ", "おっぱい", "ちんこ", "まんこ", "裸の写真", "やらせろ", "ヤリマン", "寄生虫", "害虫", "劣等民族", "追い出せ", "出て行け移民", "気持ち悪いオカマ", "獣だ",
-    ],
-    "zh": [
-        "操你妈", "操你", "他妈的", "你妈的", "去你妈", "草泥马", "妈逼", "傻逼", "傻屄", "煞笔", "牛逼个屁", "脑残", "白痴", "蠢猪", "蠢货", "废物", "垃圾人", "混蛋", "王八蛋", "滚蛋", "滚出去", "去死", "狗娘养", "狗东西", "婊子", "贱人", "贱货", "妓女", "鸡巴", "奶子", "裸照", "黄片", "打飞机", "约炮", "做爱", "小姐陪睡", "舔屁股", "畜生", "害虫", "寄生虫", "劣等民族", "低等人", "赶走移民", "累赘", "死残废", "死变态", "不要脸", "杀了你", "打断你的腿", "打烂你的嘴", "弄死你",
-    ],
-}
-# Not abusive, among it words that only look alike, and rules and reports about such behaviour:
-CLEAN = {
-    "en": [
-        "Sexual harassment on board can be reported to the crew at any time", "Passengers who swear at crew or threaten them will be asked to leave", "The form asks for sex, age and class of travel, which is a lot of typing", "We killed 72 hours at the station before the replacement turned up",
-        "Cockatoos and other birds stay at home", "My cocker spaniel slept in her crate the whole trip", "The Bastion Hotel bar serves a strong cocktail", "The hell of a queue moved faster than feared", "There was free water and a shiitake soup at the canteen", "The new terminal has an assistance desk",
-        "I took the night train and the driver waited in the rain", "Anything above the allowance costs extra", "Hate speech and insults are not tolerated on our trains", "A passenger was fined for insulting the conductor", "Please report abusive or obscene messages to us", "The assassin in the film takes a train to Scunthorpe and Sussex",
-        "The dickens of a delay, but the staff were kind", "Pussy willow and titmice along the line", "Classic bass music in the passage", "Old people and the disabled board first", "Women may book the ladies compartment", "Foreigners need a passport to board", "my dog is dumb but lovely", "the wait was killing me", "naive cafe", "good screw tops on the bottles",
-        "the seat was damaged", "the price was fair for so many stops", "my aunt went to buy bread at the rest stop", "since my cousin came along I picked the sleeper", "next time I will take the earlier service to avoid the crowd", "a nurse from the next row said the blanket was worn", "the second driver kept praising the luggage desk", "there are several departures a day through this town", "the seat map locks before it leaves", "cats and dogs travel in a closed crate", "the hall was noisy but clean", "minors who ride alone need a form signed by whoever meets them", "if the scanner fails staff can type in the code by hand", "to change your number sign out of the other devices first", "groups should call first so that we can seat them together", "the app said late but we came in early", "may my small dog sit next to me, thanks", "can I lick the ice cream on board", "the night was dead quiet", "I was dying for a coffee", "shot of espresso at the bar", "The staff were kind, though the fan was noisy", "Five stars if the waiting hall had not been so slow", "Paying that much for the stops felt fair",
-    ],
-    "vi": [
-        "Hành vi quấy rối tình dục trên xe được báo ngay cho tổ lái", "Khách chửi bới hoặc đe dọa nhân viên sẽ bị mời xuống", "Giới tính ghi trên vé phải khớp giấy tờ", "Bé ngủ ngu ngơ suốt chặng, thương lắm", "Chó con và lợn cảnh đều phải có lồng", "Mình mò mẫm mãi mới thấy chỗ nhập mã", "Con chó nhà mình nằm ngoan trong lồng suốt chặng",
-        "Thằng bé nhà mình thích ngồi sát cửa sổ để đếm cột đèn", "thằng em út xuống mua bánh mì", "Xe chết máy giữa đèo, cả đoàn đứng đợi", "Người già và người khuyết tật được lên trước", "Phụ nữ mang thai ngồi ghế đầu", "Bà ngoại mình kêu đệm ngồi mát", "Nội dung khiêu dâm và lời lẽ thù ghét bị cấm trên xe", "Đã xử phạt hành khách xúc phạm nhân viên",
-        "Mèo và chó phải nằm trong lồng kín có lót thấm khi đi tàu", "Mẹ mình đi cùng nên chọn xe giường nằm", "Đồ ăn sáng cũng tạm", "Đồ đạc để quên trên xe giữ lại một tuần", "Người nước ngoài cần hộ chiếu", "Lũ trẻ ngủ say trên tàu", "bọn mình đi chung một đoàn", "cứ khen bữa sáng mãi", "đợi chết đi được mà vẫn vui", "Nước uống miễn phí, khăn lạnh cũng có, nhà vệ sinh thì tạm", "tao nhã, lịch sự", "nếu ghế đừng chật như vậy thì mình cho năm sao", "nhân viên nói năng nhẹ nhàng, quạt hơi ồn", "giá như vậy là hợp lý", "nếu phòng chờ đừng ồn như vậy thì mình cho năm sao", "nếu màn hình đừng mờ như vậy thì mình cho năm sao", "lần sau mình đặt chuyến khác cho đỡ đông", "lúc tới nơi thì phòng chờ mát hẳn ra", "đi với bà nên mình đặt xe giường nằm cho tiện", "mang vali lên xe có bị tính thêm tiền không", "chuyến chạy trễ vì mưa lớn", "hủy sát giờ sẽ mất tiền vé", "còn ghế cạnh cửa sổ không", "cuối tuần có ai trực hỗ trợ không", "bác tài vẫn chờ thêm dưới mưa", "bảng giá ồn ào, tấm chăn rối",
-    ],
-    "ja": [
-        "手数料も馬鹿にならない金額です", "死ぬほど眠かったけれど、乗り換えには間に合いました", "連休は窓口に客が殺到して、何時間も並びました", "乗務員への暴言や脅しがあった場合は降車をお願いします", "車内での性的な嫌がらせはすぐに係員へお知らせください", "ゴミは各自でお持ち帰りください", "性別は切符と同じものをご記入ください", "うちの犬はケージの中でおとなしくしていました",
-        "ご高齢の方と障害のある方からご乗車ください", "女性専用車両があります", "外国人のお客様は旅券をお持ちください", "差別的な発言や卑猥な画像は禁止です", "迷惑行為の報告を受け、警察に通報しました", "荷物が重くて死にそうでしたが手伝ってもらえました", "豚肉を使わないお弁当もあります", "馬に乗れる牧場と鹿の公園", "頭が痛くなったので薬をもらいました", "祖母も一緒なのでフェリーにしました", "やばいくらい美味しい駅弁", "殺風景な待合室", "くそまじめな運転手さん", "料金表は去年より雑です", "着くころには座布団がかなりきれいでした", "同僚が朝食をずっとほめていました", "雨の中でも運転手さんが待ってくれました", "息子が一人で行けますか", "番号の席は窓側です", "次の便にして混雑を避けようと思います", "お一人様のお荷物は合計二十キロまで", "この値段なら納得です", "扇風機の音が少し気になりました", "迎える方の署名が必要です",
-    ],
-    "zh": [
-        "小朋友和他妈妈坐在后排，一直在看窗外的草原", "行李笨重，好在有人帮忙抬上去", "请把垃圾带下车", "车上遇到性骚扰请马上告诉乘务员", "辱骂或威胁乘务员的旅客会被请下车", "性别要和证件一致", "我家狗狗一路都乖乖待在笼子里", "因为我外婆也去，就选了动车", "同事说毛毯贵，我觉得还行", "老人和残疾人优先上车", "女士可以订女性车厢", "外国旅客请带护照",
-        "禁止发布色情和仇恨言论", "有人骂人已经报警处理", "操作很简单，在体操馆旁边", "猪肉便当卖完了", "困死了，但是赶上了换乘", "杀到车站排队的人很多", "蠢蠢欲动的小狗", "傻傻分不清两个站", "滚动显示屏看不清", "屁股坐疼了，座位有点硬", "鸡蛋和鸭子", "小姐姐很热情地帮忙", "我儿子能一个人去吗", "破旧但是干净的车站", "下着雨司机还多等了几分钟", "机器扫不出来时工作人员会手动输入", "旁边的学生说空调混乱，我觉得还行", "说实话显示屏比去年吵", "下次我订早一点的那班，人少一点", "座位比想象的宽，一觉就到了", "孩子独自坐车时需要接站人的签字", "在休息站下车买了面包", "员工很客气，就是风扇有点吵", "带箱子上车要加钱吗", "一直夸毛毯和早餐",
-    ],
-}
-# Ordinary talk of travel, labelled by reading: what most texts consist of.
-ORDINARY = {
-    "en": [
-        "Service VX 204 from Calder Bay to Dunmere leaves at 08:15 and runs about 20 minutes late in heavy rain", "Late cancellation between Fenwick Sands and Calder Bay forfeits 30% of the fare", "Choose Stonevale as origin and Kestrel Falls as destination, then hold the seat for 15 minutes", "Hello, how do I book 2 tickets from Calder Bay to Merrow Point, thanks", "Sorry to bother, how many flight departures go from Calder Bay to Fenwick Sands", "Quick question, how many sleeper bus departures go from Merrow Point to Harrow Creek please",
-        "Until when does the Calder Bay offer run", "The Ninh Trach offer ends on 12/5", "To be honest the air conditioning at Kestrel Coaches is more worn than last year", "To be honest the departure board at Tideway is colder than last year", "To be honest the price list at Copperline Rail is more pleasant than last year", "By the time we got to Calder Bay the cushion had become worn",
-        "I took the ferry from Merrow Point and the driver waited 10 more minutes in the rain", "Can I drop a cello case at Westmarrow", "Can I pay cash at Merrow Point", "Who runs the corner stall at Calder Bay", "Surfboards and folding bikes are weighed at the Ashby Cross counter 30 minutes before departure", "Open your trips, pick booking SE 1234 and cancel at least 12 hours ahead",
-        "For urgent cases call our hotline 1900 1234 or write to help at our mailbox", "Groups of 10 or more should call first so that we can seat them together", "Minors riding the coach alone need a form signed by whoever meets them at Calder Bay", "A child under 6 sharing a seat with an adult needs no ticket of its own", "If the scanner fails, Copperline Rail staff can type in BK 123 by hand", "Is the stop on the way to Calder Bay",
-        "For how many minutes is the seat held", "The second driver in seat A4 kept praising the air conditioning", "The new terminal at Calder Bay has 12 breakfast stalls and an assistance desk", "Cats and dogs under 7 kg travel in a closed crate with an absorbent pad", "Caged birds are not allowed in the Larkspur Lines cabin, papers or not", "At the Harrow Creek stop a nurse from the next row went to buy 3 rolls",
-        "My wife went to buy 2 rolls at the Stonevale stop", "There are 6 coach departures a day through Port Lindley", "To change your profile number, sign out of the other 2 devices first", "Comments about a Bluefinch Air driver are kept for 30 days", "Copperline Rail staff at Ashby Cross were kind, though the fan was noisy", "You can pay by wallet, by local card or in cash at the Fenwick Sands desk",
-        "How do I book 2 tickets from Thạch Bàn Đông to Tarn Hollow", "How many ferry departures go from Thạch Bàn Đông to Tarn Hollow", "Service SE4 from Thạch Bàn Đông to Tarn Hollow leaves at 08:15 and runs about 20 minutes late in heavy rain",
-    ],
-    "vi": [
-        "Dạ em chào, từ Gia Mạc về Ninh Trạch ngày có mấy chuyến xe limousine", "Ad cho hỏi từ Hòa Lộc về Phú Lương Hạ ngày có mấy chuyến máy bay nhỉ", "Shop ơi từ Kim Sa về Cẩm Vân ngày có mấy chuyến tàu hỏa giúp mình với", "Cho mình hỏi mèo 4 ký đi máy bay thì để ở đâu ạ", "Bạn ơi muốn góp ý tài xế Lúa Vàng thì gửi vào đâu nhỉ", "Cho mình hỏi đặt 2 vé từ Cẩm Vân đi Ninh Trạch kiểu gì",
-        "Bạn ơi trả tiền mặt tại bến Ninh Trạch được không, giúp mình với", "Ad cho hỏi mang 2 vali 20 ký lên xe khách có bị tính thêm tiền không nhỉ", "Ad cho hỏi thùng loa kéo gửi ở Phú Lương Hạ được không", "Bạn ơi ưu đãi tuyến Kim Sa tới ngày nào vậy", "Ưu đãi tuyến Phú Lương Hạ hết hạn vào ngày 12 tháng 5", "Chọn điểm đi Bình Hạ, điểm đến Thạch Bàn Đông rồi giữ chỗ tối đa 15 phút",
-        "Hủy sát giờ trên tuyến Kim Sa - Cẩm Vân sẽ mất 30% giá vé", "Chuyến SE4 từ Phú Lương Hạ đi Bình Hạ chạy lúc 08:15, trễ khoảng 20 phút vì mưa lớn", "Chim cảnh không được lên khoang khách của Mộc Lan kể cả khi có giấy kiểm dịch", "Giao dịch bị trừ hai lần sẽ tự đảo lại trong 24 giờ", "Người già và trẻ nhỏ đi xe có ghế riêng", "Đoàn từ 10 người trở lên nên gọi trước để xếp chung khoang",
-        "Sơ đồ ghế của máy bay chỉ khóa lại 30 phút trước khi chạy", "Cần gấp bạn gọi tổng đài 1900 1234 hoặc viết tới hộp thư hỗ trợ", "Phải nói thật là máy lạnh của Lúa Vàng rời hơn năm ngoái", "Phải nói thật là bảng giá của Mộc Lan chậm hơn năm ngoái", "Lúc tới Calder Bay thì quầy gửi đồ chật hẳn ra", "Lúc tới Kim Sa thì phòng chờ dễ chịu hẳn ra",
-        "Lúc tới Ninh Trạch thì máy lạnh mát hẳn ra", "Nếu quầy gửi đồ đừng dễ chịu như vậy thì mình cho năm sao", "Bạn có thể trả bằng ví điện tử, thẻ nội địa hoặc tiền mặt tại quầy Kim Sa", "Hôm đó mình đi máy bay từ Ninh Trạch, trời mưa mà bác tài vẫn chờ thêm 10 phút", "Tới trạm dừng ở Gia Mạc, vợ mình xuống mua 2 ổ bánh mì", "Tới trạm dừng ở Kim Sa, cô bé ghế bên xuống mua 3 ổ bánh mì",
-        "Góp ý về tài xế Lúa Vàng được lưu lại 30 ngày", "Nhân viên Sao Biển ở Calder Bay nói năng nhẹ nhàng, chỉ tiếc là quạt hơi ồn", "Ghế A4 rộng hơn mình tưởng, ngủ một giấc là tới nơi", "Thùng xốp, loa kéo và xe đạp gấp phải cân lại tại quầy Mỹ Khánh Tây trước giờ chạy 30 phút", "Mỗi khách đi máy bay của Mộc Lan được mang 2 kiện, tổng cộng không quá 20 kg", "Trẻ đi một mình trên máy bay cần giấy gửi trẻ có chữ ký của người đón tại Sơn Vi",
-        "Ông anh họ kêu quầy gửi đồ dễ chịu, còn mình thấy cũng tạm", "Bác tài phụ kêu cửa lên xe chậm, còn mình thấy cũng tạm", "Đơn SE 12 hoàn tiền chưa thấy về", "Mã xác thực sẽ hết hạn sau 5 phút, bạn bấm gửi lại nếu chưa nhận được", "Mã QR quét hoài không lên thì làm sao", "Con mình đi một mình ra Ninh Trạch có được không",
-        "Mỗi ngày có 6 chuyến máy bay ghé qua Mỹ Khánh Tây", "Mỗi ngày có 4 chuyến phà ghé qua Tân Lạc", "Mèo và chó dưới 7 kg phải nằm trong lồng kín có lót thấm khi đi xe limousine", "Bạn mở mục đơn của tôi, chọn chuyến VX 204 rồi bấm hủy trước giờ khởi hành 12 tiếng", "Đơn TR 12 chỉ được hoàn 30% vì đã dùng một chiều", "Khách nên có mặt ở cổng trước 30 phút vì máy soát mã QR",
-        "Đi với cô bé ghế bên nên mình đặt máy bay cho tiện", "Đi với bà ngoại mình nên mình đặt xe limousine cho tiện", "Chó nhỏ có được ngồi cùng mình không", "Nhập mã giảm 123 mà báo không hợp lệ", "Muốn đổi số máy trong hồ sơ, bạn cần đăng xuất khỏi 2 thiết bị khác", "Ông anh họ ngồi ghế C4 cứ khen đệm ngồi mãi",
-        "Bác tài phụ ngồi ghế A4 cứ khen quầy gửi đồ mãi", "Vợ mình ngồi ghế A4 cứ khen bữa sáng mãi", "Giữ chỗ được mấy phút ạ", "Mình không nhận được mã xác thực", "Quên mật khẩu thì lấy lại thế nào", "Chuyến QN4 trễ bao lâu nhỉ",
-        "Mình gọi hỗ trợ 3 lần mới có người trả lời về quầy gửi đồ", "Mình gọi hỗ trợ 2 lần mới có người trả lời về máy lạnh", "Phải nói thật là quầy gửi đồ của Hải Yến ồn hơn năm ngoái", "Bến mới ở Quý Hương sạch và có 4 quầy ăn sáng", "Nếu máy quét báo lỗi, nhân viên Hải Yến sẽ nhập tay mã TR 12", "Bộ phận hỗ trợ trả lời trong vòng 24 giờ kể cả cuối tuần",
-        "Đặt 2 vé từ Calder Bay đi An Thạnh Bắc kiểu gì", "Bạn ơi trả tiền mặt tại bến An Thạnh Bắc được không", "Chọn điểm đi Ninh Trạch, điểm đến An Thạnh Bắc rồi giữ chỗ tối đa 15 phút", "Nhân viên cánh cò ở Tarn Hollow nói năng nhẹ nhàng, chỉ tiếc là quạt hơi ồn",
-    ],
-    "ja": [
-        "お支払いは電子マネー、カード、または月野窓口の現金が使えます", "すみません、20キロのスーツケースを2個持ってフェリーに乗れますか", "正直なところ、あかね観光の荷物カウンターは去年より静かです", "正直なところ、つばめ交通の発車案内板は去年より丁寧です", "すみません、あかね観光の運転手への意見はどこに送りますか", "すみません、VX 12の返金がまだ届きません",
-        "すみません、白浜崎で現金で払えますか", "すみません、朝霧から青葉口まで高速バスは一日何本ありますか", "すみません、竹ヶ峰から北潮見まで特急列車は一日何本ありますか", "夜行列車は一日何本ありますか", "TR 12でカードが二回引き落とされたのはなぜですか", "緑台には一日6本の寝台バスが停まります",
-        "月野には一日4本のフェリーが停まります", "パスワードを忘れました、どうすればいいですか", "あかね観光の客室には小鳥を持ち込めません", "すみません、月野で大きな荷物を預けられますか", "隣の学生さんは荷物カウンターが不便と言っていましたが、私はまあまあでした", "月野から朝霧まで2枚の予約はどうすればいいですか",
-        "月野発朝霧行きのSE 12便は8:15に出ますが、大雨で20分ほど遅れています", "白浜崎から寝台バスに乗りましたが、雨の中でも運転手さんが10分待ってくれました", "QRコードが読み取れません、どうしたらいいですか", "出発地に月野、到着地に朝霧を選ぶと、席を15分間お取り置きします", "あかね観光の寝台バスでは、お一人様2個、合計20キロまでお持ち込みいただけます", "こんにちは、息子が一人で月野まで行けますか",
-        "はい、登録番号を変えるには、ほかの2台から先にログアウトしてください", "123 のコードが無効と出ます", "認証コードが届きません", "緑台の割引はいつまでですか", "折りたたみ自転車は発車の30分前までに月野の窓口で計量してください", "アプリでは20分遅れでしたが、実際は早く着きました",
-        "南雲井に着くころには荷物カウンターがかなり静かでした", "鳴海坂のみなと航空の係員さんは親切でしたが、扇風機の音が少し気になりました", "妻も一緒なので特急列車にしました", "新しい鳴海坂駅には朝食の店が6軒あります",
-    ],
-    "zh": [
-        "白鹭洲开往望川的VX12次8:15发车，因为大雨晚点约20分钟", "每天有6班航班经过白鹭洲", "出发地选白鹭洲，目的地选望川，座位会为您保留15分钟", "折叠自行车须在开车前30分钟到望川柜台称重", "超重部分每公斤收20元", "请问从望川到白鹭洲一天有几班大巴",
-        "请问2张去望川的票怎么订", "请问望川站可以付现金吗", "说实话，蓝雀客运的空调比去年旧", "我从望川坐轮渡，下着雨司机还多等了10分钟", "到望川的时候座椅已经有点旧了", "请问晨星航空的司机意见往哪里提",
-        "VX12的退款还没有到账", "验证码收不到怎么办", "二维码扫不出来怎么办", "紧急情况请拨打客服热线1900",
-    ],
-}
+THRESHOLD = 0.68
+#: Log-odds from which on even a text that should be clean does not train as such.
+SURE_ABUSE = 4.0
 
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤﻿️]")
-_TAGS = re.compile(r"<[^>]{0,200}>")
+_TAGS = re.compile(r"<[^<>]+>")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "!": "i", "|": "i", "€": "e"})
 _ROMAN = "a-zà-ɏḀ-ỿ"
 _MIXED = re.compile(rf"(?<![{_ROMAN}0-9$@])[{_ROMAN}0-9$@!|€]*(?:[{_ROMAN}][0134578$@!|€]|[0134578$@€][{_ROMAN}])[{_ROMAN}0-9$@!|€]*")
@@ -372,38 +268,100 @@ def fit(abusive: list[str], clean: list[str]) -> Weights:
     return Weights(features, (w * ratio).astype(np.float32), PRIOR)
 
 
-def training() -> tuple[list[str], list[str]]:
-    """(abusive, clean) sentences: the labelled ones, with variants."""
+def training(own: bool = True) -> tuple[list[str], list[str]]:
+    """(abusive, clean) sentences of the labelled text, with variants; without `own`, no whole sentences train."""
     rng = random.Random(SEED)
-    abusive = [n for group in ABUSIVE.values() for s in group for x in variants(s, rng) for n in normalised(x)]
-    abusive += [n for group in ABUSIVE_WORDS.values() for s in group for x in spellings(s) for n in normalised(x)]
-    clean = [n for kind in (CLEAN, SEED_TEXTS) for group in kind.values() for s in group for x in (s, without_accents(s)) for n in normalised(x)]
-    clean += [n for group in ORDINARY.values() for s in group for x in (s, without_accents(s), misread(s)) for n in normalised(x)]
+    abusive, clean = [], []
+    for words, sentences in abuse_texts.abusive().values():
+        abusive += [n for w in words for x in spellings(w) for n in normalised(x)]
+        abusive += [n for s in sentences for x in _both(s) for n in normalised(x)]
+    for sentences in [*abuse_texts.clean().values(), *SEED_TEXTS.values()]:
+        clean += [n for s in sentences for x in _both(s) for n in normalised(x)]
+    if own:
+        abusive += [n for group in abuse_texts.ABUSIVE.values() for s in group for x in variants(s, rng) for n in normalised(x)]
+        clean += [n for group in abuse_texts.CLEAN.values() for s in group for x in _both(s) for n in normalised(x)]
+    for lang, (words, sentences) in abuse_texts.abusive().items():
+        clean += innocent(words, sentences + (abuse_texts.ABUSIVE[lang] if own else []))
     return abusive, clean
 
 
-def fit_on_sample(clean: DataFrame, text_col: str, docs: int = FIT_DOCS) -> Weights:
-    """The classifier from the labelled text and at most `docs` distinct texts of documents labelled as clean.
+def innocent(words: list[str], sentences: list[str]) -> list[str]:
+    """What abusive sentences in a script with blanks say besides abusive words: alone it is clean.
 
-    They are drawn by hash, whatever the order of the rows.
+    Each longest stretch of words none of which occurs in the abusive words and phrases, each word of it, and each word of
+    an abusive phrase that is not listed as abusive by itself.
+    """
+    phrases = [n for phrase in words for x in _both(phrase) for n in normalised(x)]
+    alone = {n for n in phrases if " " not in n}
+    bad = {w for n in phrases for w in n.split()}
+    out = {w for n in phrases if " " in n for w in n.split()} - alone
+    for sentence in sentences:
+        for x in _both(sentence):
+            for n in normalised(x):
+                if " " not in n:
+                    continue
+                run: list[str] = []
+                for w in [*n.split(), ""]:
+                    if w and w not in bad:
+                        run.append(w)
+                    else:
+                        if 0 < len(run) <= 3:
+                            out.add(" ".join(run))
+                        out.update(run)
+                        run = []
+    return sorted(out)
+
+
+def _both(text: str) -> list[str]:
+    """A text, and the same without accents if that is another."""
+    plain = without_accents(text)
+    return [text] if plain == text else [text, plain]
+
+
+def sample(texts: DataFrame, text_col: str, bound: int) -> list[str]:
+    """At most `bound` different texts, drawn by hash, whatever the order of the rows: every task keeps its lowest hashes."""
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    return [r[0] for r in rows.orderBy(F.xxhash64("text"), "text").limit(bound).collect()]
+
+
+def fit_on_sample(clean: DataFrame | None, text_col: str, unlabelled: DataFrame | None = None, docs: int = FIT_DOCS, more: int = FIT_UNLABELLED) -> Weights:
+    """The classifier from the labelled text and bounded samples of two tables, either of which may be missing or empty.
+
+    clean: texts that are clean by who wrote them, at most `docs` of them. unlabelled: others, at most `more`.
     """
-    texts = clean.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
-    return fit_on_texts([r[0] for r in texts.orderBy(F.xxhash64("text"), "text").limit(docs).collect()])
+    return fit_on_texts(sample(clean, text_col, docs) if clean is not None else [], sample(unlabelled, text_col, more) if unlabelled is not None else [])
 
 
-def fit_on_texts(clean: list[str]) -> Weights:
-    """The classifier from the labelled text and further texts that are labelled as clean.
+def fit_on_texts(clean: list[str], unlabelled: list[str] | tuple[str, ...] = (), own: bool = True) -> Weights:
+    """The classifier from the labelled text, further texts that are clean, and texts without a label.
 
-    Of these, a sentence that the labelled text alone says is abusive does not train, however often it repeats.
+    Of both, a sentence that the labelled text alone says is abusive does not train, however often it repeats.
     """
-    abusive, labelled = training()
+    abusive, labelled = training(own)
     first = fit(abusive, labelled)
-    more = sorted({s for text in clean for s in normalised(text)})
-    if not more:
-        return first
-    scores = first.scores(first.table(), [[s] for s in more])
-    kept = [s for s, z in zip(more, scores, strict=True) if z < 0]
-    return fit(abusive, labelled + sorted({x for s in kept for x in (s, without_accents(s), *normalised(misread(s)))}))
+    kept = labelled
+    for texts in (clean, unlabelled):
+        new = sorted({s for text in texts for s in normalised(text)})
+        if new:
+            scores = first.scores(first.table(), [[s] for s in new])
+            bar = SURE_ABUSE if texts is clean else 0.0
+            kept = kept + sorted({n for s, z in zip(new, scores, strict=True) if z < bar for x in (s, without_accents(s), misread(s)) for n in normalised(x)})
+            first = fit(abusive, kept)
+    return first
+
+
+def save(spark: SparkSession, weights: Weights, path: str) -> None:
+    """Writes a fitted classifier, a row per n-gram."""
+    rows = pd.DataFrame({"hash": weights.hashes.view(np.int64), "value": weights.values.astype(np.float64), "bias": weights.bias})
+    spark.createDataFrame(rows, "hash long, value double, bias double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Weights:
+    """A saved classifier; its rows are the n-grams of the bounded training text."""
+    rows = spark.read.parquet(path).toPandas().sort_values("hash")
+    hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return Weights(hashes[order], rows["value"].to_numpy(np.float32)[order], float(rows["bias"].iloc[0]))
 
 
 def score(documents: DataFrame, id_col: str, text_col: str, weights: Weights, keep: list[str] | None = None) -> DataFrame:
