@@ -1,9 +1,11 @@
 """Percentiles of very large numeric columns with bounded rank error (problem 7): mergeable rank-interval summaries.
 
 A summary is a sorted list of (value, lowest rank, highest rank) tuples with the number of values and the accumulated
-rank error. It is deterministic. Partitions build their summaries alone; summaries merge by adding rank intervals and are
-compressed by the permitted uncertainty, so summaries of partitions, days or groups can be put together later. The error
-each summary carries is its true bound: half the widest gap that a rank query can fall into.
+rank error. It is deterministic. Partitions build their summaries alone; summaries merge by adding rank intervals, which
+adds up their errors and loses nothing else. Then they are compressed by the permitted uncertainty: a tuple goes if the
+rank interval between the tuples left on either side of it stays within twice the permitted error, which grows by a small
+share of epsilon n with every level of merging and never beyond epsilon n. So summaries of partitions, days or groups can
+be put together later, and each carries its true bound: half the widest gap that a rank query can fall into.
 """
 
 from __future__ import annotations
@@ -11,15 +13,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Permitted rank error as a share of the number of values.
 EPSILON = 0.005
-#: Tuples kept, in units of 1 / epsilon: each level of merging costs epsilon / (2 TUPLES) at most.
-TUPLES = 16
+#: Levels of merging that the permitted error is spread over; a summary keeps about LEVELS / (2 epsilon) tuples at most.
+LEVELS = 16
+#: Parts that the partial summaries of a group are merged in first, and tuples that a task holds before it hands them on.
 LEVEL_ONE = 32
+HELD_TUPLES = 2_000_000
+#: Rows that a task collects before it sorts them by group.
+CHUNK_ROWS = 400_000
 SUMMARY = "n long, v array<double>, lo array<long>, hi array<long>, err long"
 
 Summary = tuple[int, np.ndarray, np.ndarray, np.ndarray]
@@ -69,20 +75,26 @@ def error(s: Summary) -> int:
     return int(max(np.max((np.maximum(first[1:] - last[:-1], 0)) // 2, initial=0), 0))
 
 
-def compress(s: Summary, tuples: int) -> Summary:
-    """About so many tuples, evenly spread over the ranks (twice as many where values repeat a lot).
+def compress(s: Summary, epsilon: float, level: int | None = None) -> Summary:
+    """s without the tuples that the permitted error makes needless.
 
-    First and last stay, and so do the first and the last tuple of each value that spans more ranks than a step.
+    Permitted is, in ranks, the error s has already plus one level's share of epsilon n, but never more than epsilon n. A
+    tuple is passed over while the gap from the highest rank of the next kept tuple down to the lowest of the last stays
+    within twice that; first and last tuple stay, so minimum and maximum are exact.
     """
     n, v, lo, hi = s
-    if len(v) <= tuples:
+    permitted = min(error(s) + epsilon * n / LEVELS, epsilon * n)
+    if len(v) < 3 or permitted < 1:
         return s
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    last = np.concatenate([first[1:], [len(v)]]) - 1
-    frequent = lo[last] - hi[first] > n / tuples
-    want = np.linspace(1, n, tuples)
-    at = np.clip(np.searchsorted((lo + hi) / 2, want), 0, len(v) - 1)
-    keep = np.unique(np.concatenate([[0, len(v) - 1], at, first[frequent], last[frequent]]))
+    gap = 2 * permitted
+    # From a kept tuple, the farthest tuple whose highest rank is within the gap; jumps are found for all tuples at once.
+    reach = np.maximum(np.searchsorted(np.maximum.accumulate(hi), lo + gap, side="right") - 1, np.arange(len(v)) + 1)
+    keep, at, last = [0], 0, len(v) - 1
+    steps = reach.tolist()
+    while at < last:
+        at = min(steps[at], last)
+        keep.append(at)
+    keep = np.array(keep)
     return n, v[keep], lo[keep], hi[keep]
 
 
@@ -100,8 +112,8 @@ def query(s: Summary, q: float) -> tuple[float | None, int]:
 class Collector:
     """The summary of a stream of values: full buffers become summaries, which merge only with others of their size."""
 
-    def __init__(self, tuples: int, buffer: int = 8192) -> None:
-        self.tuples, self.buffer, self.waiting, self.size, self.levels = tuples, buffer, [], 0, {}
+    def __init__(self, epsilon: float, buffer: int = 8192) -> None:
+        self.epsilon, self.buffer, self.waiting, self.size, self.levels = epsilon, buffer, [], 0, {}
 
     def add(self, values: np.ndarray) -> None:
         self.waiting.append(values)
@@ -112,86 +124,183 @@ class Collector:
     def _settle(self) -> None:
         if not self.size:
             return
-        s, level = build(np.concatenate(self.waiting)), 0
+        s, level = compress(build(np.concatenate(self.waiting)), self.epsilon), 0
         self.waiting, self.size = [], 0
         while level in self.levels:
-            s, level = compress(merge(self.levels.pop(level), s), self.tuples), level + 1
-        self.levels[level] = compress(s, self.tuples)
+            s, level = compress(merge(self.levels.pop(level), s), self.epsilon), level + 1
+        self.levels[level] = s
+
+    def held(self) -> int:
+        return self.size + sum(len(s[1]) for s in self.levels.values())
 
     def summary(self) -> Summary:
         self._settle()
         out = None
         for level in sorted(self.levels):
-            out = self.levels[level] if out is None else merge(self.levels[level], out)
-        return compress(out, self.tuples)
+            out = self.levels[level] if out is None else compress(merge(self.levels[level], out), self.epsilon)
+        return out
+
+
+def together(parts: list[Summary], epsilon: float) -> Summary:
+    """One summary of several, in pairs of about equal size, whatever their order: the error grows with the tree's depth."""
+    parts = sorted(parts, key=lambda s: (s[0], s[1].tolist(), s[2].tolist()))
+    while len(parts) > 1:
+        parts = [compress(merge(*parts[i : i + 2]), epsilon) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+_PACKED = [("n", pa.int64()), ("v", pa.list_(pa.float64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64())), ("err", pa.int64())]
+
+
+_NO_KEYS = pa.RecordBatch.from_arrays([], names=[])
+
+
+def _batch(keys: pa.RecordBatch, found: list[Summary]) -> pa.RecordBatch:
+    """Summaries as rows, with the key columns of as many rows."""
+    ends = np.concatenate([[0], np.cumsum([len(s[1]) for s in found])]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([s[i] for s in found]).astype(kind))) for i, kind in ((1, np.float64), (2, np.int64), (3, np.int64))]
+    columns = [pa.array([s[0] for s in found], pa.int64()), *lists, pa.array([error(s) for s in found], pa.int64())]
+    return pa.RecordBatch.from_arrays([*keys.columns, *columns], names=[*keys.schema.names, *(n for n, _ in _PACKED)])
 
 
-def _pack(s: Summary) -> dict:
-    return {"n": s[0], "v": s[1].tolist(), "lo": s[2].tolist(), "hi": s[3].tolist(), "err": error(s)}
+def _unpacked(batch: pa.RecordBatch) -> list[Summary]:
+    n = batch.column("n").to_numpy()
+    v, lo, hi = (batch.column(c) for c in ("v", "lo", "hi"))
+    ends = v.offsets.to_numpy()
+    flat = [x.values.to_numpy(zero_copy_only=False) for x in (v, lo, hi)]
+    at = [x.offsets.to_numpy() for x in (v, lo, hi)]
+    return [(int(n[i]), *(f[o[i] : o[i + 1]] for f, o in zip(flat, at, strict=True))) for i in range(len(ends) - 1)]
 
 
-def _unpack(row) -> Summary:
-    return int(row.n), np.asarray(row.v, float), np.asarray(row.lo, np.int64), np.asarray(row.hi, np.int64)
+def _schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), SUMMARY])
 
 
 def summarise(df: DataFrame, keys: list[str], value: str | Column, epsilon: float = EPSILON) -> DataFrame:
     """One summary per group: (keys..., n, v, lo, hi, err), of the values that are not null and not NaN.
 
     A null in a key column is a group of its own. Groups without a value have no row; an empty table gives none. Every
-    task keeps one bounded summary per group it meets, so a group that holds most of the rows costs no more than others;
-    the partial summaries are merged in two levels.
+    task keeps bounded summaries of the groups it meets, so a group that holds most of the rows costs no more than others,
+    and hands all of them on when they hold too many tuples, so any number of groups fits; the partial summaries are merged
+    in two levels.
     """
-    tuples = int(np.ceil(TUPLES / epsilon))
     number = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*keys, number.alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{types}, {SUMMARY}" if keys else SUMMARY
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Collector] = {}
+        first: dict[tuple, pa.RecordBatch] = {}
+
+        def take(chunk: pa.Table) -> None:
+            x = chunk.column("_x").to_numpy()
+            code = np.zeros(len(x), np.int64)
+            for k in keys:
+                part = chunk.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+                part = part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part
+                code = code * max(len(part.dictionary), 1) + part.indices.to_numpy()
+                code = np.unique(code, return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0])) if len(x) else np.zeros(0, np.int64)
+            heads = chunk.select(keys).take(pa.array(order[begins])).combine_chunks()
+            names = list(zip(*(heads.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(begins)
+            for i, (name, values) in enumerate(zip(names, np.split(x[order], begins[1:]), strict=True)):
+                if name not in held:
+                    held[name] = Collector(epsilon)
+                    first[name] = heads.slice(i, 1)
+                held[name].add(values)
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            names = list(held)
+            for i in range(0, len(names), 256):
+                part = names[i : i + 256]
+                heads = pa.concat_tables([first[n] for n in part]).combine_chunks() if keys else None
+                yield _batch(heads.to_batches()[0] if keys else _NO_KEYS, [held[n].summary() for n in part])
+            held.clear()
+            first.clear()
+
+        waiting, size = [], 0
         for batch in batches:
-            for key, part in batch.groupby(keys, dropna=False, sort=False)["_x"] if keys else [((), batch["_x"])]:
-                key = tuple(None if k is None or k is pd.NaT or k != k else k for k in (key if isinstance(key, tuple) else (key,)))
-                if len(part):
-                    held.setdefault(key, Collector(tuples)).add(part.to_numpy())
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                take(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+                if sum(c.held() for c in held.values()) > HELD_TUPLES:
+                    yield from handed()
+        if size:
+            take(pa.Table.from_batches(waiting))
         if held:
-            yield pd.DataFrame([dict(zip(keys, key, strict=True)) | _pack(c.summary()) for key, c in held.items()])
+            yield from handed()
 
-    return merge_summaries(rows.mapInPandas(partial, schema), keys, epsilon)
+    return merge_summaries(rows.mapInArrow(partial, _schema(rows, keys)), keys, epsilon)
 
 
-def merge_summaries(summaries: DataFrame, keys: list[str], epsilon: float = EPSILON) -> DataFrame:
-    """Summaries of the groups of keys, put together from summaries of finer groups or of parts of the data."""
-    tuples = int(np.ceil(TUPLES / epsilon))
-    rows = summaries.select(*keys, "n", "v", "lo", "hi", "err")
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+def _combined(names: list[str], epsilon: float):
+    """Merges consecutive summaries with equal key columns, many groups to a batch, a bounded number of parts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head, parts = None, None, []
+        heads: list[pa.RecordBatch] = []
+        done: list[Summary] = []
+
+        def out() -> pa.RecordBatch:
+            batch = _batch(pa.Table.from_batches(heads).combine_chunks().to_batches()[0] if names else _NO_KEYS, done)
+            heads.clear()
+            done.clear()
+            return batch
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = sorted((_unpack(r) for r in pdf.itertuples(index=False)), key=lambda s: (s[0], s[1].tolist()))
-        while len(parts) > 1:  # pairs of about equal size: the error grows with the depth of the tree only
-            parts = [compress(merge(*parts[i : i + 2]), tuples) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([head | _pack(parts[0])])
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in names), strict=True)) if names else [()] * batch.num_rows
+            for i, s in enumerate(_unpacked(batch)):
+                if parts and keys[i] != key:
+                    heads.append(head)
+                    done.append(together(parts, epsilon))
+                    parts = []
+                    if len(done) == 256:
+                        yield out()
+                if not parts:
+                    key, head = keys[i], batch.select(names).slice(i, 1)
+                parts.append(s)
+                if len(parts) == 64:
+                    parts = [together(parts, epsilon)]
+        if parts:
+            heads.append(head)
+            done.append(together(parts, epsilon))
+        if done:
+            yield out()
+
+    return run
 
-    schema = f"{types}, {SUMMARY}" if keys else SUMMARY
-    salted = rows.withColumn("_s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(LEVEL_ONE)).cast("int"))
-    first = salted.groupBy(*keys, "_s").applyInPandas(lambda pdf: combine(pdf), schema)
-    return first.groupBy(*keys).applyInPandas(lambda pdf: combine(pdf), schema)
+
+def merge_summaries(summaries: DataFrame, keys: list[str], epsilon: float = EPSILON) -> DataFrame:
+    """Summaries of the groups of keys, put together from summaries of finer groups or of parts of the data.
+
+    Two levels: a group's summaries are first merged in `LEVEL_ONE` parts, told by their content, then these. Groups are
+    read one after another from sorted partitions.
+    """
+    rows = summaries.select(*keys, "n", "v", "lo", "hi", "err").withColumn("_s", F.pmod(F.xxhash64("n", "v", "lo"), F.lit(LEVEL_ONE)).cast("int"))
+    order = [F.col("n"), F.hash("v", "lo")]
+    names = [*keys, "_s"]
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in names), SUMMARY])
+    first = rows.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(_combined(names, epsilon), schema).drop("_s")
+    second = (first.repartition(*keys) if keys else first.coalesce(1)).sortWithinPartitions(*keys, *order)
+    return second.mapInArrow(_combined(keys, epsilon), _schema(rows, keys))
 
 
 def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
-    """(keys..., n, one column per named quantile, rank_error): rank_error is the largest bound among the quantiles."""
-    types = ", ".join(f"`{k}` {summaries.schema[k].dataType.simpleString()}" for k in keys)
-    schema = (types + ", " if keys else "") + "n long, " + ", ".join(f"`{name}` double" for name in qs) + ", rank_error long"
+    """(keys..., n, one column per named quantile, rank_error, error_bound).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rank_error is the largest bound among the quantiles, error_bound that of any quantile, as the summary carries it.
+    """
+    types = dict(summaries.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "n long", *(f"`{name}` double" for name in qs), "rank_error long, error_bound long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                s = _unpack(r)
-                found = {name: query(s, q) for name, q in qs.items()}
-                out.append({k: getattr(r, k) for k in keys} | {"n": s[0]} | {k: x[0] for k, x in found.items()} | {"rank_error": max((x[1] for x in found.values()), default=0)})
-            if out:
-                yield pd.DataFrame(out)
-
-    return summaries.select(*keys, "n", "v", "lo", "hi", "err").mapInPandas(run, schema)
+            found = [[query(s, q) for q in qs.values()] for s in _unpacked(batch)]
+            columns = [pa.array([f[i][0] for f in found], pa.float64()) for i in range(len(qs))]
+            worst = pa.array([max((x[1] for x in f), default=0) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("n"), *columns, worst, batch.column("err")], names=[*keys, "n", *qs, "rank_error", "error_bound"])
+
+    return summaries.select(*keys, "n", "v", "lo", "hi", "err").mapInArrow(run, schema)

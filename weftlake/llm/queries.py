@@ -193,20 +193,35 @@ def p7_overall(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge_summaries(p7_summaries(spark, sf), keys), keys, QS)
 
 
-def p7_verified(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every group, whether each percentile lies within its stated error and within half a percent of the ranks."""
-    rows, daily = _latencies(spark, sf).where("latency_ms IS NOT NULL"), p7_daily(spark, sf)
+def _verified(rows: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Of every group, whether all rows count and each percentile lies within its stated error and within half a percent."""
     same = None
-    for k in METRIC_KEYS:
-        daily = daily.withColumnRenamed(k, f"_{k}")
+    for k in keys:
+        found = found.withColumnRenamed(k, f"_{k}")
         c = F.col(k).eqNullSafe(F.col(f"_{k}"))
         same = c if same is None else same & c
-    counts = [F.count_if(F.col("latency_ms") < F.col(q)).alias(f"{q}_below") for q in QS] + [F.count_if(F.col("latency_ms") <= F.col(q)).alias(f"{q}_upto") for q in QS]
-    found = rows.join(daily, same).groupBy(*METRIC_KEYS, "n", "rank_error").agg(*counts, F.count(F.lit(1)).alias("rows"))
+    counts = [F.count_if(F.col(value) < F.col(q)).alias(f"{q}_below") for q in QS] + [F.count_if(F.col(value) <= F.col(q)).alias(f"{q}_upto") for q in QS]
+    judged = rows.where(F.col(value).isNotNull()).join(found, same).groupBy(*keys, "n", "rank_error", "error_bound").agg(*counts, F.count(F.lit(1)).alias("rows"))
     wanted = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p - 1e-9))
-    off = [F.greatest(F.col(f"{q}_below") + 1 - wanted(p), wanted(p) - F.col(f"{q}_upto"), F.lit(0)) for q, p in QS.items()]
-    worst = F.greatest(*off)
-    return found.select("lang", "outcome", F.col("day").cast("string").alias("day"), "n", ((F.col("rows") == F.col("n")) & (worst <= F.col("rank_error")) & (F.col("rank_error") <= quantiles.EPSILON * F.col("n") + 1)).alias("within"))
+    worst = F.greatest(*[F.greatest(F.col(f"{q}_below") + 1 - wanted(p), wanted(p) - F.col(f"{q}_upto"), F.lit(0)) for q, p in QS.items()])
+    within = (F.col("rows") == F.col("n")) & (worst <= F.col("rank_error")) & (F.col("rank_error") <= F.col("error_bound")) & (F.col("error_bound") <= quantiles.EPSILON * F.col("n") + 1)
+    return judged.select(*(F.col(k).cast("string").alias(k) for k in keys), "n", within.alias("within"))
+
+
+def p7_verified(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(_latencies(spark, sf), p7_daily(spark, sf), METRIC_KEYS, "latency_ms")
+
+
+def p7_overall_verified(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(_latencies(spark, sf), p7_overall(spark, sf), ["lang", "outcome"], "latency_ms")
+
+
+def p7_large_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of very many different values, put together from summaries of months: the prices of `lineitem`."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), F.col("l_extendedprice").cast("double").alias("price"))
+    parts = quantiles.summarise(rows, ["l_returnflag", "month"], "price")
+    found = quantiles.percentiles(quantiles.merge_summaries(parts, ["l_returnflag"]), ["l_returnflag"], QS)
+    return _verified(rows, found, ["l_returnflag"], "price")
 
 
 _P7_SQL = (
@@ -281,12 +296,14 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p8_ids, p8_roundtrip, p9_windows, p9_complete, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_roundtrip, p9_windows, p9_complete, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
     "p3_agreement": _P3_SQL,
     "p7_verified": _P7_SQL,
+    "p7_overall_verified": f"SELECT lang, outcome, CAST(sum(n) AS BIGINT) AS n, true AS within FROM ({_P7_SQL}) GROUP BY lang, outcome",
+    "p7_large_verified": "SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag",
     "p9_complete": "SELECT count(*) AS documents, 0 AS wrong, 0 AS overfull FROM documents",
     "p8_roundtrip": "SELECT true AS same, count(*) AS n FROM documents",
 }
