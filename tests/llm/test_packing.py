@@ -54,6 +54,21 @@ def test_partitioning_does_not_matter(spark):
     assert a == {tuple(r) for r in packing.pack(df.repartition(9), "id", "n", [50]).collect()}
 
 
-def test_opening_prefers_the_cheaper_kind():
-    assert packing.opening(250, 0, [256, 1024]) == 256
-    assert packing.opening(300, 10_000, [256, 512, 1024]) == 1024
+def test_opening_takes_the_kind_that_fills_best():
+    """What is left over to fill the rest decides, not the sum of what is left."""
+    kinds = [256, 512, 1024]
+    open_ = lambda counts, size, policy="smaller": packing.opening(size, sorted(counts), len(counts), counts, kinds, policy)
+    assert open_({250: 1}, 250) == 256
+    assert open_({300: 1, 212: 1, 724: 1}, 300) == 512  # 300 + 212 fill it
+    assert open_({300: 1, 724: 1}, 300) == 1024 and open_({300: 1, 200: 1}, 300) == 512
+    assert open_({256: 9}, 256, "larger") == 1024 and open_({256: 9}, 256, "smaller") == 256 and open_({256: 9}, 256, "largest") == 1024
+    assert packing.expected_fill(10, [3, 4], 2, {3: 5, 4: 1}) == 10
+
+
+def test_joint_plan_is_no_worse_than_one_kind(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.choice([rng.randrange(1, 60), rng.randrange(200, 900)])) for i in range(400)], "id long, n long")
+    found = packing.compare_plans(df, "n", [64, 256, 1024])
+    assert all(found["joint"][1] <= v[1] for v in found.values())
+    plans = [packing.best_fit({5: 3, 7: 2, 60: 1}, [16, 64], p) for p in packing.POLICIES]
+    assert packing.unused(packing.plan_histogram({5: 3, 7: 2, 60: 1}, [16, 64])) == min(map(packing.unused, plans))

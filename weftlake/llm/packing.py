@@ -3,9 +3,12 @@
 What is packed is the histogram of sizes: at most `largest capacity` different sizes whatever the number of items, so
 the planning runs on the driver in bounded memory and sees the whole corpus at once. Sizes are taken in decreasing order
 and put, many items at a time, into the fullest open bins they fit; if none fits, the bin kind of least expected cost is
-opened. In the end every bin is downsized to the smallest capacity that holds its contents. The plan says, for each
-size, which run of its items goes to which bins; items find their bin by their rank among the items of their size, which
-is counted in salted buckets so that no size, however frequent, is ranked in one task.
+opened: for each kind, the room beside the item is filled in thought with what the histogram still holds, largest first,
+the bin is downsized to its contents, and the cost is the share of its space that stays empty. Where kinds cost the same,
+smaller or larger ones may be opened; both plans are made, and with them the one that opens the largest kind only, and the
+plan that leaves the least space unused is kept. In the end every bin is downsized to the smallest capacity that holds its
+contents. The plan says, for each size, which run of its items goes to which bins; items find their bin by their rank
+among the items of their size, which is counted in salted buckets so that no size, however frequent, is ranked in one task.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import functions as F
 
 from weftlake.session import durable
 
-#: What a bin costs besides its capacity, in units of capacity: fewer bins win where the space is the same.
-BIN_COST = 1.0
 RANK_BUCKETS = 64
+#: How to choose among bin kinds of equal cost; `largest` opens no other kind.
+POLICIES = ("smaller", "larger", "largest")
 
 
 @dataclass
@@ -37,29 +40,55 @@ class Plan:
     bin_first: np.ndarray  # of each pattern: its first bin
     capacity: np.ndarray  # of each pattern
     used: np.ndarray  # of each pattern
+    bins: np.ndarray  # of each pattern: how many bins hold it
 
 
-def opening(size: int, smaller_total: int, capacities: list[int], bin_cost: float = BIN_COST) -> int:
-    """The capacity to open for an item of this size: least expected cost per token stored.
+def expected_fill(room: int, ascending: list[int], upto: int, counts: dict[int, int]) -> int:
+    """How much of a room the sizes ascending[:upto] fill, largest first, as many of each as there are and fit."""
+    filled = 0
+    while upto and room:
+        upto = bisect.bisect_right(ascending, room, 0, upto)
+        if upto:
+            size = ascending[upto - 1]
+            taken = min(counts[size], room // size) * size
+            filled, room, upto = filled + taken, room - taken, upto - 1
+    return filled
 
-    What remains beside the item will be filled as far as smaller items are left; the bin is then downsized to the
-    smallest capacity that holds the contents, so the cost is that of the downsized bin.
+
+def opening(size: int, ascending: list[int], upto: int, counts: dict[int, int], capacities: list[int], policy: str = "smaller") -> int:
+    """The capacity to open for an item of this size: least expected share of unused space, after downsizing.
+
+    ascending[:upto] are the sizes that are still to be packed, this one included, counts how many there are of each.
     """
-    best, best_cost = capacities[-1], float("inf")
-    for c in capacities:
+    if policy == "largest":
+        return capacities[-1]
+    best, best_cost = capacities[-1], None
+    for c in capacities if policy == "smaller" else reversed(capacities):
         if c >= size:
-            filled = size + min(c - size, smaller_total)
-            final = capacities[bisect.bisect_left(capacities, filled)]
-            cost = (final + bin_cost) / filled
-            if cost < best_cost - 1e-12:
+            counts[size] -= 1
+            filled = size + expected_fill(c - size, ascending, upto, counts)
+            counts[size] += 1
+            cost = (capacities[bisect.bisect_left(capacities, filled)] - filled) / filled
+            if best_cost is None or cost < best_cost:
                 best, best_cost = c, cost
     return best
 
 
 def plan_histogram(sizes: dict[int, int], capacities: list[int]) -> Plan:
-    """Best-fit decreasing over a histogram size -> number of items; every size must fit the largest capacity."""
+    """The plan of least unused space over a histogram size -> number of items; every size must fit the largest capacity."""
+    plans = [best_fit(sizes, capacities, policy) for policy in POLICIES]
+    return min(plans, key=lambda p: (unused(p), len(p.used)))
+
+
+def unused(plan: Plan) -> int:
+    """The space that a plan leaves empty."""
+    return int(((plan.capacity - plan.used) * plan.bins).sum())
+
+
+def best_fit(sizes: dict[int, int], capacities: list[int], policy: str) -> Plan:
+    """Best-fit decreasing with one way to choose among the capacities."""
     capacities = sorted(set(capacities))
-    left_total = sum(s * n for s, n in sizes.items())
+    ascending, counts = sorted(sizes), dict(sizes)
     # Open bins by space left: space -> list of [bins, pattern], a pattern being a tuple of (size, each) in filling order.
     space: dict[int, list[list]] = {}
     spaces: list[int] = []
@@ -70,10 +99,9 @@ def plan_histogram(sizes: dict[int, int], capacities: list[int]) -> Plan:
             bisect.insort(spaces, room)
         space[room].append([bins, pattern, cap])
 
-    for size in sorted(sizes, reverse=True):
-        todo = sizes[size]
-        left_total -= size * todo
-        while todo:
+    for upto, size in zip(range(len(ascending), 0, -1), reversed(ascending), strict=True):
+        while counts[size]:
+            todo = counts[size]
             at = bisect.bisect_left(spaces, size)
             if at < len(spaces):
                 room = spaces[at]
@@ -83,17 +111,17 @@ def plan_histogram(sizes: dict[int, int], capacities: list[int]) -> Plan:
                     del space[room]
                     spaces.pop(at)
             else:
-                cap = opening(size, left_total + size * (todo - 1), capacities)
+                cap = opening(size, ascending, upto, counts, capacities, policy)
                 room, pattern = cap, ()
                 bins = -(-todo // (cap // size))
             each = min(room // size, todo)
             take = min(bins, todo // each)
             put(room - each * size, take, (*pattern, (size, each)), cap)
-            todo -= take * each
+            counts[size] -= take * each
             if take < bins and pattern:
                 put(room, bins - take, pattern, cap)
     out = {k: [] for k in ("size", "first", "each", "bin")}
-    bin_first, caps, used = [], [], []
+    bin_first, caps, used, number = [], [], [], []
     next_bin, rank = 0, dict.fromkeys(sizes, 0)
     for room in sorted(space):
         for bins, pattern, _ in space[room]:
@@ -101,6 +129,7 @@ def plan_histogram(sizes: dict[int, int], capacities: list[int]) -> Plan:
             bin_first.append(next_bin)
             caps.append(capacities[bisect.bisect_left(capacities, contents)])
             used.append(contents)
+            number.append(bins)
             for size, each in pattern:
                 for k, v in (("size", size), ("first", rank[size]), ("each", each), ("bin", next_bin)):
                     out[k].append(v)
@@ -108,7 +137,7 @@ def plan_histogram(sizes: dict[int, int], capacities: list[int]) -> Plan:
             next_bin += bins
     order = np.lexsort((np.array(out["first"], np.int64), np.array(out["size"], np.int64)))
     runs = {k: np.array(v, np.int64)[order] for k, v in out.items()}
-    return Plan(**runs, bin_first=np.array(bin_first, np.int64), capacity=np.array(caps, np.int64), used=np.array(used, np.int64))
+    return Plan(**runs, bin_first=np.array(bin_first, np.int64), capacity=np.array(caps, np.int64), used=np.array(used, np.int64), bins=np.array(number, np.int64))
 
 
 def pieces_of(items: DataFrame, id_col: str, size_col: str, largest: int) -> DataFrame:
@@ -135,8 +164,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: list[int], ra
     counted = counted.sort_values(["size", "_b"])
     plan = plan_histogram({int(s): int(n) for s, n in counted.groupby("size")["n"].sum().items()}, capacities)
     counted["offset"] = counted.groupby("size")["n"].cumsum() - counted["n"]
-    offsets = np.zeros((capacities[-1] + 1, rank_buckets), np.int64)
-    offsets[counted["size"].to_numpy(), counted["_b"].to_numpy()] = counted["offset"].to_numpy()
+    # A row per size and bucket that occur, in their order.
+    cells, offsets = counted["size"].to_numpy() * rank_buckets + counted["_b"].to_numpy(), counted["offset"].to_numpy()
     within = Window.partitionBy("size", "_b").orderBy("_id", "piece")
     ranked = pieces.where("size > 0").withColumn("_r", F.row_number().over(within).cast("long") - 1)
     id_type = items.schema[id_col].dataType.simpleString()
@@ -147,7 +176,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: list[int], ra
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, bucket, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "_b", "_r"))
-            index = offsets[size, bucket] + rank
+            index = offsets[np.searchsorted(cells, size * rank_buckets + bucket)] + rank
             run = np.searchsorted(keys, size * radix + index, side="right") - 1
             number = plan.bin[run] + (index - plan.first[run]) // plan.each[run]
             pattern = np.searchsorted(plan.bin_first, number, side="right") - 1
@@ -164,3 +193,18 @@ def packing_summary(placed: DataFrame) -> DataFrame:
     bins = placed.where("bin IS NOT NULL").groupBy("bin", "capacity").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("pieces"))
     total = bins.groupBy("capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("pieces").alias("pieces"), F.sum("held").alias("held"), F.sum("capacity").alias("space"), F.max(F.col("held") > F.col("capacity")).alias("overfull"))
     return total.withColumn("unused_share", F.round(1 - F.col("held") / F.col("space"), 6))
+
+
+def compare_plans(items: DataFrame, size_col: str, capacities: list[int]) -> dict[str, tuple[int, int]]:
+    """(bins, unused space) of the plan that `pack` makes, and of best-fit with each single capacity, of the items' sizes.
+
+    With a single capacity items above it are cut at it, and nothing is downsized.
+    """
+    capacities = sorted(set(int(c) for c in capacities))
+    out = {}
+    for name, kinds in [("joint", capacities), *((str(c), [c]) for c in capacities)]:
+        pieces = pieces_of(items.withColumn("_n", F.lit(0)), "_n", size_col, kinds[-1]).where("size > 0")
+        counts = {int(r["size"]): int(r["n"]) for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per size up to the capacity
+        plan = plan_histogram(counts, kinds)
+        out[name] = (int(plan.bins.sum()), unused(plan))
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.llm import abuse, consensus, consensus_features, conversations, language, packing, pairs, privacy, quantiles, tokens
-from weftlake.session import stripped, table
+from weftlake.session import durable, stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 METRIC_KEYS = ["lang", "outcome", "day"]
@@ -237,6 +237,14 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_small_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the ids are the same when texts are split down to a few characters, so that the tree does all the work."""
+    docs = table(spark, sf, "documents")
+    small = tokens.encode_corpus(docs, "doc_id", "text", leaf=48).withColumnRenamed("ids", "small")
+    whole = tokens.encode_corpus(docs, "doc_id", "text", leaf=1 << 40)
+    return whole.join(small, "doc_id").select("doc_id", (F.col("ids") == F.col("small")).alias("same"))
+
+
 def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by whether their decoded ids give the text again (a null text decodes as empty)."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -264,6 +272,22 @@ def p9_complete(spark: SparkSession, sf: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("wrong"), F.lit(1).alias("one")).join(over, "one").drop("one")
 
 
+def p9_gain(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether several capacities leave no more space unused than each of them alone would."""
+    sizes = durable(tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text"))
+    kinds = [r.capacity_tokens for r in table(spark, sf, "context_windows").select("capacity_tokens").distinct().collect()]
+    found = packing.compare_plans(sizes, "tokens", kinds)
+    return spark.createDataFrame([(int(k), found["joint"][1] <= v[1]) for k, v in found.items() if k != "joint"], "capacity int, no_worse boolean")
+
+
+def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows that hold documents, by whether they are of a known kind, the smallest that holds their contents."""
+    windows = p9_windows(spark, sf).where("bin IS NOT NULL").groupBy("bin", "capacity", "used").agg(F.sum("size").alias("held"))
+    kinds = sorted(r.capacity_tokens for r in table(spark, sf, "context_windows").select("capacity_tokens").distinct().collect())
+    fits = F.coalesce(*[F.when(F.col("held") <= c, F.lit(c)) for c in kinds])
+    return windows.agg(F.bool_and((F.col("capacity") == fits) & (F.col("held") == F.col("used"))).alias("smallest"), F.count_distinct("bin").alias("_n"), F.count(F.lit(1)).alias("_m")).select("smallest", (F.col("_n") == F.col("_m")).alias("one_kind_each"))
+
+
 def p9_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_summary(p9_windows(spark, sf))
 
@@ -296,7 +320,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_roundtrip, p9_windows, p9_complete, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
@@ -305,5 +329,8 @@ SQL = {
     "p7_overall_verified": f"SELECT lang, outcome, CAST(sum(n) AS BIGINT) AS n, true AS within FROM ({_P7_SQL}) GROUP BY lang, outcome",
     "p7_large_verified": "SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag",
     "p9_complete": "SELECT count(*) AS documents, 0 AS wrong, 0 AS overfull FROM documents",
+    "p9_gain": "SELECT CAST(capacity_tokens AS INTEGER) AS capacity, true AS no_worse FROM context_windows",
+    "p9_kinds": "SELECT true AS smallest, true AS one_kind_each",
+    "p8_small_leaves": "SELECT doc_id, true AS same FROM documents",
     "p8_roundtrip": "SELECT true AS same, count(*) AS n FROM documents",
 }

@@ -35,15 +35,25 @@ LEAF = 2048
 
 
 @functools.lru_cache(4)
-def encoding(path: str = VOCABULARY):
-    """The vocabulary of a rank file; read once per Python process."""
+def encoding_of(data: bytes):
+    """The vocabulary of the lines of a rank file; built once per Python process."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(path: str = VOCABULARY):
+    """The vocabulary of a rank file."""
+    return encoding_of(read(path))
+
+
+def read(path: str) -> bytes:
+    """A rank file, read where the job is planned: it travels with the job, so workers need no copy of it."""
+    with open(path, "rb") as lines:
+        return lines.read()
+
+
 def _firm_start(left: str, width: int) -> int:
     """The last place within width characters of the end where a piece must begin; 0 if there is none."""
     low = max(0, len(left) - width)
@@ -114,10 +124,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
     Only the two named columns are read; others, whatever their names, play no part. Texts of any length are encoded
     whole. One pass, no shuffle; repeated rows give repeated rows.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type, data = df.schema[id_col].dataType.simpleString(), read(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding_of(data)
         kind = pa.list_(pa.int32())
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
@@ -131,10 +141,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
 
 def decode_corpus(df: DataFrame, id_col: str, ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, text) for every row of ids; null ids give a null text."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type, data = df.schema[id_col].dataType.simpleString(), read(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding_of(data)
         for batch in batches:
             texts = [None if x is None else decode(enc, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
@@ -144,10 +154,10 @@ def decode_corpus(df: DataFrame, id_col: str, ids_col: str = "ids", vocabulary:
 
 def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, tokens) for every row: the number of ids that `encode_corpus` gives; the ids do not leave the worker."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type, data = df.schema[id_col].dataType.simpleString(), read(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding_of(data)
         for batch in batches:
             sizes = [len(encode(enc, t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["id", "tokens"])
