@@ -33,6 +33,8 @@ DIMENSIONS = 8192
 LETTER_WEIGHT = 4.0
 FIT_ROWS = 8_000
 FIT_ROUNDS = 2
+#: N-grams whose products a task remembers.
+MEMORY = 400_000
 #: A language is present in a text from so many letters (CJK: characters) and words on, in units that are clearly its.
 LATIN_LETTERS, LATIN_WORDS, CJK_LETTERS = 9, 3, 4
 #: How clearly both ends of a Latin unit must differ for it to be split.
@@ -138,7 +140,8 @@ class Units:
         if "@" in joined or "[at]" in joined or "(at)" in joined:
             joined = without_mailboxes(joined)
         cps = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-        cps = np.where(cps < 0x10000, cps, 0x1F).astype(np.uint32)
+        # Han letters beyond the basic plane stand as one rare letter of it; what else is there belongs to no language.
+        cps = np.where(cps < 0x10000, cps, np.where((cps >= 0x20000) & (cps < 0x40000), 0x4DB5, 0x1F)).astype(np.uint32)
         k = kind[cps]
         # A stop inside a word or number, or after an initial, ends nothing.
         stops = np.flatnonzero(cps == 0x2E)
@@ -285,12 +288,16 @@ def gram_vector(code: int) -> np.ndarray:
 
 
 class Profiles:
-    """Language prototypes, and the memory of the products of n-grams with them."""
+    """Language prototypes, and the memory of the products of n-grams with them.
+
+    The memory is bounded: with more than `MEMORY` n-grams a task begins again from those it was sent.
+    """
 
     def __init__(self, matrix: np.ndarray, known: np.ndarray | None = None, values: np.ndarray | None = None) -> None:
         self.matrix = matrix  # languages x dimensions, centred and of unit length
         self.known = np.zeros(0, np.uint64) if known is None else known
         self.values = np.zeros((0, len(PROFILES)), np.float32) if values is None else values
+        self.first = self.known, self.values
 
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What tasks need: the prototypes, and the products of the n-grams of the bounded fitting sample."""
@@ -305,15 +312,21 @@ class Profiles:
         if fresh.any():
             new = np.unique(codes[fresh])
             values = np.concatenate([np.stack([gram_vector(int(c)) for c in new[i : i + 512]]).astype(np.float32) @ self.matrix.T for i in range(0, len(new), 512)])
-            self.known = np.concatenate([self.known, new])
-            self.values = np.concatenate([self.values, values])
-            order = np.argsort(self.known, kind="stable")
-            self.known, self.values = self.known[order], self.values[order]
+            if len(self.known) + len(new) > MEMORY:
+                self.known, self.values = self.first
+                new = np.unique(codes[~np.isin(codes, self.known)])
+                values = np.concatenate([np.stack([gram_vector(int(c)) for c in new[i : i + 512]]).astype(np.float32) @ self.matrix.T for i in range(0, len(new), 512)])
+            place = np.searchsorted(self.known, new)
+            self.known, self.values = np.insert(self.known, place, new), np.insert(self.values, place, values, axis=0)
             at = np.searchsorted(self.known, codes)
         return self.values[at]
 
     def cosines(self, units: Units) -> np.ndarray:
-        """Units x profiles. The length of a unit's bundle is taken as that of as many orthogonal n-grams."""
+        """Units x profiles: the cosine of a unit's bundle and each prototype.
+
+        The bundle's length is taken as its expectation, that of as many orthogonal n-grams: random vectors of so many
+        dimensions are orthogonal but for about one part in 90, and few n-grams of a unit repeat.
+        """
         codes, owner = units.grams()
         p = self.products(codes)
         sums = np.stack([np.bincount(owner, weights=p[:, i], minlength=units.count) for i in range(len(PROFILES))], axis=1) if units.count else np.zeros((0, len(PROFILES)))
@@ -371,22 +384,35 @@ def _training(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     return out
 
 
-def fit_on_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int = FIT_ROWS, unlabelled: DataFrame | None = None) -> Profiles:
-    """Prototypes of the seed texts and of at most `rows` rows with one of the four labels.
+def labelled_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> list[tuple[str, str]]:
+    """(text, label) of at most `rows` different labelled texts, as many of each of the four labels, lowest hashes first.
 
-    Of `unlabelled`, texts in one column, at most `rows` more train as what the fit before is sure of.
+    The same for any order and partitioning of the rows. A threshold on the hash, from the number of different texts,
+    keeps what leaves the tasks near the bound, whatever the size of the table and however often a text is repeated.
     """
-    sample = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isin(LANGUAGES) & F.col("t").isNotNull()).limit(rows).toPandas()
-    texts, labels = sample["t"].tolist(), sample["l"].tolist()
-    more = [] if unlabelled is None else [r[0] for r in unlabelled.where(F.col(unlabelled.columns[0]).isNotNull()).limit(rows).collect()]
+    base = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isin(LANGUAGES) & F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    quota = max(rows // len(LANGUAGES), 1)
+    low = F.lit(False)
+    for r in base.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect():
+        share = min(1.0, 1.5 * quota / max(r.n, 1))
+        low = low | ((F.col("l") == r.l) & (F.col("h") <= F.lit(min(int(share * 2**64), 2**64 - 1) - 2**63)))
+    out: dict[str, list] = {x: [] for x in LANGUAGES}
+    for r in sorted(base.where(low).distinct().collect(), key=lambda r: (r.h, r.t)):
+        if len(out[r.l]) < quota:
+            out[r.l].append((r.t, r.l))
+    return [pair for x in LANGUAGES for pair in out[x]]
+
+
+def fit_on_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> Profiles:
+    """Prototypes of the seed texts and of at most `rows` rows with one of the four labels."""
+    sample = labelled_sample(labelled, text_col, lang_col, rows)
+    texts, labels = [t for t, _ in sample], [x for _, x in sample]
     profiles = fit(_training([]))
     for _ in range(FIT_ROUNDS):
         said = classify(profiles, texts)
         # Rows in doubt, mixed ones and those whose label the fit before contradicts do not train.
-        pairs = [(t, label) for t, label, s in zip(texts, labels, said, strict=True) if s[0] == [label]]
-        pairs += [(t, s[0][0]) for t, s in zip(more, classify(profiles, more), strict=True) if len(s[0]) == 1 and s[1] >= 0.9]
-        profiles = fit(_training(pairs))
-    classify(profiles, texts + more)  # so that tasks need not begin without any n-gram
+        profiles = fit(_training([(t, label) for t, label, s in zip(texts, labels, said, strict=True) if s[0] == [label]]))
+    classify(profiles, texts)  # so that tasks need not begin without any n-gram
     return profiles
 
 

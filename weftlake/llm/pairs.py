@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlake.llm import language
+from weftlake.session import broadcast_if_small, durable
 
-#: Characters that neighbours are grouped by before sorting; shorter fragments are sorted among sentence beginnings.
-BUCKET = 8
 #: A fragment ends like a finished sentence if so many last characters agree.
 END_LATIN, END_CJK = 10, 5
 #: Confidence in both languages from which they are said to differ.
@@ -53,10 +52,22 @@ _NAME = re.compile(r"(?<=\S )[^\W\d_a-zà-ỹ][^\W\d_]*(?: [^\W\d_a-zà-ỹ][^\W
 _NUMBER = re.compile(r"[A-Z]{1,3}-?\d+|\d+")
 
 
+def _class_of(categories: tuple[str, ...]) -> str:
+    """The characters of some categories as the inside of a character class, neighbours as ranges."""
+    points = [c for c in range(0x110000) if unicodedata.category(chr(c)) in categories]
+    starts = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+_MARKS = re.compile(f"[{_class_of(('Mn', 'Cf'))}]")
+
+
 def folded(text: str) -> str:
     """Lower case, without accents and marks, compatibility forms resolved."""
-    plain = unicodedata.normalize("NFKC", text).lower().replace("đ", "d")
-    return "".join(c for c in unicodedata.normalize("NFD", plain) if unicodedata.category(c) not in ("Mn", "Cf"))
+    if text.isascii():
+        return text.lower()
+    return _MARKS.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower().replace("đ", "d")))
 
 
 def letters(text: str) -> str:
@@ -166,24 +177,62 @@ def _parts(profiles: language.Profiles):
     return run
 
 
-def _neighbours(texts: DataFrame, bucket: int) -> DataFrame:
-    """(text, whole, after, before): each text's next and previous finished neighbour in sorted order within its bucket."""
-    key = F.substring("text", 1, bucket)
-    up = Window.partitionBy(key).orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(key).orderBy(F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
-    finished = F.when(F.col("whole"), F.col("text"))
-    return texts.withColumns({"after": F.last(finished, ignorenulls=True).over(down), "before": F.last(finished, ignorenulls=True).over(up)})
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition of (text, whole, fragment, part): each fragment with its finished neighbours in it, and its edges.
+
+    The last row has no text: the first and the last finished text of the partition stand in `after` and `before`.
+    """
+    first = last = part = None
+    waiting: list[tuple[str, bool, str | None]] = []
+
+    def rows(texts, wholes, before, after):
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(wholes, pa.bool_()), pa.array(before, pa.string()), pa.array(after, pa.string()), pa.array([part] * n, pa.int32())], names=["text", "whole", "before", "after", "part"])
+
+    for batch in batches:
+        done: list[tuple[str, bool, str | None, str | None]] = []
+        for text, whole, fragment, p in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            part = p
+            if whole:
+                done += [(*w, text) for w in waiting]
+                waiting = []
+            if fragment:
+                waiting.append((text, whole, last))
+            if whole:
+                first, last = first if first is not None else text, text
+        if done:
+            yield rows(*zip(*((t, w, b, a) for t, w, b, a in done), strict=True))
+    if part is not None:
+        if waiting:
+            yield rows(*zip(*((t, w, b, None) for t, w, b in waiting), strict=True))
+        yield rows([None], [False], [last], [first])
+
+
+def _neighbours(texts: DataFrame) -> DataFrame:
+    """(text, whole, after, before) of every fragment among different texts (text, whole, fragment).
+
+    after and before are the next and the previous finished text in the order of all texts. They are sorted in ranges of
+    about equal size, however many begin alike; what lies beyond a range's edge comes from the edges of the others, a row
+    each.
+    """
+    ordered = texts.select("text", "whole", "fragment").repartitionByRange("text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id())
+    found = durable(ordered.mapInArrow(_scan, "text string, whole boolean, before string, after string, part int"))
+    place = Window.orderBy("part")  # a row per range
+    edges = found.where("text IS NULL").select("part", F.last("before", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)).alias("_b"), F.first("after", ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)).alias("_a"))
+    rows = found.where("text IS NOT NULL").join(broadcast_if_small(edges), "part")
+    return rows.select("text", "whole", F.coalesce("after", "_a").alias("after"), F.coalesce("before", "_b").alias("before"))
+
+
+def _tagged(fragments: DataFrame, whole: DataFrame, col: str) -> DataFrame:
+    """(text, whole, fragment) of the different values of a column on either side."""
+    both = fragments.select(F.col(col).alias("text"), F.lit(False).alias("whole")).unionByName(whole.select(F.col(col).alias("text"), F.lit(True).alias("whole")))
+    return both.groupBy("text").agg(F.max("whole").alias("whole"), F.max(~F.col("whole")).alias("fragment"))
 
 
 def _sorted_evidence(fragments: DataFrame, whole: DataFrame) -> DataFrame:
-    """(text, goes_on): whether a finished sentence begins with the fragment and goes on."""
-    tagged = lambda a, b: a.select("text", F.lit(False).alias("whole")).unionByName(b.select("text", F.lit(True).alias("whole"))).groupBy("text").agg(F.max("whole").alias("whole"), F.max(~F.col("whole")).alias("fragment"))
+    """(text, goes_on): whether a finished sentence begins with the fragment and goes on; its next neighbour tells."""
     goes_on = F.coalesce(F.expr("startswith(after, text) AND length(after) > length(text)"), F.lit(False))
-    long, short = F.length("text") >= BUCKET, F.length("text") < BUCKET
-    a = _neighbours(tagged(fragments.where(long), whole), BUCKET).where("fragment").select("text", goes_on.alias("goes_on"))
-    beginnings = whole.where(F.length("text") >= BUCKET).select(F.substring("text", 1, BUCKET).alias("text")).distinct()
-    b = _neighbours(tagged(fragments.where(short), beginnings.unionByName(whole.where(short))), 1).where("fragment").select("text", goes_on.alias("goes_on"))
-    return a.unionByName(b)
+    return _neighbours(_tagged(fragments, whole, "text")).select("text", goes_on.alias("goes_on"))
 
 
 def _ends_alike(fragments: DataFrame, whole: DataFrame) -> DataFrame:
@@ -191,12 +240,10 @@ def _ends_alike(fragments: DataFrame, whole: DataFrame) -> DataFrame:
     cjk = F.col("text").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]$")
     size = F.when(cjk, F.lit(END_CJK)).otherwise(F.lit(END_LATIN))
     tail = lambda df: df.select("text", F.substring(F.reverse("text"), 1, END_LATIN).alias("tail"), size.alias("size"))
-    both = tail(fragments).select("tail", F.lit(False).alias("whole")).unionByName(tail(whole).select("tail", F.lit(True).alias("whole")))
-    tails = both.groupBy("tail").agg(F.max("whole").alias("whole")).withColumnRenamed("tail", "text")
-    near = _neighbours(tails, END_CJK)
+    ends = tail(fragments)
+    near = _neighbours(_tagged(ends, tail(whole), "tail")).withColumnRenamed("text", "tail")
     alike = lambda c: F.coalesce(F.expr(f"substring({c}, 1, size) = substring(tail, 1, size)"), F.lit(False))
-    joined = tail(fragments).join(near.select(F.col("text").alias("tail"), "whole", "after", "before"), "tail")
-    return joined.select("text", (F.col("whole") | alike("after") | alike("before")).alias("ends_alike"))
+    return ends.join(near, "tail").select("text", (F.col("whole") | alike("after") | alike("before")).alias("ends_alike"))
 
 
 def length_limits(parts: DataFrame) -> DataFrame:
@@ -208,7 +255,19 @@ def length_limits(parts: DataFrame) -> DataFrame:
     around = Window.orderBy("length").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
     mean = (F.sum("n").over(around) - F.col("n")) / (2 * SPIKE_AROUND)
     total = parts.where("length > 0").agg(F.count(F.lit(1)).alias("total"))
-    return counts.withColumn("mean", mean).crossJoin(F.broadcast(total)).where((F.col("n") >= SPIKE_SHARE * F.col("total")) & (F.col("n") > SPIKE_TIMES * F.greatest("mean", F.lit(1))) & (2 * F.col("open") >= F.col("n"))).select("length")
+    return counts.withColumn("mean", mean).join(F.broadcast(total), F.lit(True)).where((F.col("n") >= SPIKE_SHARE * F.col("total")) & (F.col("n") > SPIKE_TIMES * F.greatest("mean", F.lit(1))) & (2 * F.col("open") >= F.col("n"))).select("length")
+
+
+def _read(pairs: DataFrame, id_col: str, query_col: str, answer_col: str, profiles: language.Profiles) -> DataFrame:
+    """What each pair shows by itself; exact copies of a row once."""
+    id_type = pairs.schema[id_col].dataType.simpleString()
+    rows = pairs.select(F.col(id_col).alias("id"), F.col(query_col).alias("q"), F.col(answer_col).alias("a")).dropDuplicates()
+    return rows.mapInArrow(_parts(profiles), f"id {id_type}, rule string, fragment string, tail string, full array<string>, names array<string>, length long")
+
+
+def limits(pairs: DataFrame, id_col: str, query_col: str, answer_col: str, profiles: language.Profiles) -> DataFrame:
+    """(length) at which responses were cut off, of all pairs."""
+    return length_limits(durable(_read(pairs, id_col, query_col, answer_col, profiles).select("length", "fragment")))
 
 
 def defects(pairs: DataFrame, id_col: str, query_col: str, answer_col: str, profiles: language.Profiles) -> DataFrame:
@@ -217,11 +276,7 @@ def defects(pairs: DataFrame, id_col: str, query_col: str, answer_col: str, prof
     `empty`, `copy`, `truncated`, `refusal` or `other_lang`: the first that holds. Exact copies of a row count once. A
     null question can only make an answer empty, truncated or a refusal; texts of any length are read whole.
     """
-    from weftlake.session import durable
-
-    id_type = pairs.schema[id_col].dataType.simpleString()
-    rows = pairs.select(F.col(id_col).alias("id"), F.col(query_col).alias("q"), F.col(answer_col).alias("a")).dropDuplicates()
-    parts = durable(rows.mapInArrow(_parts(profiles), f"id {id_type}, rule string, fragment string, tail string, full array<string>, names array<string>, length long"))
+    parts = durable(_read(pairs, id_col, query_col, answer_col, profiles))
     whole = durable(parts.select(F.explode("full").alias("text")).distinct())
     fragments = parts.where("fragment IS NOT NULL").select(F.col("fragment").alias("text")).distinct()
     known = fragments.join(whole.withColumn("known", F.lit(True)), "text", "left").select("text", F.coalesce("known", F.lit(False)).alias("known"))

@@ -9,6 +9,8 @@ from weftlake.llm import abuse, consensus, consensus_features, conversations, la
 from weftlake.session import durable, stripped, table
 
 QS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+#: Labelled rows that the profiles of prompts and responses are fitted on.
+PAIR_FIT_ROWS = 4000
 METRIC_KEYS = ["lang", "outcome", "day"]
 _WHITE_SQL = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -145,10 +147,16 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
 # Problem 5: defective pairs
 
 
+def _pair_profiles(spark: SparkSession, sf: str) -> language.Profiles:
+    return language.fit_on_sample(table(spark, sf, "chat_messages"), "content", "lang", PAIR_FIT_ROWS)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "faithfulness")
-    profiles = language.fit_on_sample(table(spark, sf, "knowledge_chunks"), "content", "lang", unlabelled=rows.select("query"))
-    return pairs.defects(rows, "id", "query", "tra_loi", profiles)
+    return pairs.defects(table(spark, sf, "faithfulness"), "id", "query", "tra_loi", _pair_profiles(spark, sf))
+
+
+def p5_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.limits(table(spark, sf, "faithfulness"), "id", "query", "tra_loi", _pair_profiles(spark, sf))
 
 
 # Problem 6: personal data
@@ -320,7 +328,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p5_limits, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
