@@ -73,3 +73,16 @@ def test_features(spark):
     df = spark.createDataFrame([("a", None, None, None, None), ("a", "q", "t", "co_tai_lieu", 2), (None, "q", "t", "x", 1)], "id string, query string, tra_loi string, loai string, hang_chunk_dung int")
     rows = CF.of_answers(df).collect()
     assert len(rows) == 1 and len(rows[0].features) == CF.WIDTH
+
+
+def test_any_number_of_raters(spark):
+    """Matrices as arrays and as a table give the same result."""
+    _, votes, feats, _ = simulated(n=200)
+    votes += [(f"i{i}", f"once{i}", None, LABELS[i % 3]) for i in range(40)]
+    v = spark.createDataFrame(votes, "id string, rater string, certainty string, label string")
+    f = spark.createDataFrame(feats, "id string, features array<double>")
+    a, b = (C.consensus(v, f, 2, LABELS, rounds=4, bound=bound) for bound in (C.BOUND, 3))
+    x, y = ({r.id: r for r in t[0].collect()} for t in (a, b))
+    assert x.keys() == y.keys() and all((x[i].label, x[i].raters) == (y[i].label, y[i].raters) and abs(x[i].confidence - y[i].confidence) < 1e-6 and abs((x[i].agreement or 0) - (y[i].agreement or 0)) < 1e-9 for i in x)
+    p, q = ({r.rater: (r.votes, round(r.reliability, 6)) for r in t[1].collect()} for t in (a, b))
+    assert p == q and len(p) == 45
