@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlake.session import WHITE, broadcast_if_small, durable
+from weftlake.session import WHITE, broadcast_if_small, durable, stripped
 
 #: The labels, grounded, fabricated, rightly and needlessly refused.
 LABELS = ["co_can_cu", "bia", "tu_choi_dung", "tu_choi_thua"]
@@ -18,8 +18,8 @@ SPLITS = 64
 
 def plain_label(label: Column) -> Column:
     """A label in its plain spelling; null if it is none."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(label), rf"^[{WHITE}]+|[{WHITE}]+$", ""), rf"[-{WHITE}]+", "_")
-    return F.when(text.isin(LABELS), text)
+    text = F.regexp_replace(stripped(F.lower(label)), rf"[-{WHITE}]+", "_")
+    return F.when(label.isin(LABELS), label).when(text.isin(LABELS), text)
 
 
 def agreement(pairs: DataFrame, human: str = "human", judge: str = "judge", keys: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space of any kind, for use inside a Java character class.
 WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F"
 
+#: The same characters in a string.
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: A side is broadcast by hint only up to this many rows; beyond it the join is left to the optimizer.
 BROADCAST_ROWS = 20_000
 
@@ -73,7 +76,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def stripped(col):
     """A string column without white space of any kind around it."""
-    return F.regexp_replace(col, rf"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(col, F.lit(WHITE_CHARS))
 
 
 def is_blank(col):
