@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlake.session import WHITE, broadcast_if_small, durable
+from weftlake.session import WHITE, broadcast_if_small, durable, stripped
 
 LABELS = ["co_can_cu", "bia", "tu_choi_dung", "tu_choi_thua"]
 #: Kinds of raters whose matrices are held as arrays.
@@ -32,8 +32,8 @@ L2 = 1.0
 
 def plain_label(label: Column, labels: list[str] = LABELS) -> Column:
     """The label in its plain spelling, or null: case, white space around it and - or blanks for _ make no difference."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(label), rf"^[{WHITE}]+|[{WHITE}]+$", ""), rf"[-{WHITE}]+", "_")
-    return F.when(text.isin(labels), text)
+    text = F.regexp_replace(stripped(F.lower(label)), rf"[-{WHITE}]+", "_")
+    return F.when(label.isin(labels), label).when(text.isin(labels), text)
 
 
 def latest_votes(votes: DataFrame) -> DataFrame:

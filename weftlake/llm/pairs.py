@@ -75,6 +75,9 @@ def letters(text: str) -> str:
     return re.sub(r"[\W_]", "", folded(text))
 
 
+_QUOTED = {letters(x) for x in QUOTED}
+
+
 def is_empty(answer: str | None) -> bool:
     """Nothing but signs, or a word that stands for nothing."""
     return answer is None or letters(answer) in STAND_INS or not letters(answer)
@@ -86,7 +89,7 @@ def is_copy(query: str | None, answer: str) -> bool:
     if not q or q not in a:
         return False
     rest = a.replace(q, "")
-    return not rest or any(rest == letters(x) for x in QUOTED)
+    return not rest or rest in _QUOTED
 
 
 def sentences(text: str) -> list[tuple[str, bool]]:
@@ -103,6 +106,8 @@ def sentences(text: str) -> list[tuple[str, bool]]:
 
 def is_refusal(answer: str) -> bool:
     """At least one sentence declines, and no other says anything but courtesies."""
+    if not REFUSALS.search(unicodedata.normalize("NFKC", answer).lower()) and not REFUSALS.search(folded(answer)):
+        return False
     declines = False
     for s, _ in sentences(answer):
         plain = folded(s)
