@@ -52,22 +52,24 @@ _NAME = re.compile(r"(?<=\S )[^\W\d_a-zà-ỹ][^\W\d_]*(?: [^\W\d_a-zà-ỹ][^\W
 _NUMBER = re.compile(r"[A-Z]{1,3}-?\d+|\d+")
 
 
-def _class_of(categories: tuple[str, ...]) -> str:
-    """The characters of some categories as the inside of a character class, neighbours as ranges."""
-    points = [c for c in range(0x110000) if unicodedata.category(chr(c)) in categories]
+def _class_of(categories: tuple[str, ...], end: int) -> str:
+    """The characters of some categories up to a code point as the inside of a character class, neighbours as ranges."""
+    points = [c for c in range(end) if unicodedata.category(chr(c)) in categories]
     starts = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
     ends = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
-_MARKS = re.compile(f"[{_class_of(('Mn', 'Cf'))}]")
+# A class without characters beyond the basic plane is looked up at once, one with them range by range.
+_MARKS, _ALL_MARKS = (re.compile(f"[{_class_of(('Mn', 'Cf'), end)}]") for end in (0x10000, 0x110000))
 
 
 def folded(text: str) -> str:
     """Lower case, without accents and marks, compatibility forms resolved."""
     if text.isascii():
         return text.lower()
-    return _MARKS.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower().replace("đ", "d")))
+    plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower().replace("đ", "d"))
+    return (_MARKS if max(plain, default="") < "\U00010000" else _ALL_MARKS).sub("", plain)
 
 
 def letters(text: str) -> str:
