@@ -13,8 +13,8 @@ from weftlake.llm import privacy as P
         ("my name is Nora P. Smith and my email is n@m.test", [("email", "n@m.test"), ("name", "Nora P. Smith")]), ("đặt cho Nguyễn Gia Khoa 2 vé", [("name", "Nguyễn Gia Khoa")]), ("đặt cho gia đình mình 2 vé", []), ("名前は東雲 航平です", [("name", "東雲 航平")]), ("给温雨桐订2张票", [("name", "温雨桐")]),
     ],
 )
-def test_sure_findings(text, wanted):
-    assert sorted((k, v) for k, v, _, sure, _ in P.propose(text or "") if sure) == sorted(wanted)
+def test_nominations(text, wanted):
+    assert sorted((k, v) for k, v, _, _, _, prior, *_ in P.propose(text or "") if prior >= P.PRIOR) == sorted(wanted)
 
 
 def test_corpus_decides_what_is_weak(spark):
@@ -30,8 +30,45 @@ def test_corpus_decides_what_is_weak(spark):
     assert P.findings(df.where("false")).collect() == []
 
 
+def of(spark, *texts):
+    return spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tbl string, row_id long, content string")
+
+
+def test_forms_and_names_that_are_not_in_the_code(spark):
+    """A name in a frame of no list is known by its words; a common phrase of capitals is none; unknown capitals stay."""
+    known = [f"my name is {n} and I wait" for n in ("Thea Drayle", "Orla Venn", "Thea Venn", "Milo Drayle", "Orla Drayle")] * 3
+    other = ["Regards, Orla Drayle wrote", "please ask Milo Venn about it", "the Harbour Line stops at Stone Gate", "Ask Quentin Obst today"] * 2
+    got = {(r.row_id, r.val) for r in P.findings(of(spark, *known, *other)).collect() if r.kind == "name"}
+    first = len(known)
+    assert {(first, "Orla Drayle"), (first + 1, "Milo Venn")} <= got
+    assert not any(v in ("Harbour Line", "Stone Gate", "The Harbour Line", "Quentin Obst", "Ask Quentin Obst") for _, v in got)
+
+
+def test_the_corpus_overrules_a_form(spark):
+    """A shape that never stands beside a word for its kind reveals nothing, however much it looks like a telephone."""
+    serial = [f"serial 0912{i:06d} of the pump" for i in range(200)]
+    assert P.findings(of(spark, *serial)).count() == 0
+    assert P.findings(of(spark, *serial[:1])).count() == 1  # hardly shown by the corpus, the prior decides
+    called = [f"please call 0912{i:06d} now" for i in range(60)]
+    assert P.findings(of(spark, *called)).count() == 60
+
+
+def test_places_and_bits(spark):
+    text = "call 0937 555 181 or 0937 555 181, mail a@b.test"
+    got = sorted((r.kind, r.start, r.stop, r.val) for r in P.findings(of(spark, text)).collect())
+    assert got == [("email", 40, 48, "a@b.test"), ("phone", 5, 17, "0937 555 181"), ("phone", 21, 33, "0937 555 181")]
+    assert all(r.bits > 0 for r in P.findings(of(spark, *[text] * 3, "no data here at all, just words and words")).collect())
+
+
+def test_replaced_by_place():
+    assert P.masked("An and Annex, An", [(0, 2, "name")]) == "[NAME] and Annex, An"  # too short to be looked for elsewhere
+    assert P.masked("Thea Bo, Thea Bode, Thea Bo", [(0, 7, "name")]) == "[NAME], Thea Bode, [NAME]"
+    assert P.masked("我叫王小明。王小明", [(2, 5, "name")]) == "我叫[NAME]。[NAME]"
+    assert P.masked("a 1 b", [(2, 3, "phone"), (0, 5, "address")]) == "[ADDRESS]"
+
+
 def test_long_text():
-    assert [v for _, v, _, _, _ in P.propose("lorem ipsum " * 50_000 + " write to a@b.test")] == ["a@b.test"]
+    assert [v for _, v, *_ in P.propose("lorem ipsum " * 50_000 + " write to a@b.test")] == ["a@b.test"]
 
 
 def test_bits():

@@ -1,11 +1,21 @@
 """Personal data in free text (problem 6): information-theoretic sanitisation.
 
-One pass over the corpus proposes spans: what by its form or by a fixed phrase around it surely is personal (strong), and
-what might be (weak: numbers whose form is shared by order numbers, words where a name may or may not stand). The same
-pass counts every word. How strongly a term reveals a protected entity is then estimated from co-occurrence over the
-whole corpus: for a word, the share of its occurrences that lie within names; for the phrase beside a number, the share of
-numbers beside it that surely are identity numbers. A weak span is taken if the disclosure of its terms exceeds the
-threshold. What is taken is generalised to its type, or, as a finding, given as it stands.
+One pass over the corpus nominates spans by their form (mailboxes, numbers, addresses, runs of capitalised words) or by a
+phrase beside them, and counts every word. Nothing is taken for its form alone. How strongly a span's terms reveal a
+protected entity is estimated from co-occurrence over the whole corpus, as the pointwise mutual information of term and
+kind of entity, log2(p(kind | term) / p(kind)) bits:
+
+* The terms of a number, mailbox or address are its shape (digits as 0, letters as a) and the phrase beside it. A shape
+  reveals a kind as far as its occurrences stand beside words that name the kind; a phrase reveals a kind as far as what
+  stands beside it has shapes of that kind.
+* The terms of a name are its words and the frame or phrase it stands in. A word reveals a person as far as its
+  occurrences lie within names by which people introduce themselves; a frame as far as the names in it are known from
+  such introductions or consist of revealing words. A run of capitalised words in no known frame is held to its words and
+  to the phrase before it, which is learned.
+
+A prior, worth a few observations, stands for a term that the corpus hardly shows. A span is taken if one of its terms
+leaves at most so many bits of uncertainty about the kind (`LEFT`): its information is log2(1 / p(kind)) less these. What
+is taken is generalised to its type, or, as a finding, given as it stands, with its bits.
 """
 
 from __future__ import annotations
@@ -26,10 +36,13 @@ from weftlake.session import broadcast_if_small, durable
 
 #: The company's own contacts are no personal data (fixed values, without blanks, lower case).
 OWN_CONTACTS = {"hotro@vexa.example", "help@vexa.example", "19005550"}
-#: Mean share of a weak name's words' occurrences that lie within sure names, from which on the words disclose a person.
-NAME_DISCLOSURE = 0.2
-#: Share of sure identity numbers among the numbers beside a phrase, from which on the phrase discloses one.
-ID_DISCLOSURE = 0.02
+#: Bits of uncertainty about the kind that a taken span's best term may leave: of a number beside a phrase, of other
+#: forms, of a name by its words, by a known frame, and of capitalised words without one.
+LEFT = {"id_number": 5.6, "email": 4.3, "phone": 4.3, "address": 4.3, "words": 2.4, "frame": 4.3, "alone": 1.0, "learned": 1.8}
+#: Observations that a prior is worth, and the prior of a form or frame that is hardly ever anything else.
+PRIOR_WEIGHT, PRIOR = 4.0, 0.5
+#: Rows of terms up to which they are broadcast.
+TERM_ROWS = 100_000
 #: Word counts are handed on whenever a task holds so many different words.
 COUNTER_SIZE = 200_000
 
@@ -79,21 +92,25 @@ _VI_NAME = r"(?P<n>[^\W\d_]+(?: [^\W\d_]+){1,4}?)"
 _HAN = r"[一-鿿々]"
 _JA_NAME = rf"(?P<n>{_HAN}{{1,4}}?[ 　]?(?:{_HAN}|[ぁ-んァ-ヶー]){{1,5}}?)"
 _ZH_NAME = rf"(?P<n>{_HAN}{{2,4}}?)"
+#: How people introduce themselves: what stands here is a name.
+_INTRODUCTIONS = [
+    (("tên là", "ten la"), re.compile(rf"(?:tên là|ten la)\s+{_VI_NAME}(?=[,.!?]|$|\s+(?:gửi|gui|và|va)\s)", re.I)),
+    (("my name is",), re.compile(rf"my name is\s+{_LATIN_NAME}(?=\s+and\s|,\s*(?:my|and)|[.!]\s|[.!]?$)", re.I)),
+    (("名前は",), re.compile(rf"名前は\s*{_JA_NAME}(?=です|と申します|、|。)")),
+    (("我叫",), re.compile(rf"我叫\s*{_ZH_NAME}(?=[，,。]|\s|$)")),
+]
+#: Frames that only nominate; the corpus says whether they hold names.
 _STRONG_NAMES = [
-    (("tên là", "ten la"), re.compile(rf"(?:tên là|ten la)\s+{_VI_NAME}(?=,|\s+(?:gửi|gui|và|va)\s)", re.I)),
     (("đặt cho", "dat cho"), re.compile(rf"(?:đặt cho|dat cho)\s+(?:(?:anh|chị|chi|cô|co|chú|chu|bác|bac|ông|ong|bà|ba)\s+)?{_VI_NAME}(?=\s+\d+\s+(?:vé|ve)\b)", re.I)),
     (("nhờ", "nho"), re.compile(rf"(?:nhờ|nho)\s+(?:anh|chị|chi|cô|co|chú|chu|bác|bac|em|ông|ong|bà|ba)\s+{_VI_NAME}(?=\s+(?:đón|don)\s)", re.I)),
     (("hành khách:", "hanh khach:"), re.compile(rf"(?:hành khách|hanh khach):\s*{_VI_NAME}(?=,)", re.I)),
     (("liên hệ", "lien he"), re.compile(rf"(?:liên hệ|lien he):?\s+{_VI_NAME}(?=\s+[-–/]\s*[+(0oO])", re.I)),
-    (("my name is",), re.compile(rf"my name is\s+{_LATIN_NAME}(?=\s+and\s|,\s*(?:my|and)|[.!]\s|[.!]?$)", re.I)),
     (("for ",), re.compile(rf"seats? for\s+{_LATIN_NAME}(?=,\s*(?:passport|id)\b)", re.I)),
     (("contact:",), re.compile(rf"contact:\s*{_LATIN_NAME}(?=\s*/\s*[+(\d])", re.I)),
     (("passenger ",), re.compile(rf"passenger\s+{_LATIN_NAME}(?=,\s*(?:ID|passport)\b)", re.I)),
-    (("名前は",), re.compile(rf"名前は\s*{_JA_NAME}(?=です|と申します|、|。)")),
     (("連絡先",), re.compile(rf"連絡先[:：]\s*{_JA_NAME}(?=\s*[+＋0０(（])")),
     (("の分で",), re.compile(rf"(?:(?<=^)|(?<=[\s。．.?？!！、/|(（-])){_JA_NAME}(?=の分で{_D}+枚)")),
     (("で承りました",), re.compile(rf"(?:(?<=^)|(?<=[\s。．.?？!！、/|(（-])){_JA_NAME}(?=\s*で承りました)")),
-    (("我叫",), re.compile(rf"我叫\s*{_ZH_NAME}(?=[，,。]|\s|$)")),
     (("联系人",), re.compile(rf"联系人[:：]\s*{_ZH_NAME}(?=[，,])")),
     (("给",), re.compile(rf"给\s*{_ZH_NAME}(?=订{_D}+张)")),
     (("已为您登记",), re.compile(rf"已为您登记\s*{_ZH_NAME}(?=[，,])")),
@@ -124,7 +141,7 @@ def _signs():
     for kind, words in (("mail", _MAIL_SIGNS), ("address", _ADDRESS_SIGNS)):
         for w in words:
             automaton.add_word(w, kind)
-    for group in (_STRONG_NAMES, _WEAK_NAMES):
+    for group in (_INTRODUCTIONS, _STRONG_NAMES, _WEAK_NAMES):
         for cues, _ in group:
             for c in cues:
                 automaton.add_word(c, c)
@@ -132,6 +149,21 @@ def _signs():
     return automaton
 
 
+#: Words that name a kind of personal data beside it (fixed values, accents removed).
+_LABELS = {
+    "email": re.compile(r"mail|thu\b|メール|邮箱|邮件|郵箱"),
+    "phone": re.compile(r"phone|call|tel\b|mobile|contact|reach|number|so\b|sdt|dien thoai|goi|may\b|zalo|lien he|電話|連絡|携帯|番号|电话|手机|联系|号码"),
+    "id_number": re.compile(r"passport|\bid\b|identity|ssn|cmnd|cccd|can cuoc|ho chieu|giay to|旅券|パスポート|身分|マイナンバー|証|护照|身份|证"),
+    "address": re.compile(r"address|live|living|invoice|send|\bo\b|dia chi|nha\b|gui|toi\b|住所|住|届|送|地址|寄"),
+}
+
+
+def shape(value: str) -> str:
+    """The form of a value: digits as 0, letters as a, runs of letters as one."""
+    plain = unicodedata.normalize("NFKC", value)
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "0", plain))
+
+
 def plain_digits(text: str) -> str:
     return re.sub(r"\s", "", unicodedata.normalize("NFKC", text)).lower()
 
@@ -150,56 +182,103 @@ def beside(text: str, start: int, end: int) -> str:
     return " ".join(folded.split()[-2:])
 
 
-def propose(text: str) -> list[tuple[str, str, str, bool, list[str]]]:
-    """(kind, value, span, sure, terms) of one text."""
-    out = []
+#: One nominated span: its kind and value, where it stands, its shape or frame, how surely a form or frame of that kind,
+#: the phrase beside it, whether that names the kind (or is an introduction), and the words of a name.
+Span = tuple[str, str, int, int, str, float, str, bool, list[str]]
+ALONE = "capitals"
+
+
+def _capital_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of two to four capitalised words in a script that has capitals."""
+    run: list[tuple[int, int]] = []
+    for m in re.finditer(r"[^\W\d_][^\W\d_'’]*", text):
+        word = m.group()
+        joined = bool(run) and text[run[-1][1] : m.start()] in (" ", ". ")
+        if not joined:
+            if 2 <= len(run) <= 5:
+                yield from _of_run(text, run)
+            run = []
+        if word[0].isupper() and not (len(word) > 1 and word.isupper()):
+            run.append(m.span())
+        else:
+            if 2 <= len(run) <= 5:
+                yield from _of_run(text, run)
+            run = []
+    if 2 <= len(run) <= 5:
+        yield from _of_run(text, run)
+
+
+def _of_run(text: str, run: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The run, and if it begins a sentence, also without its first word, which may be capitalised for that alone."""
+    before = text[: run[0][0]].rstrip(" (\"'“-–*•>")
+    if len(run) <= 4:
+        yield run[0][0], run[-1][1]
+    if (not before or before[-1] in ".!?。！？\n:") and len(run) >= 3:
+        yield run[1][0], run[-1][1]
+
+
+def propose(text: str) -> list[Span]:
+    """The spans of a text that may be personal data."""
+    out: list[Span] = []
     taken: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
+    def add(kind: str, value: str, a: int, b: int, form: str, prior: float, cue: str, anchor: bool, words: list[str]) -> None:
+        out.append((kind, value, a, b, form, prior, cue, anchor, words))
+
+    def nominate(kind: str, m: re.Match, form: str, prior: float, value: str | None = None, lead: int = 0) -> None:
+        a, b = m.start() + lead, m.start() + len(m.group().rstrip())
+        cue = beside(text, *m.span())
+        add(kind, m.group() if value is None else value, a, b, form, prior, cue, bool(_LABELS[kind].search(cue)), [])
+
     signs = {sign for _, sign in _signs().iter(text.lower())}
     number = _LONG_NUMBER.search(text)
-    if not signs and not number:
-        return out
     if "mail" in signs:
         for m in EMAIL.finditer(text):
             taken.append(m.span())
             if plain_digits(m.group()) not in OWN_CONTACTS:
-                out.append(("email", m.group(), m.group(), True, []))
+                nominate("email", m, "a@a", PRIOR)
     if "address" in signs and _ADDRESS_HINT.search(text):
-        for pattern in _ADDRESSES:
+        for i, pattern in enumerate(_ADDRESSES):
             for m in pattern.finditer(text):
                 if free(*m.span()):
                     taken.append(m.span())
-                    out.append(("address", _DIGITS.search(m.group()).group(), _LEAD.sub("", m.group().strip()), True, []))
+                    lead = len(m.group()) - len(_LEAD.sub("", m.group().lstrip()))
+                    nominate("address", m, f"address {i}", PRIOR, _DIGITS.search(m.group()).group(), lead)
     if number:
-        for kind, pattern, sure in (("phone", PHONE, True), ("id_number", SURE_ID, True), ("id_number", MAYBE_ID, False)):
+        for kind, pattern, prior in (("phone", PHONE, PRIOR), ("id_number", SURE_ID, PRIOR), ("id_number", MAYBE_ID, 0.0)):
             for m in pattern.finditer(text):
                 if free(*m.span()) and plain_digits(m.group()) not in OWN_CONTACTS:
                     taken.append(m.span())
-                    out.append((kind, m.group(), m.group(), sure, [beside(text, *m.span())] if kind == "id_number" else []))
+                    nominate(kind, m, shape(m.group()), prior)
     cues = signs - {"mail", "address"}
     if cues:
-        for group, sure in ((_STRONG_NAMES, True), (_WEAK_NAMES, False)):
+        for group, prior in ((_INTRODUCTIONS, 1.0), (_STRONG_NAMES, PRIOR), (_WEAK_NAMES, 0.0)):
             for keys, pattern in group:
                 if not cues.isdisjoint(keys):
                     for m in pattern.finditer(text):
-                        name = m.group("n").strip()
-                        words = [w.lower() for w in _WORDS.findall(name)]
+                        words = [w.lower() for w in _WORDS.findall(m.group("n"))]
                         if free(*m.span("n")) and words and not _NO_NAME.issuperset(words):
                             taken.append(m.span("n"))
-                            out.append(("name", name, name, sure, words))
+                            add("name", m.group("n").strip(), *m.span("n"), keys[0], prior, keys[0], group is _INTRODUCTIONS, words)
+    if text.isascii() or any(c.isupper() for c in text):
+        for a, b in _capital_runs(text):
+            if free(a, b):
+                add("name", text[a:b], a, b, ALONE, 0.0, "capitals " + beside(text, a, b), False, [w.lower() for w in _WORDS.findall(text[a:b])])
     return out
 
 
+_FOUND = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("kind", pa.string()), ("val", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("form", pa.string()), ("prior", pa.float64()), ("cue", pa.string()), ("anchor", pa.bool_()), ("terms", pa.list_(pa.string())), ("n", pa.int64())])
+
+
 def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("kind", pa.string()), ("val", pa.string()), ("span", pa.string()), ("sure", pa.bool_()), ("terms", pa.list_(pa.string())), ("n", pa.int64())])
     words: Counter[str] = Counter()
 
     def counted() -> pa.RecordBatch:
         k = len(words)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, f.type) for f in list(schema)[:6]] + [pa.array([[w] for w in words], pa.list_(pa.string())), pa.array(list(words.values()), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, f.type) for f in list(_FOUND)[:-2]] + [pa.array([[w] for w in words], pa.list_(pa.string())), pa.array(list(words.values()), pa.int64())], schema=_FOUND)
 
     for batch in batches:
         rows = []
@@ -209,7 +288,7 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text:
                 rows += [(tbl, row_id, *found, 1) for found in propose(text)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
         if len(words) > COUNTER_SIZE:
             yield counted()
             words.clear()
@@ -217,30 +296,62 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
+def enough(kind: str, p):
+    """Whether a term that a kind has probability p under leaves no more bits than permitted; p is a column."""
+    return -F.log2(p) <= F.lit(LEFT[kind])
+
+
 def findings(texts: DataFrame) -> DataFrame:
-    """(tbl, row_id, kind, val, span): each distinct personal value of each text, and the span that holds it.
+    """(tbl, row_id, kind, val, start, stop, bits): every span of personal data, its value, and how much its terms reveal.
 
     texts has (tbl string, row_id long, content string). Null, empty and blank texts have no findings; repeated rows give
-    one; texts of any length are read whole. A value that occurs several times in a text is one finding.
+    one; texts of any length are read whole. start and stop are code points; what they hold is to be replaced, while val
+    is the value (of an address, its first number). A value that stands at several places has a row for each.
     """
-    proposed = durable(texts.select("tbl", "row_id", "content").mapInArrow(_pass, "tbl string, row_id long, kind string, val string, span string, sure boolean, terms array<string>, n long"))
+    proposed = durable(texts.select("tbl", "row_id", "content").mapInArrow(_pass, "tbl string, row_id long, kind string, val string, start int, stop int, form string, prior double, cue string, anchor boolean, terms array<string>, n long"))
     found = proposed.where("kind IS NOT NULL").drop("n").distinct()
-    # Words: how much of each lies within sure names. The counts come from the pass, already summed per task.
-    words = proposed.where("kind IS NULL").select(F.col("terms")[0].alias("term"), "n")
-    in_names = found.where("kind = 'name' AND sure").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("inside"))
-    maybe = found.where("kind = 'name' AND NOT sure").withColumn("term", F.explode("terms"))
-    # What stands in doubtful places is left out of the count: it is what is asked for.
-    doubtful = maybe.groupBy("term").agg(F.count(F.lit(1)).alias("doubtful"))
+    small = lambda df: broadcast_if_small(durable(df), TERM_ROWS)
+    strong = F.col("prior") >= PRIOR
+
+    # Numbers, mailboxes and addresses: shapes by the words that name the kind beside them, phrases by the shapes beside them.
+    others = found.where("kind <> 'name'")
+    smooth = (F.sum(F.col("anchor").cast("double")) + PRIOR_WEIGHT * F.max("prior")) / (F.count(F.lit(1)) + PRIOR_WEIGHT)
+    shapes = others.where(strong).groupBy("kind", "form").agg(smooth.alias("by_form"))
+    limit = F.create_map(*[F.lit(x) for k in _LABELS for x in (k, LEFT[k])])[F.col("kind")]
+    formed = others.join(small(shapes), ["kind", "form"], "left").withColumn("reveals", F.coalesce(strong & (-F.log2("by_form") <= limit), F.lit(False)))
+    phrases = formed.groupBy("kind", "cue").agg(F.avg(F.col("reveals").cast("double")).alias("by_cue")).where("by_cue > 0")
+    scored = formed.join(small(phrases), ["kind", "cue"], "left")
+    p = F.greatest(F.when(strong, F.col("by_form")), F.col("by_cue"))
+    numbers = scored.where(-F.log2(p) <= limit).withColumn("p", p)
+
+    # Names: words by how many of their occurrences lie within introductions. Doubtful places, which ask for it, do not count.
+    names = found.where("kind = 'name'").withColumn("place", F.struct("tbl", "row_id", "start", "stop"))
+    words = proposed.where("kind IS NULL").select(F.col("terms")[0].alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
+    inside = names.where("anchor").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("inside"))
+    framed = names.where(F.col("form") != ALONE).where("NOT anchor").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("doubtful"))
     share = F.least(F.col("inside") / F.greatest(F.col("n") - F.coalesce("doubtful", F.lit(0)), F.col("inside")), F.lit(1.0))
-    disclosure = durable(words.groupBy("term").agg(F.sum("n").alias("n")).join(in_names, "term").join(doubtful, "term", "left").select("term", share.alias("share")))
-    scored = maybe.join(broadcast_if_small(disclosure), "term", "left").groupBy("tbl", "row_id", "kind", "val", "span")
+    revealing = small(words.join(inside, "term").join(framed, "term", "left").select("term", share.alias("share")))
+    asked = names.where("NOT anchor")
+    each = asked.select("place", F.explode("terms").alias("term")).join(revealing, "term", "left").groupBy("place")
     # Initials neither speak for nor against a name.
-    names = scored.agg(F.avg(F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))).alias("share")).where(F.col("share") >= NAME_DISCLOSURE)
-    numbers = found.where("kind = 'id_number'").withColumn("term", F.col("terms")[0])
-    phrases = durable(numbers.groupBy("term").agg(F.avg(F.col("sure").cast("double")).alias("share")).where(F.col("share") >= ID_DISCLOSURE).select("term"))
-    ids = numbers.where("NOT sure").join(broadcast_if_small(phrases), "term", "left_semi")
-    columns = ["tbl", "row_id", "kind", "val", "span"]
-    return found.where("sure").select(*columns).unionByName(names.select(*columns)).unionByName(ids.select(*columns)).distinct()
+    by_words = each.agg(F.avg(F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))).alias("by_words"), F.min(F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))).alias("least"))
+    # Introduced names as they stand, also those of scripts without blanks.
+    introduced = small(names.where("anchor").select(F.lower("val").alias("v")).distinct().withColumn("introduced", F.lit(True)))
+    judged = durable(asked.join(by_words, "place", "left").join(introduced, F.lower(F.col("val")) == F.col("v"), "left").withColumn("known", F.coalesce("introduced", F.lit(False)) | F.coalesce(enough("words", F.col("by_words")), F.lit(False))))
+    frames = judged.groupBy("cue").agg(((F.sum(F.col("known").cast("double")) + PRIOR_WEIGHT * F.max("prior")) / (F.count(F.lit(1)) + PRIOR_WEIGHT)).alias("by_frame"))
+    weighed = judged.join(small(frames.where("by_frame > 0")), "cue", "left")
+    alone = F.col("form") == ALONE
+    by_frame = enough("frame", F.col("by_frame")) & strong
+    by_word = enough("words", F.col("by_words")) & ~alone
+    apart = alone & (F.col("least") > 0) & (enough("alone", F.col("by_words")) | (enough("learned", F.col("by_frame")) & enough("words", F.col("by_words"))))
+    taken = weighed.where(F.coalesce(by_frame, F.lit(False)) | F.coalesce(by_word, F.lit(False)) | F.coalesce(apart, F.lit(False))).withColumn("p", F.greatest("by_words", F.when(~alone | enough("learned", F.col("by_frame")), F.col("by_frame"))))
+
+    columns = ["tbl", "row_id", "kind", "val", "start", "stop", "p"]
+    all_ = numbers.select(*columns).unionByName(taken.select(*columns)).unionByName(names.where("anchor").withColumn("p", F.lit(1.0)).select(*columns))
+    base = proposed.groupBy("kind").agg(F.sum("n").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("kind", F.lit("")).alias("kind"), "k"))).alias("of")).first()
+    of = (base.of or {}) if base else {}
+    rate = F.create_map(*[F.lit(x) for k in (*_LABELS, "name") for x in (k, of.get(k, 1) / max(of.get("", 1), 1))])[F.col("kind")]
+    return all_.select("tbl", "row_id", "kind", "val", "start", "stop", F.round(F.log2(F.col("p") / rate), 3).alias("bits")).distinct()
 
 
 def disclosure_bits(inside: int, occurrences: int, base_rate: float) -> float:
@@ -248,9 +359,33 @@ def disclosure_bits(inside: int, occurrences: int, base_rate: float) -> float:
     return math.log2(max(inside / occurrences, 1e-12) / base_rate)
 
 
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with [KIND] in place of each span; where spans meet, the longer one; and of each other place of their values."""
+    chosen: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(spans, key=lambda x: (x[0] - x[1], x)):
+        if all(b <= x or a >= y for x, y, _ in chosen):
+            chosen.append((a, b, kind))
+    for value, kind in {(text[a:b], kind) for a, b, kind in chosen}:
+        edge = r"(?<![^\W_])%s(?![^\W_])" if value[:1].isalnum() and ord(value[0]) < 0x2E80 else "%s"
+        for m in re.finditer(edge % re.escape(value), text) if len(value) > 2 else ():
+            if all(m.end() <= x or m.start() >= y for x, y, _ in chosen):
+                chosen.append((*m.span(), kind))
+    out, at = [], 0
+    for a, b, kind in sorted(chosen):
+        out += [text[at:a], f"[{kind.upper()}]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def sanitise(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(tbl, row_id, content) with a typed placeholder such as [EMAIL] in place of each finding, longest spans first."""
-    spans = found.select("tbl", "row_id", "kind", "span").distinct().groupBy("tbl", "row_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("span")).alias("o"), "span", "kind"))).alias("spans"))
+    """(tbl, row_id, content) with a typed placeholder such as [EMAIL] in place of each finding, by its place."""
+    spans = found.groupBy("tbl", "row_id").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("spans"))
     rows = texts.select("tbl", "row_id", "content").distinct().join(spans, ["tbl", "row_id"], "left")
-    replaced = F.expr("aggregate(spans, content, (acc, x) -> replace(acc, x.span, concat('[', upper(x.kind), ']')))")
-    return rows.select("tbl", "row_id", F.when(F.col("spans").isNull(), F.col("content")).otherwise(replaced).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [t if t is None or not s else masked(t, [(x["start"], x["stop"], x["kind"]) for x in s]) for t, s in zip(batch.column("content").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("tbl"), batch.column("row_id"), pa.array(content, pa.string())], names=["tbl", "row_id", "content"])
+
+    kept = rows.where("spans IS NULL").drop("spans")
+    return kept.unionByName(rows.where("spans IS NOT NULL").mapInArrow(run, "tbl string, row_id long, content string"))

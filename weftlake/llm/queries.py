@@ -177,6 +177,17 @@ def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.sanitise(texts, privacy.findings(texts))
 
 
+def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts there are by table, and how many of the sanitised ones are changed without a finding or the same with one."""
+    texts = _written(spark, sf).distinct()
+    found = durable(privacy.findings(texts))
+    clean = privacy.sanitise(texts, found).select("tbl", "row_id", F.col("content").alias("clean"))
+    touched = found.select("tbl", "row_id").distinct().withColumn("touched", F.lit(True))
+    both = texts.join(clean, ["tbl", "row_id"]).join(touched, ["tbl", "row_id"], "left")
+    wrong = F.col("content").eqNullSafe(F.col("clean")) == F.coalesce("touched", F.lit(False))
+    return both.groupBy("tbl").agg(F.count(F.lit(1)).alias("texts"), F.count_if(wrong).alias("wrong"))
+
+
 # Problem 7: percentiles of latencies
 
 
@@ -328,7 +339,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p5_limits, p6_found, p6_texts, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p5_limits, p6_found, p6_texts, p6_checked, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
@@ -337,6 +348,7 @@ SQL = {
     "p7_overall_verified": f"SELECT lang, outcome, CAST(sum(n) AS BIGINT) AS n, true AS within FROM ({_P7_SQL}) GROUP BY lang, outcome",
     "p7_large_verified": "SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag",
     "p9_complete": "SELECT count(*) AS documents, 0 AS wrong, 0 AS overfull FROM documents",
+    "p6_checked": "SELECT 'chat_messages' AS tbl, count(*) AS texts, 0 AS wrong FROM (SELECT DISTINCT message_id, content FROM chat_messages) UNION ALL SELECT 'chat_feedback', count(*), 0 FROM (SELECT DISTINCT feedback_id, question_snippet FROM chat_feedback)",
     "p9_gain": "SELECT CAST(capacity_tokens AS INTEGER) AS capacity, true AS no_worse FROM context_windows",
     "p9_kinds": "SELECT true AS smallest, true AS one_kind_each",
     "p8_small_leaves": "SELECT doc_id, true AS same FROM documents",
