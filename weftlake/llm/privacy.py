@@ -10,8 +10,8 @@ kind of entity, log2(p(kind | term) / p(kind)) bits:
   stands beside it has shapes of that kind.
 * The terms of a name are its words and the frame or phrase it stands in. A word reveals a person as far as its
   occurrences lie within names by which people introduce themselves; a frame as far as the names in it are known from
-  such introductions or consist of revealing words. A run of capitalised words in no known frame is held to its words and
-  to the phrase before it, which is learned.
+  such introductions or consist of revealing words. A run of capitalised words in no known frame is held to its words: a
+  second pass looks for runs of revealing words.
 
 A prior, worth a few observations, stands for a term that the corpus hardly shows. A span is taken if one of its terms
 leaves at most so many bits of uncertainty about the kind (`LEFT`): its information is log2(1 / p(kind)) less these. What
@@ -37,8 +37,8 @@ from weftlake.session import broadcast_if_small, durable
 #: The company's own contacts are no personal data (fixed values, without blanks, lower case).
 OWN_CONTACTS = {"hotro@vexa.example", "help@vexa.example", "19005550"}
 #: Bits of uncertainty about the kind that a taken span's best term may leave: of a number beside a phrase, of other
-#: forms, of a name by its words, by a known frame, and of capitalised words without one.
-LEFT = {"id_number": 5.6, "email": 4.3, "phone": 4.3, "address": 4.3, "words": 2.4, "frame": 4.3, "alone": 1.0, "learned": 1.8}
+#: forms, of a name by its words or by its frame, and of capitalised words without a frame.
+LEFT = {"id_number": 5.6, "email": 4.3, "phone": 4.3, "address": 4.3, "words": 2.4, "frame": 4.3, "alone": 1.0}
 #: Observations that a prior is worth, and the prior of a form or frame that is hardly ever anything else.
 PRIOR_WEIGHT, PRIOR = 4.0, 0.5
 #: Rows of terms up to which they are broadcast.
@@ -188,33 +188,41 @@ Span = tuple[str, str, int, int, str, float, str, bool, list[str]]
 ALONE = "capitals"
 
 
-def _capital_runs(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of two to four capitalised words in a script that has capitals."""
-    run: list[tuple[int, int]] = []
-    for m in re.finditer(r"[^\W\d_][^\W\d_'’]*", text):
-        word = m.group()
-        joined = bool(run) and text[run[-1][1] : m.start()] in (" ", ". ")
-        if not joined:
-            if 2 <= len(run) <= 5:
-                yield from _of_run(text, run)
-            run = []
-        if word[0].isupper() and not (len(word) > 1 and word.isupper()):
-            run.append(m.span())
-        else:
-            if 2 <= len(run) <= 5:
-                yield from _of_run(text, run)
-            run = []
-    if 2 <= len(run) <= 5:
-        yield from _of_run(text, run)
-
-
-def _of_run(text: str, run: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """The run, and if it begins a sentence, also without its first word, which may be capitalised for that alone."""
-    before = text[: run[0][0]].rstrip(" (\"'“-–*•>")
-    if len(run) <= 4:
-        yield run[0][0], run[-1][1]
-    if (not before or before[-1] in ".!?。！？\n:") and len(run) >= 3:
-        yield run[1][0], run[-1][1]
+@functools.lru_cache(1)
+def _capitals() -> re.Pattern:
+    """Two to five capitalised words in a row, in a script that has capitals; not those in capitals throughout."""
+    upper = "".join(c for c in map(chr, range(0x41, 0x2000)) if unicodedata.category(c) in ("Lu", "Lt"))
+    word = rf"[{upper}](?:[^\W\d_]*[^\W\d_{upper}])?['’]?[^\W\d_{upper}]*\.?"
+    return re.compile(rf"(?<![^\W_]){word}(?: {word}){{1,4}}(?![^\W_])")
+
+
+def capital_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where capitalised words stand in a row; if the first may be capitalised for beginning a sentence, also without it."""
+    for m in _capitals().finditer(text):
+        a, b = m.start(), m.end() - (text[m.end() - 1] == ".")
+        yield a, b
+        before = text[:a].rstrip(" (\"'“-–*•>")
+        second = text.index(" ", a) + 1
+        if (not before or before[-1] in ".!?。！？\n:") and " " in text[second:b]:
+            yield second, b
+
+
+def _capital_pass(known: frozenset[str] | None):
+    """(tbl, row_id, start, stop, val, terms) of runs of capitalised words, all of them known if these are given."""
+    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("val", pa.string()), ("terms", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tbl, row_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for a, b in capital_runs(text) if text else ():
+                    words = _WORDS.findall(text[a:b].lower())
+                    if known is None or all(len(w) == 1 or w in known for w in words):
+                        rows.append((tbl, row_id, a, b, text[a:b], words))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def propose(text: str) -> list[Span]:
@@ -230,7 +238,8 @@ def propose(text: str) -> list[Span]:
 
     def nominate(kind: str, m: re.Match, form: str, prior: float, value: str | None = None, lead: int = 0) -> None:
         a, b = m.start() + lead, m.start() + len(m.group().rstrip())
-        cue = beside(text, *m.span())
+        # A script without blanks leads to an address within the match.
+        cue = _LEAD.match(m.group().strip()).group() if lead and _LEAD.match(m.group().strip()) else beside(text, *m.span())
         add(kind, m.group() if value is None else value, a, b, form, prior, cue, bool(_LABELS[kind].search(cue)), [])
 
     signs = {sign for _, sign in _signs().iter(text.lower())}
@@ -263,10 +272,6 @@ def propose(text: str) -> list[Span]:
                         if free(*m.span("n")) and words and not _NO_NAME.issuperset(words):
                             taken.append(m.span("n"))
                             add("name", m.group("n").strip(), *m.span("n"), keys[0], prior, keys[0], group is _INTRODUCTIONS, words)
-    if text.isascii() or any(c.isupper() for c in text):
-        for a, b in _capital_runs(text):
-            if free(a, b):
-                add("name", text[a:b], a, b, ALONE, 0.0, "capitals " + beside(text, a, b), False, [w.lower() for w in _WORDS.findall(text[a:b])])
     return out
 
 
@@ -301,6 +306,13 @@ def enough(kind: str, p):
     return -F.log2(p) <= F.lit(LEFT[kind])
 
 
+def _by_words(spans: DataFrame, revealing: DataFrame) -> DataFrame:
+    """spans with the mean and the least share of their words; initials neither speak for nor against a name."""
+    share = F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))
+    each = spans.select("place", F.explode("terms").alias("term")).join(revealing, "term", "left").groupBy("place").agg(F.avg(share).alias("by_words"), F.min(share).alias("least"))
+    return spans.join(each, "place", "left")
+
+
 def findings(texts: DataFrame) -> DataFrame:
     """(tbl, row_id, kind, val, start, stop, bits): every span of personal data, its value, and how much its terms reveal.
 
@@ -309,7 +321,7 @@ def findings(texts: DataFrame) -> DataFrame:
     is the value (of an address, its first number). A value that stands at several places has a row for each.
     """
     proposed = durable(texts.select("tbl", "row_id", "content").mapInArrow(_pass, "tbl string, row_id long, kind string, val string, start int, stop int, form string, prior double, cue string, anchor boolean, terms array<string>, n long"))
-    found = proposed.where("kind IS NOT NULL").drop("n").distinct()
+    found = durable(proposed.where("kind IS NOT NULL").drop("n").distinct())
     small = lambda df: broadcast_if_small(durable(df), TERM_ROWS)
     strong = F.col("prior") >= PRIOR
 
@@ -328,26 +340,28 @@ def findings(texts: DataFrame) -> DataFrame:
     names = found.where("kind = 'name'").withColumn("place", F.struct("tbl", "row_id", "start", "stop"))
     words = proposed.where("kind IS NULL").select(F.col("terms")[0].alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
     inside = names.where("anchor").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("inside"))
-    framed = names.where(F.col("form") != ALONE).where("NOT anchor").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("doubtful"))
+    framed = names.where("NOT anchor").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("doubtful"))
     share = F.least(F.col("inside") / F.greatest(F.col("n") - F.coalesce("doubtful", F.lit(0)), F.col("inside")), F.lit(1.0))
-    revealing = small(words.join(inside, "term").join(framed, "term", "left").select("term", share.alias("share")))
+    revealing = durable(words.join(inside, "term").join(framed, "term", "left").select("term", share.alias("share")))
     asked = names.where("NOT anchor")
-    each = asked.select("place", F.explode("terms").alias("term")).join(revealing, "term", "left").groupBy("place")
-    # Initials neither speak for nor against a name.
-    by_words = each.agg(F.avg(F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))).alias("by_words"), F.min(F.when(F.length("term") > 1, F.coalesce("share", F.lit(0.0)))).alias("least"))
+    judged = durable(_by_words(asked, broadcast_if_small(revealing, TERM_ROWS)))
     # Introduced names as they stand, also those of scripts without blanks.
     introduced = small(names.where("anchor").select(F.lower("val").alias("v")).distinct().withColumn("introduced", F.lit(True)))
-    judged = durable(asked.join(by_words, "place", "left").join(introduced, F.lower(F.col("val")) == F.col("v"), "left").withColumn("known", F.coalesce("introduced", F.lit(False)) | F.coalesce(enough("words", F.col("by_words")), F.lit(False))))
+    judged = judged.join(introduced, F.lower(F.col("val")) == F.col("v"), "left").withColumn("known", F.coalesce("introduced", F.lit(False)) | F.coalesce(enough("words", F.col("by_words")), F.lit(False)))
     frames = judged.groupBy("cue").agg(((F.sum(F.col("known").cast("double")) + PRIOR_WEIGHT * F.max("prior")) / (F.count(F.lit(1)) + PRIOR_WEIGHT)).alias("by_frame"))
-    weighed = judged.join(small(frames.where("by_frame > 0")), "cue", "left")
-    alone = F.col("form") == ALONE
-    by_frame = enough("frame", F.col("by_frame")) & strong
-    by_word = enough("words", F.col("by_words")) & ~alone
-    apart = alone & (F.col("least") > 0) & (enough("alone", F.col("by_words")) | (enough("learned", F.col("by_frame")) & enough("words", F.col("by_words"))))
-    taken = weighed.where(F.coalesce(by_frame, F.lit(False)) | F.coalesce(by_word, F.lit(False)) | F.coalesce(apart, F.lit(False))).withColumn("p", F.greatest("by_words", F.when(~alone | enough("learned", F.col("by_frame")), F.col("by_frame"))))
+    weighed = judged.join(small(frames), "cue").withColumn("p", F.greatest("by_words", F.when(strong, F.col("by_frame"))))
+    taken = weighed.where((strong & enough("frame", F.col("by_frame"))) | F.coalesce(enough("words", F.col("by_words")), F.lit(False)))
+
+    # Capitalised words elsewhere. The revealing words are sent along up to a bound; beyond it all runs come and are joined.
+    few = [r[0] for r in revealing.select("term").limit(TERM_ROWS + 1).collect()]
+    runs = texts.select("tbl", "row_id", "content").mapInArrow(_capital_pass(frozenset(few) if len(few) <= TERM_ROWS else None), "tbl string, row_id long, start int, stop int, val string, terms array<string>").distinct()
+    held = found.select(F.col("tbl").alias("t"), F.col("row_id").alias("r"), F.col("start").alias("a"), F.col("stop").alias("b"))
+    runs = runs.join(held, (F.col("tbl") == F.col("t")) & (F.col("row_id") == F.col("r")) & (F.col("start") < F.col("b")) & (F.col("stop") > F.col("a")), "left_anti")
+    runs = runs.withColumns({"place": F.struct("tbl", "row_id", "start", "stop"), "kind": F.lit("name")})
+    apart = _by_words(runs, broadcast_if_small(revealing, TERM_ROWS)).where((F.col("least") > 0) & enough("alone", F.col("by_words"))).withColumn("p", F.col("by_words"))
 
     columns = ["tbl", "row_id", "kind", "val", "start", "stop", "p"]
-    all_ = numbers.select(*columns).unionByName(taken.select(*columns)).unionByName(names.where("anchor").withColumn("p", F.lit(1.0)).select(*columns))
+    all_ = numbers.select(*columns).unionByName(taken.select(*columns)).unionByName(apart.select(*columns)).unionByName(names.where("anchor").withColumn("p", F.lit(1.0)).select(*columns))
     base = proposed.groupBy("kind").agg(F.sum("n").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("kind", F.lit("")).alias("kind"), "k"))).alias("of")).first()
     of = (base.of or {}) if base else {}
     rate = F.create_map(*[F.lit(x) for k in (*_LABELS, "name") for x in (k, of.get(k, 1) / max(of.get("", 1), 1))])[F.col("kind")]
