@@ -357,7 +357,7 @@ def findings(texts: DataFrame) -> DataFrame:
     runs = texts.select("tbl", "row_id", "content").mapInArrow(_capital_pass(frozenset(few) if len(few) <= TERM_ROWS else None), "tbl string, row_id long, start int, stop int, val string, terms array<string>").distinct()
     held = found.select(F.col("tbl").alias("t"), F.col("row_id").alias("r"), F.col("start").alias("a"), F.col("stop").alias("b"))
     runs = runs.join(held, (F.col("tbl") == F.col("t")) & (F.col("row_id") == F.col("r")) & (F.col("start") < F.col("b")) & (F.col("stop") > F.col("a")), "left_anti")
-    runs = runs.withColumns({"place": F.struct("tbl", "row_id", "start", "stop"), "kind": F.lit("name")})
+    runs = durable(runs.withColumns({"place": F.struct("tbl", "row_id", "start", "stop"), "kind": F.lit("name")}))
     apart = _by_words(runs, broadcast_if_small(revealing, TERM_ROWS)).where((F.col("least") > 0) & enough("alone", F.col("by_words"))).withColumn("p", F.col("by_words"))
 
     columns = ["tbl", "row_id", "kind", "val", "start", "stop", "p"]
