@@ -319,9 +319,16 @@ def _both(text: str) -> list[str]:
 
 
 def sample(texts: DataFrame, text_col: str, bound: int) -> list[str]:
-    """At most `bound` different texts, drawn by hash, whatever the order of the rows: every task keeps its lowest hashes."""
-    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
-    return [r[0] for r in rows.orderBy(F.xxhash64("text"), "text").limit(bound).collect()]
+    """At most `bound` different texts, those of the lowest hashes, whatever the order of the rows.
+
+    A threshold on the hash, from the number of different texts, keeps what leaves the tasks near the bound, whatever the
+    size of the table and however often a text is repeated.
+    """
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    many = rows.agg(F.approx_count_distinct("h")).first()[0]
+    low = min(int(1.5 * bound / max(many, 1) * 2**64), 2**64 - 1) - 2**63
+    found = sorted((r.h, r.text) for r in rows.where(F.col("h") <= low).distinct().collect())
+    return [t for _, t in found[:bound]]
 
 
 def fit_on_sample(clean: DataFrame | None, text_col: str, unlabelled: DataFrame | None = None, docs: int = FIT_DOCS, more: int = FIT_UNLABELLED) -> Weights:
