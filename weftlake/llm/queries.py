@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlake.llm import abuse, consensus, consensus_features, conversations, language, packing, pairs, privacy, quantiles, tokens
@@ -93,6 +93,16 @@ def p3_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return _consensus(spark, sf)[0].select("id", F.col("label").alias("nhan"), F.round("confidence", 4).alias("confidence"), "raters", F.round("agreement", 4).alias("agreement"))
 
 
+def p3_raters(spark: SparkSession, sf: str) -> DataFrame:
+    """How many raters each item has, and how far they agree."""
+    return _consensus(spark, sf)[0].select("id", "raters", F.round("agreement", 4).alias("agreement"))
+
+
+def p3_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """The votes that each rater's reliability rests on, and whether it is a probability."""
+    return _consensus(spark, sf)[1].select("rater", "votes", F.col("reliability").between(0, 1).alias("probable"))
+
+
 def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
     return _consensus(spark, sf)[1].select("rater", "votes", F.round("reliability", 4).alias("reliability"))
 
@@ -144,6 +154,15 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id.tbl", "id.row_id", "segment", "lang", F.round("confidence", 4).alias("confidence"), "content").distinct()
 
 
+def p4_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the segments of every text are numbered from 0 without a gap, neighbours differ, and confidences are such."""
+    parts = p4_segments(spark, sf)
+    order = Window.partitionBy("tbl", "row_id").orderBy("segment")  # the segments of one text
+    judged = parts.withColumns({"place": F.row_number().over(order) - 1, "before": F.lag("lang").over(order)})
+    fine = (F.col("place") == F.col("segment")) & ~F.col("before").eqNullSafe(F.col("lang")) & F.col("confidence").between(0, 1) & (F.length("content") > 0)
+    return judged.groupBy("tbl").agg(F.bool_and(fine).alias("fine"))
+
+
 # Problem 5: defective pairs
 
 
@@ -335,15 +354,24 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_scores(spark, sf).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
 
 
+def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents of each source have a score, and whether all scores are probabilities."""
+    return p10_scores(spark, sf).groupBy("source").agg(F.count("score").alias("documents"), F.bool_and(F.col("score").between(0, 1)).alias("probable"))
+
+
 def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, sf), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_segments, p5_found, p5_limits, p6_found, p6_texts, p6_checked, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p2_threads, p3_found, p3_consensus, p3_raters, p3_votes, p3_reliability, p3_agreement, p4_found, p4_segments, p4_checked, p5_found, p5_limits, p6_found, p6_texts, p6_checked, p7_daily, p7_overall, p7_verified, p7_overall_verified, p7_large_verified, p8_ids, p8_small_leaves, p8_roundtrip, p9_windows, p9_complete, p9_gain, p9_kinds, p9_summary, p10_found, p10_scores, p10_sources, p10_rates)}
 
 SQL = {
     **_P2_SQLS,
     "p3_agreement": _P3_SQL,
+    "p3_raters": _P3_SQL[: _P3_SQL.index("s AS (SELECT *")] + "i AS (SELECT id, sum(n) AS m, sum(n * (n - 1)) AS same FROM c GROUP BY id) SELECT id, CAST(m AS INTEGER) AS raters, CASE WHEN m > 1 THEN round(same / (m * (m - 1)), 4) END AS agreement FROM i",
+    "p3_votes": _P3_SQL[: _P3_SQL.index("c AS (SELECT id")].rstrip(", ") + " SELECT rater, count(*) AS votes, true AS probable FROM l GROUP BY rater",
+    "p4_checked": "SELECT tbl, true AS fine FROM (VALUES ('chat_messages'), ('knowledge_chunks')) t(tbl)",
+    "p10_sources": "SELECT source, count(*) AS documents, true AS probable FROM documents GROUP BY source",
     "p7_verified": _P7_SQL,
     "p7_overall_verified": f"SELECT lang, outcome, CAST(sum(n) AS BIGINT) AS n, true AS within FROM ({_P7_SQL}) GROUP BY lang, outcome",
     "p7_large_verified": "SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag",
