@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,8 @@ def accuracy(model: MultilayerPerceptronClassificationModel, rows: DataFrame, sp
     """(split, n, correct)."""
     data = rows.select(split, array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
     return model.transform(data).groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("correct"))
+
+
+def losses(model: MultilayerPerceptronClassificationModel, spark: SparkSession) -> DataFrame:
+    """(iteration, loss): the mean loss over the training rows before the first and after each iteration of a fit."""
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.summary().objectiveHistory)], "iteration int, loss double")
