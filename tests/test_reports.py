@@ -33,6 +33,12 @@ def test_p1_diff(data, capsys):
     assert capsys.readouterr().out.strip() == ""
 
 
+def test_embed_compare(data, capsys):
+    assert reports.main(["embed-compare", *data]) == reports.DONE
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 3 and "least 0.00" in lines[1] and "plain" in lines[1]
+
+
 def test_missing_vectors(spark, data, tmp_path):
     spark.read.parquet(data[-1]).limit(2).write.parquet(str(tmp_path / "few"))
     assert reports.main(["by-category", *data[:-1], str(tmp_path / "few")]) == reports.NO_VECTORS

@@ -1,6 +1,7 @@
 """Reports from the command line: python -m weftlake.reports NAME ...
 
 by-category  retrieval by the category of the first expected document, worst first, with the kinds and sources of errors
+embed-compare  the semantic branch alone, with and without a least similarity, for questions with and without accents
 p1-diff      questions that the semantic branch answers and the fusion does not, and how many of them synonyms explain
 blind-sheet  items of labelled sheets in a seeded order under new names, labels kept from an earlier sheet
 run-table    runs side by side, by judge and by human
@@ -17,6 +18,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlake.functions.text import has_accents
 from weftlake.operators import bm25, corpus, fusion, labels, metrics, synonyms, vectors
 from weftlake.operators.prompts import ranking_line
 from weftlake.session import durable, local_session
@@ -30,7 +32,7 @@ LABEL_FIELDS = ["nhan_tay", "chac_chan", "ghi_chu"]
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="report", required=True)
-    for name in ("by-category", "p1-diff"):
+    for name in ("by-category", "p1-diff", "embed-compare"):
         s = sub.add_parser(name)
         s.add_argument("--kb", required=True)
         s.add_argument("--golden", required=True)
@@ -47,8 +49,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def branches(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]] | int:
-    """(base, questions, rankings of all branches) of the questions in the chosen language, or an exit code."""
+def branches(spark: SparkSession, args: argparse.Namespace) -> tuple | int:
+    """(base, questions, rankings of all branches) of the questions in the chosen language, or an exit code.
+
+    For embed-compare, instead of the rankings: (chunks with vectors, questions with vectors).
+    """
     base = durable(files.load_knowledge_base(spark, args.kb))
     asked = files.load_questions(spark, args.golden).select(F.concat_ws("#", "file", "pos").alias("qid"), "query", "expected", "lang")
     asked = durable(asked.where(F.col("lang") == args.lang) if args.lang else asked)
@@ -67,7 +72,10 @@ def branches(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame,
     if not docs.where("embedding IS NULL").isEmpty() or not embedded.where("embedding IS NULL").isEmpty():
         print("some texts have no vector", file=sys.stderr)
         return NO_VECTORS
-    semantic = durable(vectors.search(docs, embedded.select("qid", "scope", F.col("embedding").alias("vector")), CANDIDATES, LEAST))
+    embedded = embedded.select("qid", "scope", F.col("embedding").alias("vector"))
+    if args.report == "embed-compare":
+        return base, asked, docs, embedded
+    semantic = durable(vectors.search(docs, embedded, CANDIDATES, LEAST))
     metrics.require_hits(semantic, "the semantic branch")
     lexical = durable(lexical)
     return base, asked, {"semantic": semantic, "lexical": lexical, "plain": plain, "filled": durable(fusion.vector_fill(semantic, lexical, K)), "rrf": durable(fusion.rrf(semantic, lexical, K))}
@@ -98,6 +106,20 @@ def p1_diff(asked: DataFrame, runs: dict[str, DataFrame]) -> list[str]:
     return lines + [f"{r.query!r}\n  semantic: {r.a}\n  fused:    {r.b}" for r in lost.select("query", ranking_line(F.col("sem"), F.col("expected")).alias("a"), ranking_line(F.col("docs"), F.col("expected")).alias("b")).orderBy("query").collect()]
 
 
+def embed_compare(base: DataFrame, asked: DataFrame, docs: DataFrame, embedded: DataFrame) -> list[str]:
+    """Lines of the semantic branch's metrics by least similarity and by whether a question has accents."""
+    hits, names = None, []
+    for least in (LEAST, 0.0):
+        found = durable(metrics.require_hits(vectors.search(docs, embedded, CANDIDATES, least), f"similarity {least}"))
+        names.append(f"least {least:.2f}")
+        part = found.where(F.col("rank") <= K).select(F.lit(names[-1]).alias("config"), "qid", "doc_id", "rank")
+        hits = part if hits is None else hits.unionByName(part)
+    kind = asked.select("qid", F.when(has_accents(F.col("query")), "accents").otherwise("plain").alias("kind"))
+    per = metrics.per_question(metrics.judged(hits, asked, names)).join(kind, "qid")
+    table = metrics.evaluate_with_total(per, "kind").withColumnRenamed("kind", "lang")
+    return metrics.text_table(table)
+
+
 def _sheet(spark: SparkSession, pattern: str) -> DataFrame:
     """(run, id, query, answer and labels) of sheets; the run is the name of the file."""
     items = files.split_meta(files.read_items(spark, pattern))[1]
@@ -108,11 +130,11 @@ def _sheet(spark: SparkSession, pattern: str) -> DataFrame:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
-    if args.report in ("by-category", "p1-diff"):
+    if args.report in ("by-category", "p1-diff", "embed-compare"):
         found = branches(spark, args)
         if isinstance(found, int):
             return found
-        print("\n".join(by_category(*found) if args.report == "by-category" else p1_diff(*found[1:])))
+        print("\n".join(by_category(*found) if args.report == "by-category" else embed_compare(*found) if args.report == "embed-compare" else p1_diff(*found[1:])))
         return DONE
     items = durable(_sheet(spark, args.items))
     if args.report == "judge-check":
