@@ -181,3 +181,40 @@ def test_sources_losses_and_degradation(spark):
     assert {tuple(r) for r in fusion.degradation(q, q.where("qid < '3'"), fused).collect()} == {("both", 2, 2), ("lexical only", 2, 1)}
     with pytest.raises(ValueError):
         metrics.require_hits(sem.where("false"), "vectors")
+
+
+def test_scan_equals_join(spark, index, monkeypatch):
+    """Many questions scan the documents instead of shuffling every pair; blocks of questions and of documents change nothing."""
+    more = [(20 + i, f"m{i:02}", None, f"bag ticket {'refund ' * (i % 5)}" + "犬と猫 " * (i % 3), "x", ["vi", "en", "ja", None][i % 4]) for i in range(60)]
+    ix = bm25.build(spark.createDataFrame(CORPUS + more, CORPUS_SCHEMA).repartition(3))
+    rows = [(str(i), q, lang) for i, (q, lang) in enumerate((q, lang) for q in ["bag refund ticket", "refund", "犬と猫 ticket", "zzz", None, "hành lý 7kg bag bag"] for lang in ["vi", "en", "ja", None, "fr"])]
+    questions = bm25.resolve(spark.createDataFrame(rows + rows[:3], Q), ix.languages)
+    ranked = lambda k: sorted(tuple(r) for r in bm25.search(ix, questions, k).collect())
+    for k in (0, 1, 4):
+        monkeypatch.setattr(bm25, "JOIN_HITS", 1_000_000)
+        joined = ranked(k)
+        monkeypatch.setattr(bm25, "JOIN_HITS", -1)
+        for terms, docs in ((500_000, 32_768), (20, 7)):
+            monkeypatch.setattr(bm25, "BLOCK_TERMS", terms)
+            monkeypatch.setattr(bm25, "BLOCK_DOCS", docs)
+            assert ranked(k) == joined and (k == 0 or len(joined) > 15)
+
+
+def test_scan_shuffles_no_pairs(spark, monkeypatch):
+    """What is shuffled of a large search is k rows of each question and task, not a row of each question and document."""
+    docs = spark.range(0, 2000, 1, 2).selectExpr("id AS ord", "cast(id AS string) AS doc_id", "'' AS title", "concat('aa bb ', id + 100) AS content", "'' AS category", "'en' AS lang")
+    questions = spark.range(100).selectExpr("cast(id AS string) AS qid", "concat('aa bb ', id + 100) AS query", "'*' AS scope")
+    monkeypatch.setattr(bm25, "JOIN_HITS", 1000)
+    hits = bm25.search(bm25.build(docs), questions, 2)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    assert {(r.qid, r.doc_id) for r in hits.where("rank = 1").collect()} == {(str(i), str(i)) for i in range(100)}
+
+
+def test_saved_documents(spark, index, tmp_path):
+    bm25.save_docs(spark.createDataFrame(CORPUS, CORPUS_SCHEMA), str(tmp_path / "ix"))
+    again = bm25.load_docs(spark, str(tmp_path / "ix"))
+    for rows in ([("1", "hanh ly 7 kg", None), ("2", "one bag", "en"), ("3", "猫はケージ", "ja")], [("1", None, "vi"), ("2", "zzz", None)]):
+        assert sorted(ask(spark, again, *rows)) == sorted(ask(spark, index, *rows))
+    assert bm25.size(again) == len(CORPUS) and ask(spark, again, ("1", "bag", None), k=0) == []
