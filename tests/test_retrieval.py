@@ -218,3 +218,21 @@ def test_saved_documents(spark, index, tmp_path):
     for rows in ([("1", "hanh ly 7 kg", None), ("2", "one bag", "en"), ("3", "猫はケージ", "ja")], [("1", None, "vi"), ("2", "zzz", None)]):
         assert sorted(ask(spark, again, *rows)) == sorted(ask(spark, index, *rows))
     assert bm25.size(again) == len(CORPUS) and ask(spark, again, ("1", "bag", None), k=0) == []
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    """Questions of one scope and vector are multiplied once, and each has its ranking."""
+    import numpy as np
+
+    seen = []
+    array = np.array
+    store = spark.createDataFrame([(i, str(i), ["en", "vi"][i % 2], [1.0, i / 10]) for i in range(20)], V)
+    asked = spark.createDataFrame([(str(i), ["*", "en"][i % 2], [1.0, float(i % 4 > 1)]) for i in range(40)], QV)
+    monkeypatch.setattr(vectors.np, "array", lambda x, *a: seen.append(len(x)) or array(x, *a))
+    hits = vectors.search(store, asked, 3, -1.0)
+    monkeypatch.undo()
+    assert seen[0] == 4
+    got = {}
+    for r in hits.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.ord, r.score, r.rank))
+    assert len(got) == 40 and all(got[str(i)] == got[str(i % 4)] and [x[2] for x in got[str(i)]] == [1, 2, 3] for i in range(40))
